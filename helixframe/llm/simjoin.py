@@ -242,9 +242,8 @@ def exact_components(scratch: Scratch, items: DataFrame, num: int, den: int, blo
     met = scratch.table(met, "met")
     rest = large.join(met.select("root"), "root", "left_anti")
     chunks = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-    blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    r = rest.join(chunks, "cluster").select("cluster", blocks.cast("long").alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("long").alias("chunk"), F.lit(True).alias("rest"), "root", "feats")
-    b = large.join(chunks, "cluster").select("cluster", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long").alias("chunk"), F.lit(False).alias("rest"), "root", "feats")
+    r = rest.join(chunks, "cluster").select("cluster", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("long").alias("chunk"), F.lit(True).alias("rest"), "root", "feats")
+    b = large.join(chunks, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"), F.lit(False).alias("rest"), "root", "feats")
     links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den), "a long, b long")
     links = links.unionByName(met.select(F.col("root").alias("a"), F.col("hub").alias("b")))
     joined = connected_components(scratch, links)
