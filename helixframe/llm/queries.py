@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_components
 from .substring_dedup import remove_repeated_windows
 
@@ -48,8 +49,14 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(coalesce(p, []))::BIGINT AS n_rem
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_read(spark, sf_dir, "documents"), drop_emptied=False, counts=True)
+    return kept.select("doc_id", "n_lines", "n_removed", "text")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op7_line_dedup": op7_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL = {

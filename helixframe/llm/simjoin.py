@@ -7,7 +7,7 @@ overlaps are computed exactly as a blocked product of the sparse set-by-feature
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +149,11 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tu
         yield key, run
 
 
-def _within(num: int, den: int):
+def _stored(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, np.uint64)
+
+
+def _within(num: int, den: int, features: Callable):
     def f(batches):
         out = []
         for (cluster, block), run in _groups(batches, 2):
@@ -157,7 +161,7 @@ def _within(num: int, den: int):
             if len(run) > 1:
                 run.sort(key=lambda r: r[0])
                 ids = np.array([r[0] for r in run])
-                root = ids[components(linked([np.frombuffer(r[1], np.uint64) for r in run], num, den))]
+                root = ids[components(linked([features(r[1]) for r in run], num, den))]
             else:
                 ids = root = np.array([run[0][0]])
             out += [(cluster, block, int(i), int(r)) for i, r in zip(ids, root, strict=True)]
@@ -174,7 +178,7 @@ def _table(found: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return rows(**dict(zip(names, (np.array(x, np.int64) for x in zip(*found, strict=True)), strict=True)))
 
 
-def _hubs(num: int, den: int):
+def _hubs(num: int, den: int, features: Callable):
     """Links each hub of a cluster to the cluster's first, which alone is held."""
 
     def f(batches):
@@ -182,7 +186,7 @@ def _hubs(num: int, den: int):
         for batch in batches:
             out = []
             for cluster, root, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(blob, np.uint64)
+                x = features(blob)
                 if cluster != key:
                     key, first = cluster, (root, x)
                 both = len(np.intersect1d(x, first[1], assume_unique=True))
@@ -194,7 +198,7 @@ def _hubs(num: int, den: int):
     return f
 
 
-def _across(num: int, den: int):
+def _across(num: int, den: int, features: Callable):
     """Links between the rest of a cluster and one of its blocks."""
 
     def f(batches):
@@ -202,7 +206,7 @@ def _across(num: int, den: int):
             run.sort(key=lambda r: not r[0])
             left = sum(r[0] for r in run)
             if 0 < left < len(run):
-                x, y = np.nonzero(linked([np.frombuffer(r[2], np.uint64) for r in run], num, den, left)[:left, left:])
+                x, y = np.nonzero(linked([features(r[2]) for r in run], num, den, left)[:left, left:])
                 root = np.array([r[1] for r in run])
                 pairs = np.unique(np.stack([root[x], root[y + left]], 1), axis=0)
                 pairs = pairs[pairs[:, 0] != pairs[:, 1]]
@@ -212,10 +216,10 @@ def _across(num: int, den: int):
     return f
 
 
-def exact_components(scratch: Scratch, items: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def exact_components(scratch: Scratch, items: DataFrame, num: int, den: int, block: int = BLOCK, features: Callable = _stored) -> DataFrame:
     """(id, root) for items (cluster, id, feats): components of the links den * overlap >= num * union.
 
-    feats: the sorted features, eight bytes each.  Links join items of one cluster only.  root is
+    feats: the sorted features, eight bytes each, or what ``features`` turns into a sorted array.  Links join items of one cluster only.  root is
     the smallest id of the component.
 
     A cluster of more than ``block`` items is split at random, and each block is solved alone.  The
@@ -229,7 +233,7 @@ def exact_components(scratch: Scratch, items: DataFrame, num: int, den: int, blo
     hot = counts.where("blocks > 1").limit(1).count() > 0
     if hot:
         items = scratch.table(items, "items")
-    solved = items.select("cluster", "block", "id", "feats").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den), "cluster long, block long, id long, root long")
+    solved = items.select("cluster", "block", "id", "feats").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, features), "cluster long, block long, id long, root long")
     solved = scratch.table(solved, "solved")
     if not hot:
         return solved.select("id", "root")
@@ -238,13 +242,13 @@ def exact_components(scratch: Scratch, items: DataFrame, num: int, den: int, blo
     sizes = large.groupBy("cluster", "block", "root").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("cluster", "block").agg(F.max_by("root", F.struct("n", "root")).alias("root"))
     hubs = large.where("id = root").join(mains.select("root"), "root", "left_semi").select("cluster", "root", "feats")
-    met = hubs.repartition("cluster").sortWithinPartitions("cluster", "root").mapInArrow(_hubs(num, den), "cluster long, root long, hub long")
+    met = hubs.repartition("cluster").sortWithinPartitions("cluster", "root").mapInArrow(_hubs(num, den, features), "cluster long, root long, hub long")
     met = scratch.table(met, "met")
     rest = large.join(met.select("root"), "root", "left_anti")
     chunks = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
     r = rest.join(chunks, "cluster").select("cluster", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("long").alias("chunk"), F.lit(True).alias("rest"), "root", "feats")
     b = large.join(chunks, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"), F.lit(False).alias("rest"), "root", "feats")
-    links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den), "a long, b long")
+    links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den, features), "a long, b long")
     links = links.unionByName(met.select(F.col("root").alias("a"), F.col("hub").alias("b")))
     joined = connected_components(scratch, links)
     return solved.join(joined, solved.root == joined.node, "left").select("id", F.coalesce(joined.root, solved.root).alias("root"))
