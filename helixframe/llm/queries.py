@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .substring_dedup import remove_repeated_windows
 
@@ -49,6 +50,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(coalesce(p, []))::BIGINT AS n_rem
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
+def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::BIGINT AS size, md5('1:' || doc_id) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][place % 3 + 1]::BIGINT AS w, 3 * source_size AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap::DOUBLE / w, place) AS i,
+      sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+      sum(w) OVER (ORDER BY cap::DOUBLE / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM w),
+f AS (SELECT min(i) AS i, arg_min(rest, i) AS rest, arg_min(share, i) AS share FROM o WHERE rest * w <= cap * share),
+t AS (SELECT o.*, CASE WHEN o.i >= f.i THEN (o.w * f.rest)::DOUBLE / f.share::DOUBLE ELSE o.cap::DOUBLE END AS target FROM o LEFT JOIN f ON true),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS rounds FROM t),
+c AS (SELECT d.*, q.source_size, q.target, q.rounds, round(q.target)::BIGINT - q.rounds * q.source_size AS left_over,
+      coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY substr(k, 1, 3), k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, left_over - before)))::BIGINT AS taken FROM c
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_read(spark, sf_dir, "documents"), drop_emptied=False, counts=True)
     return kept.select("doc_id", "n_lines", "n_removed", "text")
@@ -56,10 +78,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op6_mixing_sources": op6_mixing_sources,
     "op7_line_dedup": op7_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op6_mixing_sources": OP6_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
