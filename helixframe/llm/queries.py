@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import fit_languages, predict_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
+from .quality_classifier import fit_quality, score_quality
 from .substring_dedup import remove_repeated_windows
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -50,6 +52,23 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(coalesce(p, []))::BIGINT AS n_rem
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
+def _crc(column: str, modulus: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    net = fit_languages(docs.where(_crc("doc_id", 4) != 2))
+    return predict_languages(docs.select("doc_id", "text"), net).select("doc_id", (_crc("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = fit_quality(docs, _read(spark, sf_dir, "labels").where(_crc("doc_id", 5) != 0))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (_crc("doc_id", 5) == 0).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -78,6 +97,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing_sources": op6_mixing_sources,
     "op7_line_dedup": op7_line_dedup,
     "op10_substring_dedup": op10_substring_dedup,
