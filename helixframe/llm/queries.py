@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archives import archive_pages
+from .decontamination import benchmark_matches, build_index
 from .language_id import fit_languages, predict_languages
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
+from .pii import find_personal_data
 from .quality_classifier import fit_quality, score_quality
+from .quality_rules import quality_rules
 from .substring_dedup import remove_repeated_windows
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -37,6 +41,24 @@ r AS (SELECT doc_id AS d, doc_id AS t FROM documents UNION SELECT r.d, b.y FROM
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(r.t) AS component_id FROM s JOIN r ON r.d = s.doc_id GROUP BY 1, 2
 """
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_read(spark, sf_dir, "documents"), build_index(_read(spark, sf_dir, "benchmark")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS x FROM p),
+d AS (SELECT page_id, n, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1) for i in range(32)], '') AS payload_digest FROM h),
+f AS (SELECT payload_digest, min(page_id) AS least FROM d GROUP BY 1)
+SELECT page_id, n AS payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to FROM d JOIN f USING (payload_digest)
+"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeated_windows(_read(spark, sf_dir, "documents"), k=50)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -52,6 +74,14 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(coalesce(p, []))::BIGINT AS n_rem
 FROM w LEFT JOIN gone USING (doc_id)
 """
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_read(spark, sf_dir, "documents"))
+
+
 def _crc(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
@@ -97,14 +127,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_mixing_sources": op6_mixing_sources,
     "op7_line_dedup": op7_line_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op6_mixing_sources": OP6_SQL,
+    "op9_warc": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
