@@ -2,8 +2,8 @@
 
 The test items form an inverted index: each term has its impact on each item, and the greatest
 impact on each block of BLOCK neighbouring items.  As in block-max WAND, a passage's sum of block
-maxima bounds its score for all items of a block, and only blocks whose bound reaches the threshold
-are scored.  Every passage of every text is a query, and every item above the threshold is retrieved.
+maxima, repeated terms included, bounds its score for all items of a block, and only blocks whose
+bound reaches the threshold are scored, over the passage's distinct terms.  Every passage of every text is a query, and every item above the threshold is retrieved.
 
 Scores are relative to the item's score for itself.  What is retrieved is verified: the question is
 the item without its last sentence, the answer its last sentence, and the share of their word
@@ -26,9 +26,9 @@ from . import text as T
 
 U64 = np.uint64
 K1, B = 1.2, 0.75
-PASSAGE, STRIDE = 96, 48  # terms
-BLOCK, SHARD = 16, 1024  # items
-THRESHOLD = 0.35
+PASSAGE, STRIDE = 64, 32  # terms
+BLOCK, SHARD = 8, 1024  # items
+THRESHOLD = 0.5
 NGRAM = 5
 QUESTION, WHOLE = 0.6, 0.5  # shares of n-grams
 
@@ -71,7 +71,7 @@ class Index:
             d = np.array([df.get(int(h), 1) for h in u.tolist()], np.float64)
             idf = np.log(1 + (n_items - d + 0.5) / (d + 0.5))
             w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
-            self.impact[np.searchsorted(self.vocabulary, u), x] = w / max((w * tf).sum() * min(1.0, PASSAGE / len(t)), 1e-9)
+            self.impact[np.searchsorted(self.vocabulary, u), x] = w / max(w.sum() * min(1.0, PASSAGE / len(t)), 1e-9)
         self.maxima = self.impact.reshape(m + 1, self.blocks, BLOCK).max(2).astype(np.float64)
 
     def places(self, h: np.ndarray) -> np.ndarray:
@@ -97,7 +97,8 @@ def retrieve(index: Index, h: np.ndarray, first: np.ndarray, threshold: float):
     lo, hi = np.searchsorted(known, start), np.searchsorted(known, end)
     p, b = np.nonzero(bound[hi] - bound[lo] >= threshold * 0.999)
     for x, k in zip(p.tolist(), b.tolist(), strict=True):
-        score = index.impact[place[lo[x] : hi[x]], k * BLOCK : (k + 1) * BLOCK].sum(0, dtype=np.float64)
+        distinct = np.unique(place[lo[x] : hi[x]])
+        score = index.impact[distinct, k * BLOCK : (k + 1) * BLOCK].sum(0, dtype=np.float64)
         for i in np.flatnonzero(score >= threshold).tolist():
             if k * BLOCK + i < len(index.ids):
                 yield int(row[x]), int(start[x]), int(end[x]), k * BLOCK + i, float(score[i])
