@@ -87,6 +87,11 @@ def linked(sets: list[np.ndarray], num: int, den: int, left: int | None = None)
     done = np.zeros((m, m), bool)
     if not open_.any():
         return done
+    if m == 2:
+        both = np.concatenate(sets)
+        both.sort()
+        done[:] = open_ & (int((both[1:] == both[:-1]).sum()) >= need[0, 1])
+        return done
     _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(m), size)
     rank = np.empty(len(df), np.int64)
