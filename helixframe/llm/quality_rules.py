@@ -102,10 +102,13 @@ def kneser_ney(scratch: Scratch, docs: DataFrame) -> list[DataFrame]:
     models: list[DataFrame] = []
     for m in range(1, ORDER + 1):
         d = _discounts(counts[m])
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        cut = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         t = counts[m].withColumn("context", F.shiftright("gram", 8))
         contexts = t.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(cut).alias("left"))
-        t = t.join(contexts, ["lang", "context"])
+        if m == 1:  # every byte has a probability, so that those of a context add up to 1
+            t = contexts.withColumn("gram", F.explode(F.sequence(F.lit(0), F.lit(255)).cast("array<long>"))).join(counts[1], ["lang", "gram"], "left").fillna(0, ["n"])
+        else:
+            t = t.join(contexts, ["lang", "context"])
         own, weight = (F.col("n") - cut) / F.col("total"), F.col("left") / F.col("total")
         if m == 1:
             p = t.select("lang", "gram", (own + weight / 256).alias("p"))
@@ -114,7 +117,7 @@ def kneser_ney(scratch: Scratch, docs: DataFrame) -> list[DataFrame]:
             t = t.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1)))
             p = t.join(low, ["lang", "short"]).select("lang", "gram", (own + weight * F.col("q")).alias("p"))
             backoff = contexts.select("lang", F.col("context").alias("gram"), (F.col("left") / F.col("total")).alias("backoff"))
-            models[-1] = scratch.table(models[-1].join(backoff, ["lang", "gram"], "left"), f"model{m - 1}")
+            models[-1] = scratch.table(models[-1].join(backoff, ["lang", "gram"], "full"), f"model{m - 1}")
         models.append(p)
     models[-1] = scratch.table(models[-1].withColumn("backoff", F.lit(1.0)), f"model{ORDER}")
     return models
@@ -127,7 +130,8 @@ class HashArrays:
         key = _key(table["lang"].to_numpy(), table["gram"].to_numpy().astype(U64))
         order = np.argsort(key)
         self.key = np.append(key[order], U64(T.MASK))
-        self.p = np.append(np.log(table["p"].to_numpy()[order]), 0).astype(np.float32)
+        p = table["p"].to_numpy(zero_copy_only=False).astype(np.float64)[order]  # none for the contexts that only begin a text
+        self.p = np.append(np.log(p), np.nan).astype(np.float32)
         backoff = table["backoff"].to_numpy(zero_copy_only=False).astype(np.float64)[order]
         self.backoff = np.append(np.log(np.where(np.isnan(backoff) | (backoff <= 0), 1, backoff)), 0).astype(np.float32)
         self.shift = U64(64 - max(4, int(len(key)).bit_length() + 1))
@@ -156,6 +160,7 @@ def _log_p(orders: list[HashArrays], lang: np.ndarray, gram: np.ndarray) -> np.n
     for m in range(ORDER, 0, -1):
         part = gram[left] & U64((1 << 8 * m) - 1)
         at, there = orders[m - 1].find(_key(lang[left], part))
+        there &= ~np.isnan(orders[m - 1].p[at])
         out[left[there]] += orders[m - 1].p[at[there]]
         left, part = left[~there], part[~there]
         if not len(left):
