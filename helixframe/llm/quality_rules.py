@@ -133,7 +133,7 @@ class HashArrays:
         p = table["p"].to_numpy(zero_copy_only=False).astype(np.float64)[order]  # none for the contexts that only begin a text
         self.p = np.append(np.log(p), np.nan).astype(np.float32)
         backoff = table["backoff"].to_numpy(zero_copy_only=False).astype(np.float64)[order]
-        self.backoff = np.append(np.log(np.where(np.isnan(backoff) | (backoff <= 0), 1, backoff)), 0).astype(np.float32)
+        self.backoff = np.append(np.log(np.where(np.isnan(backoff), 1, np.maximum(backoff, 1e-9))), 0).astype(np.float32)
         self.shift = U64(64 - max(4, int(len(key)).bit_length() + 1))
         starts = np.arange(1 << int(64 - int(self.shift)), dtype=U64) << self.shift
         self.first = np.searchsorted(self.key[:-1], starts).astype(np.int32)
