@@ -7,8 +7,10 @@ at most H = (1-t)/t * A shingles, where A bounds the smaller size.  So when the
 by hash) are dealt into more than H blocks, some block of columns is the same in both.  Sizes are cut
 into classes, and each set sends one signature a column block, for its own class and the one below;
 sets that share no column block are below the bound that their sizes give, and their product is
-never formed.  A passage that many documents share fills no column block by itself, so it brings no
-crowds together.
+never formed.  Shingles that many documents share are left out of the signatures, which keeps the
+bound, so that a common passage alone brings no crowd together; sets that leave too few send their
+rarest shingles besides.  Which shingles are common is told by a counter for each
+of 2**COUNTERS hash values, over all documents; it decides how much is compared, never what is linked.
 
 Products: the overlaps of each cluster of rows that remain are accumulated over blocks of columns,
 and pairs are discarded as soon as they can't reach the bound (see simjoin.py).
@@ -18,6 +20,8 @@ Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +32,9 @@ from .shared import Scratch, connected_components, maybe_in, membership
 from .simjoin import ENTRIES, candidate_links, entries, exact_components
 
 U64 = np.uint64
+COUNTERS = 22
+PARTS = 1024  # in which the counters are added up
+COMMON = (32, 4.0)  # a shingle is common from so many documents, and so many times the mean of all counters
 
 
 def size_classes(num: int, den: int, most: int = 1 << 34) -> np.ndarray:
@@ -43,33 +50,87 @@ def slack(h: int) -> int:
     return 2 + h // 32
 
 
-def signatures(u: np.ndarray, classes: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of the sorted set u: a hash for each column block, for the set's class and the one below."""
-    out = []
+def signatures(u: np.ndarray, classes: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of the sorted set u: a hash for each column block, for the set's class and the one below.
+
+    common: bits of the counters' slots that are common.  Two sets that may be linked agree in more
+    column blocks than ``slack``.  So if one of them has at most that many empty ones, they agree in
+    a block that isn't empty.  A set with more also sends the shingles that come first by (common,
+    hash), one more than may be missing in a set it is linked with: two such sets share one of them.
+    """
+    out, sparse = [], False
     g = int(np.searchsorted(classes, len(u), "right")) - 1
-    v = np.zeros(len(u) + 1, U64)
-    np.cumsum(T.mix(u + U64(0x632BE59BD9B4E019)), out=v[1:])
-    high = u >> U64(32)
+    is_common = np.zeros(len(u), bool) if common is None else maybe_in(common, _slot(u))
+    rare = u[~is_common]
+    high, hashed = rare >> U64(32), T.mix(rare + U64(0x632BE59BD9B4E019))
     for group in (g, g - 1):
-        if group < 0:
-            continue
-        h = (den - num) * int(classes[group + 1] - 1) // num
+        h = (den - num) * int(classes[group + 1] - 1) // num if group >= 0 else 0
         if h < 1:
             continue  # sets of these sizes are linked only if they are equal
         spare = slack(h)
         k = h + 1 + spare
-        block = ((high * U64(k)) >> U64(32)).astype(np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        sums = v[np.append(cut[1:], len(u))] - v[cut]
-        at = block[cut].astype(U64)
-        salt = U64(T.MASK & (group * 0xA24BAED4963EE407))
-        out.append(T.mix(sums + at * U64(0x9FB21C651E98DF25) + salt))
-        if k - len(cut) > spare:  # so many are empty that two sets could agree in empty blocks only
-            empty = np.setdiff1d(np.arange(k), block[cut]).astype(U64)
-            out.append(T.mix(empty * U64(0x9FB21C651E98DF25) + salt + U64(0x1B873593)))
+        cut = np.zeros(0, np.int64)
+        if len(rare):
+            block = (high * U64(k) >> U64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            salt = U64(T.MASK & (group * 0xA24BAED4963EE407))
+            out.append(T.mix(np.add.reduceat(hashed, cut) + block[cut].astype(U64) * U64(0x9FB21C651E98DF25) + salt))
+        sparse |= k - len(cut) > spare
+    if sparse:
+        first = len(u) - -(-num * len(u) // den) + 1
+        out.append(T.mix(np.concatenate([rare, u[is_common]])[:first] + U64(0x1B873593)))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
+def _slot(u: np.ndarray) -> np.ndarray:
+    return (u >> U64(20)).astype(np.int64) & ((1 << COUNTERS) - 1)
+
+
+def _counted(k: int):
+    """The counters of one task, in compressed parts."""
+
+    def f(batches):
+        counts, seen = np.zeros(1 << COUNTERS, np.uint32), set()
+        for batch in batches:
+            for _, u in _sets(batch, k):
+                d = _digest(u)
+                if d not in seen:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.add(d)
+                    np.add.at(counts, _slot(u), 1)
+        if seen:
+            parts = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(PARTS, -1)]
+            yield T.rows(part=np.arange(PARTS), counts=pa.array(parts, pa.binary()))
+
+    return f
+
+
+def _added(batches):
+    """Sums of the parts of all tasks; rows come sorted by part."""
+    part = total = None
+    for batch in batches:
+        for p, blob in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
+            x = np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
+            if p != part:
+                if part is not None:
+                    yield T.rows(part=[part], counts=pa.array([total.tobytes()], pa.binary()))
+                part, total = p, np.zeros(len(x), np.int64)
+            total = total + x
+    if part is not None:
+        yield T.rows(part=[part], counts=pa.array([total.tobytes()], pa.binary()))
+
+
+def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """A bitmap of the slots whose counters say that their shingles are common; its size is fixed."""
+    counted = docs.mapInArrow(_counted(k), "part long, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(_added, "part long, counts binary").toArrow()
+    counts = np.zeros((PARTS, (1 << COUNTERS) // PARTS), np.int64)
+    for p, blob in zip(counted["part"].to_pylist(), counted["counts"].to_pylist(), strict=True):
+        counts[p] = np.frombuffer(blob, np.int64)
+    bits = counts.ravel() >= max(COMMON[0], COMMON[1] * counts.mean())
+    return np.packbits(bits, bitorder="little").view(np.uint32)
+
+
 def _sets(batch: pa.RecordBatch, k: int):
     """(row, sorted set of shingles) for each row with words."""
     data, off = T.buffers(batch.column("text"))
@@ -96,7 +157,7 @@ def _sizes(k: int):
     return f
 
 
-def _signed(k: int, num: int, den: int):
+def _signed(k: int, num: int, den: int, common):
     classes = size_classes(num, den)
 
     def f(batches):
@@ -110,7 +171,7 @@ def _signed(k: int, num: int, den: int):
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(d)
-                sig = signatures(u, classes, num, den)
+                sig = signatures(u, classes, num, den, common.value)
                 s.append(sig)
                 x.append(np.full(len(sig), d))
             if s:
@@ -154,7 +215,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     sizes = scratch.table(all_docs.mapInArrow(_sizes(n), "doc_id long, n long, digest long"), "sizes")
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = scratch.table(classes, "classes")
-    links = candidate_links(some.mapInArrow(_signed(n, num, den), ENTRIES))
+    common = spark.sparkContext.broadcast(common_shingles(some, n))
+    links = candidate_links(some.mapInArrow(_signed(n, num, den, common), ENTRIES))
     clusters = connected_components(scratch, links)
     clusters = scratch.table(clusters.join(classes, clusters.node == classes.digest).select("id", "digest", F.col("root").alias("cluster")), "clusters")
     bitmap = spark.sparkContext.broadcast(membership(clusters, "id"))
