@@ -152,7 +152,7 @@ def in_all_of(*inputs: int) -> Column:
     """Present in each of these inputs, counted from 1."""
     out = F.lit(True)
     for n in inputs:
-        out = out & F.exists("a", lambda x, n=n: x["idx"] == n - 1)
+        out = out & F.expr(f"exists(a, x -> x.idx = {n - 1})")
     return out
 
 

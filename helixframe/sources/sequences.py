@@ -21,11 +21,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(ident, bases, quals) of four-line FASTQ files."""
+    """(ident, bases, quals) of four-line FASTQ files; quals is null where its line begins with @, which also begins records."""
     raw = spark.read.option("lineSep", "\n@").text(path).where("trim(value) <> ''")
-    # a quality line may begin with @: such a piece has fewer than four lines and belongs to the record before
     lines = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    return raw.select(lines.alias("l")).where("size(l) >= 4").select(F.trim(F.col("l")[0]).alias("ident"), F.upper(F.trim(F.col("l")[1])).alias("bases"), F.trim(F.col("l")[3]).alias("quals"))
+    return raw.select(lines.alias("l")).where("size(l) >= 3 and startswith(l[2], '+')").select(F.trim(F.col("l")[0]).alias("ident"), F.upper(F.trim(F.col("l")[1])).alias("bases"), F.trim(F.get("l", F.lit(3))).alias("quals"))
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:
