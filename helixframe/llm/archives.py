@@ -10,9 +10,10 @@ holds about FILE_BYTES of payload, and is parsed whole by one task.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import Scratch
+from .shared import Scratch, maybe_in, membership
 
 FILE_BYTES = 8 << 20
 DATE = "20240101000000"  # pages carry no time of their own
@@ -119,24 +120,46 @@ def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
+def _packed(records: Iterator[str], head: Callable[[int], str], sep: str, file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows that are files each: records until file_bytes is reached, after a head of its own."""
+    n, pack, size = 0, [], 0
+    for record in records:
+        if not pack:
+            pack.append(head(n))
+        pack.append(record)
+        size += len(record)
+        if size >= file_bytes:
+            yield T.rows(value=pa.array([sep.join(pack)], pa.string()))
+            n, pack, size = n + 1, [], 0
+    if pack:
+        yield T.rows(value=pa.array([sep.join(pack)], pa.string()))
+
+
+def _write(files: DataFrame, path: str, sep: str) -> None:
+    files.write.option("lineSep", sep).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+
+
 def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Writes pages (page_id, url, html) as ARC files, of either version in turn."""
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    """Writes pages (page_id, url, html) as gzipped ARC files, of either version by task.
+
+    A task writes the rows that it reads, a file for each file_bytes of records; nothing is shuffled.
+    """
 
     def f(batches):
         part = TaskContext.get().partitionId()
-        version, name, offset, first = 1 + part % 2, f"part-{part}.arc", 0, True
-        for batch in batches:
-            out = [version_block(version, name)] if first else []
-            first = False
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                out.append(arc_record(version, url, http_message(page_id, html or ""), offset, name))
-                offset += 1
-            yield T.rows(value=pa.array(out, pa.string()))
-
-    parts = max(1, -(-size // file_bytes))
+        version = 1 + part % 2
+
+        def records():
+            offset = 0
+            for batch in batches:
+                for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                    yield arc_record(version, url, http_message(page_id, html or ""), offset, f"part-{part}")
+                    offset += 1
+
+        yield from _packed(records(), lambda n: version_block(version, f"part-{part}-{n}.arc"), "\n", file_bytes)
+
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    pages.repartition(parts, F.xxhash64("page_id", "url")).mapInArrow(f, "value string").write.option("lineSep", "\n").text(path)
+    _write(pages.mapInArrow(f, "value string"), path, "\n")
 
 
 _RECORD = "page_id long, url string, ip string, date string, mime string, version int, payload string, payload_bytes long, digest string"
@@ -149,7 +172,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 out = []
-                content = content.as_py()
+                content = gzip.decompress(content.as_py())
                 version = 2 if b" Checksum " in content[: content.find(b"\n", content.find(b"\nURL ") + 1)] else 1
                 for head, body in parse_arc(content):
                     http, payload = parse_http(body)
@@ -175,43 +198,63 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
 
 
-def convert_to_warc(records: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Writes read_arc()'s records as WARC files.
+def _as_warc(r: dict) -> str:
+    revisit = r.get("first") is not None
+    fields = [
+        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Target-URI", r["url"]),
+        ("WARC-Date", warc_date(r["date"])),
+        ("WARC-Record-ID", f"<{record_id(r['url'], r['date'], r['page_id'])}>"),
+        ("WARC-IP-Address", r["ip"]),
+        ("WARC-Payload-Digest", f"sha1:{r['digest']}"),
+        ("X-Payload-Length", str(r["payload_bytes"])),
+        ("Content-Type", "application/http; msgtype=response"),
+    ]
+    if revisit:
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(r["first"]))]
+    return warc_record(fields, http_message(r["page_id"], "" if revisit else r["payload"]))
+
+
+def _warc_files(kind: str, file_bytes: int):
+    def f(batches):
+        part = TaskContext.get().partitionId()
 
-    Of records with equal payloads of at least min_bytes that with the least page_id is a response,
-    and the others refer to it.  Records without page_id are responses.
-    """
-    ids = records.where("page_id is not null").select("page_id", "digest", "payload_bytes")
-    first = ids.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    known = ids.join(first, "digest").where("first <> page_id").select("page_id", "first").distinct()
+        def info(n: int) -> str:
+            name = record_id("warcinfo:", DATE, f"{kind}-{part}-{n}")
+            return warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", warc_date(DATE)), ("Content-Type", "application/warc-fields")], "software: helixframe\r\nformat: WARC File Format 1.0\r\n")
+
+        yield from _packed((_as_warc(r) for batch in batches for r in batch.to_pylist()), info, "\r\n", file_bytes)
+
+    return f
+
+
+def _of_revisits(bitmap, wanted: bool):
+    """The records whose page_id is in the bitmap, or those for which it isn't or is null."""
 
     def f(batches):
-        part, begun = TaskContext.get().partitionId(), False
         for batch in batches:
-            out = []
-            if not begun:
-                begun = True
-                info = "software: helixframe\r\nformat: WARC File Format 1.0\r\n"
-                out.append(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{record_id('warcinfo:', DATE, part)}>"), ("WARC-Date", warc_date(DATE)), ("Content-Type", "application/warc-fields")], info))
-            for r in batch.to_pylist():
-                revisit = r["first"] is not None
-                fields = [
-                    ("WARC-Type", "revisit" if revisit else "response"),
-                    ("WARC-Target-URI", r["url"]),
-                    ("WARC-Date", warc_date(r["date"])),
-                    ("WARC-Record-ID", f"<{record_id(r['url'], r['date'], r['page_id'])}>"),
-                    ("WARC-IP-Address", r["ip"]),
-                    ("WARC-Payload-Digest", f"sha1:{r['digest']}"),
-                    ("X-Payload-Length", str(r["payload_bytes"])),
-                    ("Content-Type", "application/http; msgtype=response"),
-                ]
-                if revisit:
-                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(r["first"]))]
-                out.append(warc_record(fields, http_message(r["page_id"], "" if revisit else r["payload"])))
-            yield T.rows(value=pa.array(out, pa.string()))
-
-    joined = records.join(known, "page_id", "left").select("page_id", "url", "ip", "date", "payload_bytes", "digest", "first", F.when(F.col("first").isNull(), F.col("payload")).otherwise("").alias("payload"))
-    joined.mapInArrow(f, "value string").write.option("lineSep", "\r\n").text(path)
+            ids = batch.column("page_id")
+            found = maybe_in(bitmap.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(found if wanted else ~found))
+
+    return f
+
+
+def convert_to_warc(records: DataFrame, path: str, scratch: Scratch, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """Writes read_arc()'s records as gzipped WARC files.
+
+    Of records with equal payloads of at least min_bytes that with the least page_id is a response,
+    and the others refer to it.  Records without page_id are responses.  A bitmap of fixed size tells
+    most responses from revisits where they are read; only the rest is shuffled, and joined exactly.
+    """
+    ids = scratch.table(records.where("page_id is not null").select("page_id", "digest", "payload_bytes"), "ids")
+    first = ids.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
+    known = scratch.table(ids.join(first, "digest").where("first <> page_id").select("page_id", "first").distinct(), "revisits")
+    bitmap = records.sparkSession.sparkContext.broadcast(membership(known, "page_id"))
+    direct = records.mapInArrow(_of_revisits(bitmap, False), records.schema)
+    others = records.mapInArrow(_of_revisits(bitmap, True), records.schema).join(known, "page_id", "left")
+    files = direct.mapInArrow(_warc_files("direct", file_bytes), "value string").unionByName(others.mapInArrow(_warc_files("joined", file_bytes), "value string"))
+    _write(files, path, "\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -224,7 +267,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 out = []
-                for head, block in parse_warc(content.as_py()):
+                for head, block in parse_warc(gzip.decompress(content.as_py())):
                     if head["WARC-Type"] == "warcinfo":
                         continue
                     http, payload = parse_http(block)
@@ -260,5 +303,5 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     scratch = Scratch(spark, "archives")
     arc, warc = scratch.new_path("arc"), scratch.new_path("warc")
     write_arc(pages, arc)
-    convert_to_warc(read_arc(spark, arc), warc)
+    convert_to_warc(read_arc(spark, arc), warc, scratch)
     return read_warc(spark, warc)
