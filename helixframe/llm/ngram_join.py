@@ -7,7 +7,9 @@ at most H = (1-t)/t * A shingles, where A bounds the smaller size.  So when the
 by hash) are dealt into more than H blocks, some block of columns is the same in both.  Sizes are cut
 into classes, and each set sends one signature a column block, for its own class and the one below;
 sets that share no column block are below the bound that their sizes give, and their product is
-never formed.  Shingles that many documents share are left out of the signatures, which keeps the
+never formed.  A set is a candidate in each of its two classes by itself, so that clusters of
+candidates hold sizes of two classes only; those without a set whose own class it is are left out,
+as the class above has the same links.  Shingles that many documents share are left out of the signatures, which keeps the
 bound, so that a common passage alone brings no crowd together; sets that leave too few send their
 rarest shingles besides.  Which shingles are common is told by a counter for each
 of 2**COUNTERS hash values, over all documents; it decides how much is compared, never what is linked.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .shared import Scratch, connected_components, maybe_in, membership
-from .simjoin import ENTRIES, candidate_links, entries, exact_components
+from .simjoin import ENTRIES, candidate_links, entries, exact_components, with_blocks
 
 U64 = np.uint64
 COUNTERS = 22
@@ -50,15 +52,15 @@ def slack(h: int) -> int:
     return 2 + h // 32
 
 
-def signatures(u: np.ndarray, classes: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> np.ndarray:
-    """Signatures of the sorted set u: a hash for each column block, for the set's class and the one below.
+def signatures(u: np.ndarray, classes: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sorted set u, and for each whether it is for the class below the set's own.
 
     common: bits of the counters' slots that are common.  Two sets that may be linked agree in more
     column blocks than ``slack``.  So if one of them has at most that many empty ones, they agree in
     a block that isn't empty.  A set with more also sends the shingles that come first by (common,
     hash), one more than may be missing in a set it is linked with: two such sets share one of them.
     """
-    out, sparse = [], False
+    out, below = [], []
     g = int(np.searchsorted(classes, len(u), "right")) - 1
     is_common = np.zeros(len(u), bool) if common is None else maybe_in(common, _slot(u))
     rare = u[~is_common]
@@ -69,17 +71,20 @@ def signatures(u: np.ndarray, classes: np.ndarray, num: int, den: int, common: n
             continue  # sets of these sizes are linked only if they are equal
         spare = slack(h)
         k = h + 1 + spare
+        salt = U64(T.MASK & (group * 0xA24BAED4963EE407))
         cut = np.zeros(0, np.int64)
         if len(rare):
             block = (high * U64(k) >> U64(32)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            salt = U64(T.MASK & (group * 0xA24BAED4963EE407))
             out.append(T.mix(np.add.reduceat(hashed, cut) + block[cut].astype(U64) * U64(0x9FB21C651E98DF25) + salt))
-        sparse |= k - len(cut) > spare
-    if sparse:
-        first = len(u) - -(-num * len(u) // den) + 1
-        out.append(T.mix(np.concatenate([rare, u[is_common]])[:first] + U64(0x1B873593)))
-    return np.concatenate(out) if out else np.zeros(0, U64)
+            below.append(np.full(len(cut), group < g))
+        if k - len(cut) > spare:
+            first = len(u) - -(-num * len(u) // den) + 1
+            out.append(T.mix(np.concatenate([rare, u[is_common]])[:first] + U64(0x1B873593) + salt))
+            below.append(np.full(len(out[-1]), group < g))
+    if not out:
+        return np.zeros(0, U64), np.zeros(0, bool)
+    return np.concatenate(out), np.concatenate(below)
 
 
 def _slot(u: np.ndarray) -> np.ndarray:
@@ -143,7 +148,8 @@ def _sets(batch: pa.RecordBatch, k: int):
 
 
 def _digest(u: np.ndarray) -> int:
-    return int(T.signed(T.mix(np.array([T.mix(u).sum(dtype=U64) + U64(len(u))], U64)))[0])
+    """A set's hash; its last bit is 0, and set where the set stands in the class below its own."""
+    return int(T.signed(T.mix(np.array([T.mix(u).sum(dtype=U64) + U64(len(u))], U64)))[0]) & ~1
 
 
 def _sizes(k: int):
@@ -171,9 +177,9 @@ def _signed(k: int, num: int, den: int, common):
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(d)
-                sig = signatures(u, classes, num, den, common.value)
+                sig, below = signatures(u, classes, num, den, common.value)
                 s.append(sig)
-                x.append(np.full(len(sig), d))
+                x.append(d + below.astype(np.int64))
             if s:
                 yield entries(T.signed(np.concatenate(s)), np.concatenate(x))
 
@@ -217,12 +223,16 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     classes = scratch.table(classes, "classes")
     common = spark.sparkContext.broadcast(common_shingles(some, n))
     links = candidate_links(some.mapInArrow(_signed(n, num, den, common), ENTRIES))
-    clusters = connected_components(scratch, links)
-    clusters = scratch.table(clusters.join(classes, clusters.node == classes.digest).select("id", "digest", F.col("root").alias("cluster")), "clusters")
+    nodes = scratch.table(connected_components(scratch, links), "nodes")
+    nodes = nodes.join(nodes.where("node & 1 = 0").select("root").distinct(), "root", "left_semi")
+    nodes = scratch.table(nodes.select("node", F.col("root").alias("cluster"), F.expr("node & ~1L").alias("of")), "own")
+    nodes, hot = with_blocks(nodes, block)
+    clusters = scratch.table(nodes.join(classes, nodes["of"] == classes["digest"]).select("id", "digest", "node", "cluster", "blocks"), "clusters")
     bitmap = spark.sparkContext.broadcast(membership(clusters, "id"))
     feats = some.mapInArrow(_features(n, bitmap), "id long, digest long, feats binary")
-    items = feats.join(clusters, ["id", "digest"]).select("cluster", F.col("digest").alias("id"), "feats")
-    found = exact_components(scratch, items, num, den, block).withColumnRenamed("id", "digest")
+    items = feats.join(clusters, ["id", "digest"]).select("cluster", F.col("node").alias("id"), "feats", "blocks")
+    found = exact_components(scratch, items, hot, num, den, block).select(F.expr("id & ~1L").alias("a"), F.expr("root & ~1L").alias("b"))
+    found = connected_components(scratch, found).withColumnRenamed("node", "digest")
     found = scratch.table(found.join(classes, "digest"), "found")
     least = found.groupBy("root").agg(F.min("id").alias("least"))
     roots = classes.join(found.join(least, "root").select("digest", "least"), "digest", "left").select("digest", F.coalesce("least", "id").alias("component_id"))

@@ -221,8 +221,20 @@ def _across(num: int, den: int, features: Callable):
     return f
 
 
-def exact_components(scratch: Scratch, items: DataFrame, num: int, den: int, block: int = BLOCK, features: Callable = _stored) -> DataFrame:
-    """(id, root) for items (cluster, id, feats): components of the links den * overlap >= num * union.
+def with_blocks(members: DataFrame, block: int = BLOCK) -> tuple[DataFrame, bool]:
+    """members (cluster, ...) with the number of blocks of their cluster, and whether any has several.
+
+    Counted on the narrow table, so that features needn't be shuffled for it.
+    """
+    counts = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    hot = counts.limit(1).count() > 0
+    if not hot:
+        return members.withColumn("blocks", F.lit(1)), False
+    return members.join(counts, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), True
+
+
+def exact_components(scratch: Scratch, items: DataFrame, hot: bool, num: int, den: int, block: int = BLOCK, features: Callable = _stored) -> DataFrame:
+    """(id, root) for items (cluster, id, feats, blocks), the latter and hot by with_blocks(): components of the links den * overlap >= num * union.
 
     feats: the sorted features, eight bytes each, or what ``features`` turns into a sorted array.  Links join items of one cluster only.  root is
     the smallest id of the component.
@@ -232,10 +244,7 @@ def exact_components(scratch: Scratch, items: DataFrame, num: int, den: int, blo
     first block; nearly all of a large group of copies meets in this way.  Only what is left outside
     is compared with every block, so that no link is lost and no task holds more than a few blocks.
     """
-    counts = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("items")).select("cluster", F.ceil(F.col("items") / block).cast("int").alias("blocks"))
-    counts = scratch.table(counts, "sizes")
-    items = items.join(counts, "cluster").select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("block"), "id", "feats", "blocks")
-    hot = counts.where("blocks > 1").limit(1).count() > 0
+    items = items.select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("block"), "id", "feats", "blocks")
     if hot:
         items = scratch.table(items, "items")
     solved = items.select("cluster", "block", "id", "feats").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, features), "cluster long, block long, id long, root long")
