@@ -219,21 +219,21 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = all_docs.where("doc_id is not null")
     sizes = scratch.table(all_docs.mapInArrow(_sizes(n), "doc_id long, n long, digest long"), "sizes")
-    classes = sizes.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    classes = sizes.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
     classes = scratch.table(classes, "classes")
     common = spark.sparkContext.broadcast(common_shingles(some, n))
     links = candidate_links(some.mapInArrow(_signed(n, num, den, common), ENTRIES))
     nodes = scratch.table(connected_components(scratch, links), "nodes")
     nodes = nodes.join(nodes.where("node & 1 = 0").select("root").distinct(), "root", "left_semi")
-    nodes = scratch.table(nodes.select("node", F.col("root").alias("cluster"), F.expr("node & ~1L").alias("of")), "own")
-    nodes, hot = with_blocks(nodes, block)
-    clusters = scratch.table(nodes.join(classes, nodes["of"] == classes["digest"]).select("id", "digest", "node", "cluster", "blocks"), "clusters")
+    nodes = nodes.select("node", F.col("root").alias("cluster"), F.expr("node & ~1L").alias("of"))
+    clusters = scratch.table(nodes.join(classes, nodes["of"] == classes["digest"]).select("id", "digest", "node", "cluster", "n"), "clusters")
     bitmap = spark.sparkContext.broadcast(membership(clusters, "id"))
+    clusters, hot = with_blocks(clusters, block)
     feats = some.mapInArrow(_features(n, bitmap), "id long, digest long, feats binary")
-    items = feats.join(clusters, ["id", "digest"]).select("cluster", F.col("node").alias("id"), "feats", "blocks")
+    items = feats.join(clusters, ["id", "digest"]).select("cluster", F.col("node").alias("id"), "feats", "n", "blocks")
     found = exact_components(scratch, items, hot, num, den, block).select(F.expr("id & ~1L").alias("a"), F.expr("root & ~1L").alias("b"))
     found = connected_components(scratch, found).withColumnRenamed("node", "digest")
-    found = scratch.table(found.join(classes, "digest"), "found")
+    found = scratch.table(found.join(classes.drop("n"), "digest"), "found")
     least = found.groupBy("root").agg(F.min("id").alias("least"))
     roots = classes.join(found.join(least, "root").select("digest", "least"), "digest", "left").select("digest", F.coalesce("least", "id").alias("component_id"))
     return sizes.join(roots, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))

@@ -18,6 +18,7 @@ from .shared import Scratch, connected_components
 from .text import rows, signed
 
 BLOCK = 2048  # sets that are compared in one task
+FEATURES = 1 << 21  # and how many features they have in all, about
 COLUMNS = 2048  # features multiplied at once
 
 ENTRIES = "a long, b long, edge boolean"
@@ -67,60 +68,80 @@ def candidate_links(found: DataFrame) -> DataFrame:
     return found.repartition("a").sortWithinPartitions("edge", "a").mapInArrow(_stars, "a long, b long")
 
 
-def linked(sets: list[np.ndarray], num: int, den: int, left: int | None = None) -> np.ndarray:
-    """Which pairs of sets have den * overlap >= num * union, as a square of booleans.
+def linked(sets: list[np.ndarray], num: int, den: int, others: list[np.ndarray] | None = None) -> np.ndarray:
+    """Which pairs of a set and one of the others (or of the same sets) have den * overlap >= num * union, as a table of booleans.
 
-    The set-by-feature matrix is multiplied by its transpose over blocks of features, the most
-    frequent first.  After each block a pair whose count plus the features that remain is below
+    The set-by-feature matrix is multiplied by the others' transpose over blocks of features, the
+    most frequent first.  After each block a pair whose count plus the features that remain is below
     the overlap that the two sizes require is discarded; sets without open pairs leave the product.
-    left: only pairs of the first ``left`` sets with the others are wanted.
     """
-    m = len(sets)
-    size = np.array([len(x) for x in sets], np.int64)
-    total = size[:, None] + size[None, :]
-    need = -(-(num * total) // (den + num))
-    open_ = np.minimum(size[:, None], size[None, :]) >= need
-    np.fill_diagonal(open_, False)
-    if left is not None:
-        open_[:left, :left] = False
-        open_[left:, left:] = False
-    done = np.zeros((m, m), bool)
+    same = others is None
+    others = sets if same else others
+    m, n = len(sets), len(others)
+    size = np.array([len(x) for x in sets], np.int32)
+    size2 = size if same else np.array([len(x) for x in others], np.int32)
+    required = -(-num * np.arange(int(size.max()) + int(size2.max()) + 1) // (den + num)) if m and n else np.zeros(1, np.int64)
+    need = required.astype(np.int32)[size[:, None] + size2[None, :]]
+    open_ = np.minimum(size[:, None], size2[None, :]) >= need
+    if same:
+        np.fill_diagonal(open_, False)
+    done = np.zeros((m, n), bool)
     if not open_.any():
         return done
-    if m == 2:
+    if same and m == 2:
         both = np.concatenate(sets)
         both.sort()
         done[:] = open_ & (int((both[1:] == both[:-1]).sum()) >= need[0, 1])
         return done
-    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(m), size)
-    rank = np.empty(len(df), np.int64)
-    rank[np.argsort(-df, kind="stable")] = np.arange(len(df))
+    feature, column = np.unique(np.concatenate(sets if same else [*sets, *others]), return_inverse=True)
+    split = int(size.sum())
+    df = np.bincount(column[:split], minlength=len(feature))
+    df2 = df if same else np.bincount(column[split:], minlength=len(feature))
+    del feature
+    both = df > 1 if same else (df > 0) & (df2 > 0)
+    shared = int(both.sum())
+    rank = np.full(len(df), shared, np.int32)
+    which = np.flatnonzero(both)
+    rank[which[np.argsort(-(df + df2)[which], kind="stable")]] = np.arange(shared)
     column = rank[column]
-    shared = int((df > 1).sum())
-    keep = column < shared
-    row, column = row[keep], column[keep]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    rest = np.bincount(row, minlength=m)
-    count = np.zeros((m, m), np.float32)
-    alive = np.flatnonzero(open_.any(1))
-    for at in range(0, shared, COLUMNS):
+
+    def by_column(sizes: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[column < shared]
+        column = column[column < shared]
+        order = np.argsort(column, kind="stable")
+        return row[order], column[order]
+
+    row, column1 = by_column(size, column[:split])
+    row2, column2 = (row, column1) if same else by_column(size2, column[split:])
+    rest, rest2 = np.bincount(row, minlength=m).astype(np.int32), np.bincount(row2, minlength=n).astype(np.int32)
+    count = np.zeros((m, n), np.float32)
+
+    def block(row: np.ndarray, column: np.ndarray, alive: np.ndarray, rest: np.ndarray, at: int) -> np.ndarray:
         lo, hi = np.searchsorted(column, [at, at + COLUMNS])
-        where = np.full(m, -1)
+        where = np.full(len(rest), -1)
         where[alive] = np.arange(len(alive))
         r, c = where[row[lo:hi]], column[lo:hi] - at
         x = np.zeros((len(alive), min(COLUMNS, shared - at)), np.float32)
         x[r[r >= 0], c[r >= 0]] = 1
-        cells = np.ix_(alive, alive)
-        now = count[cells] + x @ x.T
+        rest -= np.bincount(row[lo:hi], minlength=len(rest)).astype(np.int32)
+        return x
+
+    alive, alive2 = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    for at in range(0, shared, COLUMNS):
+        x = block(row, column1, alive, rest, at)
+        y = x if same else block(row2, column2, alive2, rest2, at)
+        left = rest if same else rest2
+        cells = np.ix_(alive, alive2)
+        now = x @ y.T
+        now += count[cells]
         count[cells] = now
-        rest -= np.bincount(row[lo:hi], minlength=m)
-        wanted = need[cells]
-        done[cells] |= open_[cells] & (now >= wanted)
-        most = now + np.minimum(rest[alive][:, None], rest[alive][None, :])
-        open_[cells] &= (now < wanted) & (most >= wanted)
-        alive = alive[open_[cells].any(1)]
+        wanted, still = need[cells], open_[cells]
+        reached = now >= wanted
+        done[cells] |= still & reached
+        wanted -= np.minimum(rest[alive][:, None], left[alive2][None, :])
+        still &= ~reached & (now >= wanted)
+        open_[cells] = still
+        alive, alive2 = alive[still.any(1)], alive2[still.any(0)]
         if not len(alive):
             break
     return done
@@ -211,7 +232,8 @@ def _across(num: int, den: int, features: Callable):
             run.sort(key=lambda r: not r[0])
             left = sum(r[0] for r in run)
             if 0 < left < len(run):
-                x, y = np.nonzero(linked([features(r[2]) for r in run], num, den, left)[:left, left:])
+                sets = [features(r[2]) for r in run]
+                x, y = np.nonzero(linked(sets[:left], num, den, sets[left:]))
                 root = np.array([r[1] for r in run])
                 pairs = np.unique(np.stack([root[x], root[y + left]], 1), axis=0)
                 pairs = pairs[pairs[:, 0] != pairs[:, 1]]
@@ -222,19 +244,24 @@ def _across(num: int, den: int, features: Callable):
 
 
 def with_blocks(members: DataFrame, block: int = BLOCK) -> tuple[DataFrame, bool]:
-    """members (cluster, ...) with the number of blocks of their cluster, and whether any has several.
+    """members (cluster, n, ...) with the number of blocks of their cluster, and whether any has several.
 
-    Counted on the narrow table, so that features needn't be shuffled for it.
+    n: a set's features.  A block holds ``block`` sets and FEATURES features, about.  Counted on the
+    narrow table, so that features needn't be shuffled for it.
     """
-    counts = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    counts = members.groupBy("cluster").agg(_parts(block).alias("blocks")).where("blocks > 1")
     hot = counts.limit(1).count() > 0
     if not hot:
         return members.withColumn("blocks", F.lit(1)), False
     return members.join(counts, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), True
 
 
+def _parts(block: int):
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.least(F.ceil(F.sum("n") / FEATURES), F.count(F.lit(1)))).cast("int")
+
+
 def exact_components(scratch: Scratch, items: DataFrame, hot: bool, num: int, den: int, block: int = BLOCK, features: Callable = _stored) -> DataFrame:
-    """(id, root) for items (cluster, id, feats, blocks), the latter and hot by with_blocks(): components of the links den * overlap >= num * union.
+    """(id, root) for items (cluster, id, feats, n, blocks), the latter and hot by with_blocks(): components of the links den * overlap >= num * union.
 
     feats: the sorted features, eight bytes each, or what ``features`` turns into a sorted array.  Links join items of one cluster only.  root is
     the smallest id of the component.
@@ -244,7 +271,7 @@ def exact_components(scratch: Scratch, items: DataFrame, hot: bool, num: int, de
     first block; nearly all of a large group of copies meets in this way.  Only what is left outside
     is compared with every block, so that no link is lost and no task holds more than a few blocks.
     """
-    items = items.select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("block"), "id", "feats", "blocks")
+    items = items.select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("block"), "id", "feats", "n", "blocks")
     if hot:
         items = scratch.table(items, "items")
     solved = items.select("cluster", "block", "id", "feats").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, features), "cluster long, block long, id long, root long")
@@ -259,7 +286,7 @@ def exact_components(scratch: Scratch, items: DataFrame, hot: bool, num: int, de
     met = hubs.repartition("cluster").sortWithinPartitions("cluster", "root").mapInArrow(_hubs(num, den, features), "cluster long, root long, hub long")
     met = scratch.table(met, "met")
     rest = large.join(met.select("root"), "root", "left_anti")
-    chunks = rest.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
+    chunks = rest.groupBy("cluster").agg(_parts(block).alias("chunks"))
     r = rest.join(chunks, "cluster").select("cluster", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("long").alias("chunk"), F.lit(True).alias("rest"), "root", "feats")
     b = large.join(chunks, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"), F.lit(False).alias("rest"), "root", "feats")
     links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den, features), "a long, b long")

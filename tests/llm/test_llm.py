@@ -105,6 +105,8 @@ def test_blocked_product_against_sets():
     sets = [np.unique(np.append(rng.choice(base, rng.integers(1, 3000), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 400)).astype(np.uint64))) for _ in range(30)]
     sets += [sets[0], np.sort(base), np.sort(base[:2900]), np.sort(base[100:])]
     got = simjoin.linked(sets, 4, 5)
+    across = simjoin.linked(sets[:31], 4, 5, sets[31:])
+    assert (across == got[:31, 31:]).all() and across.any()
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             both = len(np.intersect1d(a, b))
