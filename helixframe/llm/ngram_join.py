@@ -114,26 +114,42 @@ def _counted(k: int):
 def _added(batches):
     """Sums of the parts of all tasks; rows come sorted by part."""
     part = total = None
+
+    def out():
+        return T.rows(part=[part], total=[int(total.sum())], counts=pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()))
+
     for batch in batches:
         for p, blob in zip(batch.column("part").to_pylist(), batch.column("counts"), strict=True):
             x = np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
             if p != part:
                 if part is not None:
-                    yield T.rows(part=[part], counts=pa.array([total.tobytes()], pa.binary()))
+                    yield out()
                 part, total = p, np.zeros(len(x), np.int64)
-            total = total + x
+            total += x
     if part is not None:
-        yield T.rows(part=[part], counts=pa.array([total.tobytes()], pa.binary()))
+        yield out()
+
+
+def _bits(least: float):
+    """Which of a part's counters are at least so high, eight in a byte."""
+
+    def f(batches):
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(zlib.decompress(x.as_py()), np.int64) >= least, bitorder="little").tobytes() for x in batch.column("counts")]
+            yield T.rows(part=batch.column("part"), bits=pa.array(bits, pa.binary()))
+
+    return f
 
 
-def common_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """A bitmap of the slots whose counters say that their shingles are common; its size is fixed."""
-    counted = docs.mapInArrow(_counted(k), "part long, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(_added, "part long, counts binary").toArrow()
-    counts = np.zeros((PARTS, (1 << COUNTERS) // PARTS), np.int64)
-    for p, blob in zip(counted["part"].to_pylist(), counted["counts"].to_pylist(), strict=True):
-        counts[p] = np.frombuffer(blob, np.int64)
-    bits = counts.ravel() >= max(COMMON[0], COMMON[1] * counts.mean())
-    return np.packbits(bits, bitorder="little").view(np.uint32)
+def common_shingles(scratch: Scratch, docs: DataFrame, k: int) -> np.ndarray:
+    """A bitmap of the slots whose counters say that their shingles are common; its size is fixed, and the counters stay with the tasks."""
+    counted = docs.mapInArrow(_counted(k), "part long, counts binary").repartition("part").sortWithinPartitions("part").mapInArrow(_added, "part long, total long, counts binary")
+    counted = scratch.table(counted, "counters")
+    mean = (counted.agg(F.sum("total")).first()[0] or 0) / (1 << COUNTERS)
+    out = np.zeros((PARTS, (1 << COUNTERS) // PARTS // 8), np.uint8)
+    for r in counted.mapInArrow(_bits(max(COMMON[0], COMMON[1] * mean)), "part long, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel().view(np.uint32)
 
 
 def _sets(batch: pa.RecordBatch, k: int):
@@ -221,7 +237,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     sizes = scratch.table(all_docs.mapInArrow(_sizes(n), "doc_id long, n long, digest long"), "sizes")
     classes = sizes.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
     classes = scratch.table(classes, "classes")
-    common = spark.sparkContext.broadcast(common_shingles(some, n))
+    common = spark.sparkContext.broadcast(common_shingles(scratch, some, n))
     links = candidate_links(some.mapInArrow(_signed(n, num, den, common), ENTRIES))
     nodes = scratch.table(connected_components(scratch, links), "nodes")
     nodes = nodes.join(nodes.where("node & 1 = 0").select("root").distinct(), "root", "left_semi")
