@@ -54,7 +54,7 @@ class Model:
 
 
 def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """examples: (places, values, label), in the order in which they are learned."""
+    """examples: (places, counts, label), in the order in which they are learned; a value is the count over the root of the text's counts."""
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = 1 << BITS
 
@@ -62,8 +62,8 @@ def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
         return np.where(np.abs(z[at]) <= L1, 0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     for _ in range(EPOCHS):
-        for places, values, label in examples:
-            at, x = np.append(places, bias), np.append(values, 1.0)
+        for places, counts, label in examples:
+            at, x = np.append(places, bias), np.append(counts / np.sqrt(counts.sum()), 1.0)
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -50, 50)))
             g = (p - label) * x
@@ -101,10 +101,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
     rows_ = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id", F.lit(6)).alias("key"), "label", "text")
     found = rows_.mapInArrow(features, "key long, label int, places binary, counts binary").toArrow()
     taken = sorted(zip(*(found[c].to_pylist() for c in ("key", "label", "places", "counts")), strict=True))
-    examples = []
-    for _, y, p, c in taken:
-        c = np.frombuffer(c, np.int32).astype(np.float64)
-        examples.append((np.frombuffer(p, np.int32), c / np.sqrt(c.sum()), y))
+    del found
+    examples = [(np.frombuffer(p, np.int32), np.frombuffer(c, np.int32), y) for _, y, p, c in taken]
     return train_ftrl(examples)
 
 
