@@ -5,16 +5,19 @@ impact on each block of BLOCK neighbouring items.  As in block-max WAND, a passa
 maxima, repeated terms included, bounds its score for all items of a block, and only blocks whose
 bound reaches the threshold are scored, over the passage's distinct terms.  Every passage of every text is a query, and every item above the threshold is retrieved.
 
-Scores are relative to the item's score for itself.  What is retrieved is verified: the question is
-the item without its last sentence, the answer its last sentence, and the share of their word
-n-grams that the text has near the passage decides.
-
-The index is sent to the tasks in shards of SHARD items, whose size is bounded by that of their
-texts; a larger test set is worked off shard by shard.
+The question is the item without its last sentence, the answer its last sentence.  The item, its
+question and an answer that has half of its n-grams are retrieved each for itself, with scores relative to the unit's score for
+itself, so that a text that quotes only one of them is found whatever the others weigh.  What is
+retrieved is verified: the share of the parts' word n-grams that the text has near the passage, as
+far on each side as the item is long, decides.
+
+The index is built by Spark tasks, in shards of about SHARD items or SHARD_TERMS terms, and written
+to the shared folder; a larger test set is sent and worked off shard by shard.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -23,11 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .shared import Scratch
 
 U64 = np.uint64
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32  # terms
-BLOCK, SHARD = 8, 1024  # items
+BLOCK = 8  # units: items, questions and answers
+BLOCKS_AT_ONCE = 32
+SHARD, SHARD_TERMS = 340, 1 << 15
 THRESHOLD = 0.5
 NGRAM = 5
 QUESTION, WHOLE = 0.6, 0.5  # shares of n-grams
@@ -57,14 +63,22 @@ class Index:
         self.ids = np.array([i for i, _ in items], np.int64)
         terms = _terms([t for _, t in items])
         split = [parts(t) for _, t in items]
-        self.questions = [np.unique(T.shingles(x, NGRAM)) for x in _terms([q for q, _ in split])]
-        self.answers = [np.unique(T.shingles(x, NGRAM)) for x in _terms([a for _, a in split])]
-        self.wholes = [np.unique(T.shingles(x, NGRAM)) for x in terms]
+        self.sizes = np.array([len(t) for t in terms], np.int64)
+        parts_ = [[t, q, a] for t, q, a in zip(terms, _terms([q for q, _ in split]), _terms([a for _, a in split]), strict=True)]
+        self.grams = [[(min(NGRAM, len(u)), np.unique(T.shingles(u, NGRAM))) for u in units] for units in parts_]
         self.vocabulary = np.unique(np.concatenate([*terms, np.zeros(0, U64)]))
-        m, n = len(self.vocabulary), len(items)
-        self.blocks = -(-n // BLOCK)
+        units = []
+        for x, (_, t) in enumerate(items):
+            units.append((x, parts_[x][0]))
+            if split[x][0] != t:
+                units.append((x, parts_[x][1]))
+                if _share(self.grams[x][0][1], self.grams[x][2][1]) >= WHOLE:  # a shorter answer can't decide alone
+                    units.append((x, parts_[x][2]))
+        self.item = np.array([x for x, _ in units], np.int64)
+        m = len(self.vocabulary)
+        self.blocks = -(-len(units) // BLOCK)
         self.impact = np.zeros((m + 1, self.blocks * BLOCK), np.float32)
-        for x, t in enumerate(terms):
+        for x, (_, t) in enumerate(units):
             if not len(t):
                 continue
             u, tf = np.unique(t, return_counts=True)
@@ -72,7 +86,22 @@ class Index:
             idf = np.log(1 + (n_items - d + 0.5) / (d + 0.5))
             w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
             self.impact[np.searchsorted(self.vocabulary, u), x] = w / max(w.sum() * min(1.0, PASSAGE / len(t)), 1e-9)
-        self.maxima = self.impact.reshape(m + 1, self.blocks, BLOCK).max(2).astype(np.float64)
+        self._maxima()
+
+    def _maxima(self) -> None:
+        self.maxima = self.impact.reshape(len(self.impact), self.blocks, BLOCK).max(2).astype(np.float64)
+
+    def __getstate__(self) -> dict:
+        """The impacts that are not 0, of which the matrix is made again."""
+        at = np.nonzero(self.impact)
+        return {**{k: v for k, v in self.__dict__.items() if k not in ("impact", "maxima")}, "at": at, "values": self.impact[at]}
+
+    def __setstate__(self, state: dict) -> None:
+        at, values = state.pop("at"), state.pop("values")
+        self.__dict__.update(state)
+        self.impact = np.zeros((len(self.vocabulary) + 1, self.blocks * BLOCK), np.float32)
+        self.impact[at] = values
+        self._maxima()
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Row of each term; the last row, without impact, for terms that no item has."""
@@ -81,27 +110,32 @@ class Index:
 
 
 def retrieve(index: Index, h: np.ndarray, first: np.ndarray, threshold: float):
-    """(row, passage start, passage end, item, score) of all passages of the rows of terms h."""
+    """(row, passage start, passage end, unit, score) of all passages of the rows of terms h."""
     place = index.places(h)
     known = np.flatnonzero(place < len(index.vocabulary))
     if not len(known):
         return
     place = place[known]
-    bound = np.zeros((len(known) + 1, index.blocks))
-    np.cumsum(index.maxima[place], axis=0, out=bound[1:])
     size = np.diff(first)
     count = np.maximum(1, -(-(size - (PASSAGE - STRIDE)) // STRIDE)) * (size > 0)
     row = np.repeat(np.arange(len(size)), count)
     start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
     end = np.minimum(start + PASSAGE, first[row + 1])
     lo, hi = np.searchsorted(known, start), np.searchsorted(known, end)
-    p, b = np.nonzero(bound[hi] - bound[lo] >= threshold * 0.999)
-    for x, k in zip(p.tolist(), b.tolist(), strict=True):
-        distinct = np.unique(place[lo[x] : hi[x]])
-        score = index.impact[distinct, k * BLOCK : (k + 1) * BLOCK].sum(0, dtype=np.float64)
-        for i in np.flatnonzero(score >= threshold).tolist():
-            if k * BLOCK + i < len(index.ids):
-                yield int(row[x]), int(start[x]), int(end[x]), k * BLOCK + i, float(score[i])
+    impact = index.impact.reshape(len(index.impact), index.blocks, BLOCK)
+    for at in range(0, index.blocks, BLOCKS_AT_ONCE):
+        maxima = index.maxima[:, at : at + BLOCKS_AT_ONCE]
+        bound = np.zeros((len(known) + 1, maxima.shape[1]))
+        np.cumsum(maxima[place], axis=0, out=bound[1:])
+        p, b = np.nonzero(bound[hi] - bound[lo] >= threshold * 0.999)
+        cut = np.searchsorted(p, np.arange(len(row) + 1))
+        for x in np.flatnonzero(np.diff(cut)).tolist():
+            blocks = b[cut[x] : cut[x + 1]] + at
+            score = impact[np.unique(place[lo[x] : hi[x]])[:, None], blocks].sum(0, dtype=np.float64)
+            for k, i in zip(*np.nonzero(score >= threshold), strict=True):
+                unit = int(blocks[k]) * BLOCK + int(i)
+                if unit < len(index.item):
+                    yield int(row[x]), int(start[x]), int(end[x]), unit, float(score[k, i])
 
 
 def _share(part: np.ndarray, have: np.ndarray) -> float:
@@ -114,76 +148,101 @@ def contaminated(index: Index, batch: pa.RecordBatch, threshold: float) -> list[
     out = []
     for i, j in T.groups(off):
         w = T.words(data, off, i, j, T.TERM_BYTES, T.LOWER_VALUES)
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        scores: dict[tuple[int, int, int, int], float] = {}
         for r, a, b, x, score in retrieve(index, w.hashes, w.first, threshold):
-            lo, hi = max(w.first[r], a - PASSAGE), min(w.first[r + 1], b + PASSAGE)
-            near = np.unique(T.shingles(w.hashes[lo:hi], NGRAM))
-            q, s, whole = (_share(g, near) for g in (index.questions[x], index.answers[x], index.wholes[x]))
-            if (q >= QUESTION or whole >= WHOLE) and score > best.get((r, x), (0.0,))[0]:
+            key = (r, int(index.item[x]), a, b)
+            scores[key] = max(score, scores.get(key, 0.0))
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for (r, x, a, b), score in scores.items():
+            if score <= best.get((r, x), (0.0,))[0]:
+                continue
+            beside = max(PASSAGE, int(index.sizes[x]))
+            terms = w.hashes[max(w.first[r], a - beside) : min(w.first[r + 1], b + beside)]
+            near = {k: np.unique(T.shingles(terms, k)) for k in {k for k, _ in index.grams[x] if k}}
+            whole, q, s = (_share(g, near[k]) if k else 0.0 for k, g in index.grams[x])
+            if q >= QUESTION or whole >= WHOLE:
                 best[r, x] = (score, q, s)
         out += [(i + r, int(index.ids[x]), *v) for (r, x), v in sorted(best.items())]
     return out
 
 
-def build_index(items: DataFrame, id_column: str = "item_id") -> list[Index]:
-    """The index of the items (item_id, text), in shards; items without text or id are left out."""
+def build_index(items: DataFrame, id_column: str = "item_id") -> list[DataFrame]:
+    """The index of the items (item_id, text), a table (shard, data) for each shard; items without text or id are left out."""
+    scratch = Scratch(items.sparkSession, "benchmark")
     items = items.where(F.col("text").isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("i"), "text").dropDuplicates(["i"])
-    n = items.count()
+    items = scratch.table(items, "items")
 
     def f(batches):
         for batch in batches:
             terms = _terms(batch.column("text").to_pylist())
-            u = np.concatenate([*(np.unique(t) for t in terms), np.zeros(0, U64)])
-            h, df = np.unique(u, return_counts=True)
-            yield T.rows(h=T.signed(h), df=df.astype(np.int64), size=np.where(np.arange(len(h)) == 0, sum(map(len, terms)), 0))
-
-    counted = items.select("text").mapInArrow(f, "h long, df long, size long")
+            shard = batch.column("shard").to_numpy()
+            for k in np.unique(shard).tolist():
+                own = [t for t, s in zip(terms, shard.tolist(), strict=True) if s == k]
+                u = np.concatenate([*(np.unique(t) for t in own), np.zeros(0, U64)])
+                h, df = np.unique(u, return_counts=True)
+                yield T.rows(shard=np.full(len(h), k, np.int32), h=T.signed(h), df=df.astype(np.int64), size=np.where(np.arange(len(h)) == 0, sum(map(len, own)), 0))
+
+    schema = "shard int, h long, df long, size long"
+    n, chars = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    shards = max(1, -(-n // SHARD), -(-(chars or 0) // (4 * SHARD_TERMS)))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("i"), F.lit(shards)).cast("int"))
+    counted = scratch.table(items.select("shard", "text").mapInArrow(f, schema), "terms")
     mean = max(1.0, (counted.agg(F.sum("size")).first()[0] or 0) / max(1, n))
-    df_table = counted.groupBy("h").agg(F.sum("df").alias("df"))
-    shards = max(1, -(-n // SHARD))
-    out = []
-    for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == k) if shards > 1 else items
-        rows = sorted((r["i"], r["text"]) for r in part.collect())
-        own = part.select("text").mapInArrow(f, "h long, df long, size long").select("h").distinct()
-        df = {int(np.int64(r["h"]).view(U64)): r["df"] for r in df_table.join(own, "h").collect()}
-        out.append(Index(rows, n, df, mean))
-    return out
+    own = counted.select("shard", "h").distinct().join(counted.groupBy("h").agg(F.sum("df").alias("df")), "h")
+
+    def built(_, rows, terms):
+        df = dict(zip(terms.column("h").to_numpy().view(U64).tolist(), terms.column("df").to_pylist(), strict=True))
+        pairs = sorted(zip(rows.column("i").to_pylist(), rows.column("text").to_pylist(), strict=True))
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "data": pa.array([pickle.dumps(Index(pairs, n, df, mean), 5)], pa.binary())})
+
+    made = items.groupBy("shard").cogroup(own.select("shard", "h", "df").groupBy("shard")).applyInArrow(built, "shard int, data binary")
+    made = scratch.table(made.where("shard is not null"), "index")
+    return [made.where(F.col("shard") == k) for k in range(shards)]
 
 
-def benchmark_matches(docs: DataFrame, index: list[Index], threshold: float = THRESHOLD) -> DataFrame:
+def _sent(docs: DataFrame, index: list[DataFrame]):
+    """A broadcast of each shard that has items."""
+    for shard in index:
+        row = shard.first()
+        if row is not None:
+            yield docs.sparkSession.sparkContext.broadcast(bytes(row["data"]))
+
+
+def benchmark_matches(docs: DataFrame, index: list[DataFrame], threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): the test items that each of docs (doc_id, text, ...) contains.
 
-    A pair is there when an item is retrieved for a passage and the passage with its surroundings
-    has 0.6 of the question's n-grams or 0.5 of the whole item's.  Null and empty texts, and texts
+    A pair is there when an item, its question or its answer is retrieved for a passage and the
+    passage with its surroundings has 0.6 of the question's n-grams or 0.5 of the whole item's.  A
+    part of fewer than NGRAM terms is one n-gram of its own length.  score is the best of the units.  Null and empty texts, and texts
     without letters or digits, contain none.  Repeated rows are reported alike.  Other columns are
     ignored; an empty table of items or documents gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
-    for shard in index:
-        shared = docs.sparkSession.sparkContext.broadcast(shard)
+    for shared in _sent(docs, index):
 
         def f(batches, shared=shared):
+            shard = pickle.loads(shared.value)
             for batch in batches:
-                found = contaminated(shared.value, batch, threshold)
+                found = contaminated(shard, batch, threshold)
                 if found:
                     r, i, s, q, a = zip(*found, strict=True)
                     yield T.rows(doc_id=batch.column("doc_id").take(pa.array(r)), item_id=pa.array(i, pa.int64()), score=pa.array(s), question_overlap=pa.array(q), answer_overlap=pa.array(a))
 
-        part = docs.mapInArrow(f, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        part = docs.mapInArrow(f, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def remove_contaminated(docs: DataFrame, index: list[Index], threshold: float = THRESHOLD) -> DataFrame:
+def remove_contaminated(docs: DataFrame, index: list[DataFrame], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text contains no test item, with their columns."""
-    for shard in index:
-        shared = docs.sparkSession.sparkContext.broadcast(shard)
+    for shared in _sent(docs, index):
 
         def f(batches, shared=shared):
+            shard = pickle.loads(shared.value)
             for batch in batches:
-                gone = {r for r, *_ in contaminated(shared.value, batch, threshold)}
+                gone = {r for r, *_ in contaminated(shard, batch, threshold)}
                 yield batch.filter(pa.array([r not in gone for r in range(len(batch))], pa.bool_()))
 
         docs = docs.mapInArrow(f, docs.schema)

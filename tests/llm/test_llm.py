@@ -247,6 +247,23 @@ def test_decontamination(spark):
     assert decontamination.benchmark_matches(docs_of(spark, texts), none).count() == 0
 
 
+def test_decontamination_of_long_short_and_partly_quoted_items(spark, monkeypatch):
+    rng = random.Random(7)
+    items = [". ".join(prose(rng, 12, 3000) for _ in range(3)) + "." for _ in range(20)]
+    items += [". ".join(prose(rng, 60, 3000) for _ in range(10)) + "." for _ in range(3)]  # 20 to 22: 600 terms
+    items += ["zebra quagga okapi", "Gnu eland kudu? " + prose(rng, 40, 3000) + "."]  # 23, 24: under five terms
+    question = prose(rng, 8, 3000)
+    items += [f"{question}. {' '.join(f'rare{k}' for k in range(50))}."]  # 25: the answer weighs most
+    around = lambda t: f"{prose(rng, 90, 3000)} {t} {prose(rng, 90, 3000)}"
+    texts = [around(items[21]), around(items[23]), around("gnu eland kudu"), around(question), around(" ".join(f"rare{k}" for k in range(50))), around("")]
+    for shard in (decontamination.SHARD, 4):
+        monkeypatch.setattr(decontamination, "SHARD", shard)
+        index = decontamination.build_index(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+        found = {(r["doc_id"], r["item_id"]) for r in decontamination.benchmark_matches(docs_of(spark, texts), index).collect()}
+        assert found == {(0, 21), (1, 23), (2, 24), (3, 25), (4, 25)}
+        assert [r["doc_id"] for r in decontamination.remove_contaminated(docs_of(spark, texts), index).collect()] == [5]
+
+
 def test_block_bounds_never_miss():
     rng = random.Random(9)
     items = [(i, prose(rng, rng.choice((5, 40)), 60)) for i in range(30)]
