@@ -29,6 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 SMOOTHING = 2.0  # imaginary instances of confidence 0 in each pattern
 HIGH = 0.7  # score of a pattern that may extract
+LEAST_VALUE = 6  # characters of a value assigned to a name
 
 _HINT = re.compile(r"[0-9@]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -38,7 +39,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 _CORE = re.compile(r"[A-Za-z0-9][^\x20\x09-\x0D=:\"']*[A-Za-z0-9]")
-_NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api_?key|access_?key)\x20{0,2}[=:]\x20{0,2}[\"']?([^\x20\x09-\x0D\"']{6,256})")
+_NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api_?key|access_?key)\x20{0,2}[=:]\x20{0,2}[\"']?([^\x20\x09-\x0D\"']{6,})")
 _ACCESS_KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,12 +107,22 @@ def candidates(text: str, base: list[tuple[str, int, int]], refused: list[tuple[
         i = bisect.bisect_left(taken, (b, 0))
         return not any(y > a for y in ends[max(0, i - 4) : i])
 
+    def left(a: int, b: int) -> list[tuple[int, int]]:
+        """What of a named value is long enough outside the spans already taken."""
+        out = []
+        for x, y in [*taken, (b, b)]:
+            if x <= b and y > a or x == b:
+                if x - a >= LEAST_VALUE:
+                    out.append((a, x))
+                a = max(a, y)
+        return out
+
     for m in (*_NAMED.finditer(text), *_ACCESS_KEY.finditer(text)):
-        a, b = m.span(m.lastindex or 0)
-        if free(a, b):
+        whole = m.span(m.lastindex or 0)
+        for a, b in [whole] if free(*whole) else left(*whole) if m.lastindex else []:
             spans.append((a, b, False, True))
             bisect.insort(taken, (a, b))
-            ends = [y for _, y in taken]
+        ends = [y for _, y in taken]
     for m in _TOKEN.finditer(text):
         for c in _CORE.finditer(m.group()):
             a, b = m.start() + c.start(), m.start() + c.end()

@@ -205,6 +205,15 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs_of(spark, [])).count() == 0
 
 
+def test_long_secrets_are_spans_as_a_whole(spark):
+    secret = "".join(random.Random(3).choice("abcdefXYZ_-.") for _ in range(1000))
+    texts = [f"token={secret} end", f"password={secret}/a@b.org/{secret}"]
+    rows = [r["spans"] for r in pii.find_personal_data(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert rows[0] == "id:6:1006"
+    (_, a, b), *more = [x.split(":") for x in rows[1].split(",")]
+    assert [x.split(":")[0] for x in rows[1].split(",")] == ["email", "id", "id"] and [x[1:] for x in more] == [["9", a], [b, str(len(texts[1]))]]
+
+
 def test_bootstrapping_finds_unseen_identifiers(spark):
     rng = random.Random(4)
     texts = [f"contact reference ticket password={rng.getrandbits(64):016x} closed {prose(rng, 5)}" for _ in range(40)] + ["contact reference ticket 0f3a9b2c4d5e6f70 closed", "number 12 of 345"]
