@@ -119,7 +119,7 @@ def _windows(data: np.ndarray, off: np.ndarray, i: int, j: int) -> tuple[np.ndar
 def _predict(net: Network, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
     data, off = T.buffers(batch.column("text"))
     n = len(batch)
-    total, letters = np.zeros((n, len(net.languages))), np.zeros(n)
+    total, letters, ascii_letters = np.zeros((n, len(net.languages))), np.zeros(n), np.zeros(n, bool)
     for i, j in T.groups(off, 1 << 16):
         x, row = _windows(data, off, i, j)
         for at in range(0, len(x), 256):
@@ -127,23 +127,20 @@ def _predict(net: Network, batch: pa.RecordBatch) -> tuple[list[str], np.ndarray
             weight = _LETTER[w].sum(1)
             np.add.at(total, r, net.log_probabilities(w) * weight[:, None])
             np.add.at(letters, r, weight)
+            np.logical_or.at(ascii_letters, r, (_LETTER[w] == 1).any(1))
     mean = total / np.maximum(letters, 1)[:, None]
     p = np.exp(mean - mean.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     best = p.argmax(1)
-    lettered = _has_letters(batch.column("text"), letters)
+    lettered = _has_letters(batch.column("text"), letters, ascii_letters)
     return [net.languages[b] if k else UNKNOWN for b, k in zip(best, lettered, strict=True)], np.where(lettered, p.max(1), 0.0)
 
 
-def _has_letters(column: pa.Array, weight: np.ndarray) -> np.ndarray:
-    """Whether a text has a letter; the few that have no ASCII letter but other characters are looked at."""
-    out = weight > 0
-    for r in np.flatnonzero(out & (weight < 4)).tolist():
+def _has_letters(column: pa.Array, weight: np.ndarray, ascii_letters: np.ndarray) -> np.ndarray:
+    """Whether a text has a letter; those that have no ASCII letter but other characters are looked at, whatever their length."""
+    out = ascii_letters.copy()
+    for r in np.flatnonzero(~out & (weight > 0)).tolist():
         out[r] = any(c.isalpha() for c in column[r].as_py() or "")
-    if len(out):
-        for r in np.flatnonzero(out).tolist():
-            if weight[r] >= 4 and weight[r] < 64:
-                out[r] = any(c.isalpha() for c in column[r].as_py())
     return out
 
 

@@ -302,6 +302,14 @@ def test_language_id(spark):
     assert language_id.fit_languages(df.where("false")) is None
 
 
+def test_letters_are_looked_for_at_any_length():
+    net = language_id.Network(["aa", "bb"])
+    texts = ["—" * n for n in (1, 42, 43, 5000)] + ["🙂" * 400, "12 ░" * 300, "—" * 5000 + "é", "я" * 3000, "—" * 500 + "a", None]
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"text": texts})
+    pred, score = language_id._predict(net, batch)
+    assert [p == "und" for p in pred] == [s == 0 for s in score] == [True] * 6 + [False] * 3 + [True]
+
+
 def test_quality_classifier(spark):
     rng = random.Random(1)
     texts = [prose(rng, 40) if i % 2 else " ".join(f"w{rng.randrange(50)}%%%" for _ in range(40)) for i in range(300)] + [None, ""]
