@@ -126,6 +126,22 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(12)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(n))
+    pairs = []
+    for n in range(20, 101, 4):
+        a = line(n)
+        pairs.append((a, a[: n // 2] + "7" + a[n // 2 + 1 :]))  # a character
+        if n >= 48:
+            a = f"{line(n // 2 - 3)} {line(6)} {line(n - n // 2 - 5)}"
+            pairs.append((a, a.replace(a.split(" ")[1], "zzyyxx")))
+    others = [line(n) for n in range(1, 101, 3)]
+    docs = docs_of(spark, ["\n".join(a for a, _ in pairs), "\n".join(b for _, b in pairs), "\n".join(others)])
+    rows = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, drop_emptied=False, counts=True).collect()}
+    assert rows == {0: 0, 1: len(pairs), 2: 0}
+
+
 def test_substring_dedup(spark, corpus, monkeypatch):
     for crowd in (4096, 0):
         monkeypatch.setattr(substring_dedup, "CROWD", crowd)
