@@ -1,18 +1,22 @@
 """Benchmark decontamination: BM25 retrieval of test items for every training passage, then overlap.
 
-The test items form an inverted index: each term has its impact on each item, and the greatest
-impact on each block of BLOCK neighbouring items.  As in block-max WAND, a passage's sum of block
-maxima, repeated terms included, bounds its score for all items of a block, and only blocks whose
-bound reaches the threshold are scored, over the passage's distinct terms.  Every passage of every text is a query, and every item above the threshold is retrieved.
-
-The question is the item without its last sentence, the answer its last sentence.  The item, its
-question and an answer that has half of its n-grams are retrieved each for itself, with scores relative to the unit's score for
-itself, so that a text that quotes only one of them is found whatever the others weigh.  What is
-retrieved is verified: the share of the parts' word n-grams that the text has near the passage, as
-far on each side as the item is long, decides.
+Items, questions and answers are units of an inverted index.  The list of a term has its impact on
+each unit that holds it, and the greatest impact in each block of BLOCK neighbouring units.  As in
+block-max WAND, a passage's sum of block maxima bounds its scores for all units of a block, and only
+blocks whose bound reaches the threshold are scored.  Long lists are skipped: as long as what the
+skipped terms could add to a block stays under SKIPPED of the threshold, their lists aren't read at
+all, and their possible share is added to the block's bound instead.  Every passage of every text is
+a query, and every unit above the threshold is retrieved.
+
+The question is the item without its last sentence, the answer its last sentence.  Scores are
+relative to the unit's score for itself, so that a text that quotes only one of them is found
+whatever the others weigh.  What is retrieved is verified: the shares of the question's, the answer's
+and the whole item's word n-grams that the text has near the passage, as far on each side as the
+item is long, decide.
 
 The index is built by Spark tasks, in shards of about SHARD items or SHARD_TERMS terms, and written
-to the shared folder; a larger test set is sent and worked off shard by shard.
+to the shared folder.  A shard takes some 60 bytes a term, under 150 MB, and is broadcast; all
+documents are read once a shard.
 """
 
 from __future__ import annotations
@@ -31,12 +35,14 @@ from .shared import Scratch
 U64 = np.uint64
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32  # terms
-BLOCK = 8  # units: items, questions and answers
-BLOCKS_AT_ONCE = 32
-SHARD, SHARD_TERMS = 340, 1 << 15
+BLOCK = 4  # units: items, questions and answers
+CELLS = 1 << 21  # bounds of strides and blocks that are held at once
+SHARD, SHARD_TERMS = 25_000, 1 << 21
 THRESHOLD = 0.5
+SKIPPED = 0.2  # of the threshold, that lists not read may add
 NGRAM = 5
-QUESTION, WHOLE = 0.6, 0.5  # shares of n-grams
+QUESTION, ANSWER, WHOLE = 0.6, 0.6, 0.5  # shares of n-grams
+LEAST = 3  # terms of a question that may decide alone
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -56,8 +62,18 @@ def _terms(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _lists(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where the list of each of n keys begins among sorted keys, and the end."""
+    return np.searchsorted(keys, np.arange(n + 1))
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... of each i, size[i] of them."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 class Index:
-    """BM25 impacts of the terms of a shard of items, with block maxima."""
+    """Inverted lists of BM25 impacts for a shard of items, with block maxima."""
 
     def __init__(self, items: list[tuple[int, str]], n_items: int, df: dict[int, int], mean: float):
         self.ids = np.array([i for i, _ in items], np.int64)
@@ -66,18 +82,19 @@ class Index:
         self.sizes = np.array([len(t) for t in terms], np.int64)
         parts_ = [[t, q, a] for t, q, a in zip(terms, _terms([q for q, _ in split]), _terms([a for _, a in split]), strict=True)]
         self.grams = [[(min(NGRAM, len(u)), np.unique(T.shingles(u, NGRAM))) for u in units] for units in parts_]
+        self.alone = np.array([len(q) >= min(LEAST, len(t)) for t, q, _ in parts_], bool)
         self.vocabulary = np.unique(np.concatenate([*terms, np.zeros(0, U64)]))
         units = []
         for x, (_, t) in enumerate(items):
             units.append((x, parts_[x][0]))
             if split[x][0] != t:
-                units.append((x, parts_[x][1]))
+                if self.alone[x]:
+                    units.append((x, parts_[x][1]))
                 if _share(self.grams[x][0][1], self.grams[x][2][1]) >= WHOLE:  # a shorter answer can't decide alone
                     units.append((x, parts_[x][2]))
         self.item = np.array([x for x, _ in units], np.int64)
-        m = len(self.vocabulary)
         self.blocks = -(-len(units) // BLOCK)
-        self.impact = np.zeros((m + 1, self.blocks * BLOCK), np.float32)
+        place, unit, impact = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for x, (_, t) in enumerate(units):
             if not len(t):
                 continue
@@ -85,57 +102,90 @@ class Index:
             d = np.array([df.get(int(h), 1) for h in u.tolist()], np.float64)
             idf = np.log(1 + (n_items - d + 0.5) / (d + 0.5))
             w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t) / mean))
-            self.impact[np.searchsorted(self.vocabulary, u), x] = w / max(w.sum() * min(1.0, PASSAGE / len(t)), 1e-9)
-        self._maxima()
-
-    def _maxima(self) -> None:
-        self.maxima = self.impact.reshape(len(self.impact), self.blocks, BLOCK).max(2).astype(np.float64)
-
-    def __getstate__(self) -> dict:
-        """The impacts that are not 0, of which the matrix is made again."""
-        at = np.nonzero(self.impact)
-        return {**{k: v for k, v in self.__dict__.items() if k not in ("impact", "maxima")}, "at": at, "values": self.impact[at]}
-
-    def __setstate__(self, state: dict) -> None:
-        at, values = state.pop("at"), state.pop("values")
-        self.__dict__.update(state)
-        self.impact = np.zeros((len(self.vocabulary) + 1, self.blocks * BLOCK), np.float32)
-        self.impact[at] = values
-        self._maxima()
+            place.append(np.searchsorted(self.vocabulary, u))
+            unit.append(np.full(len(u), x))
+            impact.append(w / max(w.sum() * min(1.0, PASSAGE / len(t)), 1e-9))
+        place, unit, impact = np.concatenate(place), np.concatenate(unit), np.concatenate(impact)
+        # by unit, for scoring the units of a block
+        self.unit_first = _lists(unit, self.blocks * BLOCK).astype(np.int64)
+        self.unit_place, self.unit_impact = place.astype(np.int32), impact
+        # by term: blocks and maxima
+        key = place * max(1, self.blocks) + unit // BLOCK
+        order = np.argsort(key, kind="stable")
+        key, cut = key[order], np.flatnonzero(np.diff(key[order], prepend=-1))
+        most = np.maximum.reduceat(impact[order], cut) if len(cut) else np.zeros(0)
+        term, block = np.divmod(key[cut], max(1, self.blocks))
+        m = len(self.vocabulary)
+        first = _lists(term, m)
+        self.rest = np.zeros(self.blocks)
+        read = np.ones(m, bool)
+        for t in np.argsort(-np.diff(first), kind="stable").tolist():  # the longest lists first
+            lo, hi = first[t], first[t + 1]
+            if hi - lo < 2:
+                break
+            more = self.rest[block[lo:hi]] + most[lo:hi]
+            if more.max() <= SKIPPED * THRESHOLD:
+                self.rest[block[lo:hi]] = more
+                read[t] = False
+        keep = read[term]
+        self.first = _lists(term[keep], m + 1).astype(np.int64)
+        self.block, self.most = block[keep].astype(np.int32), most[keep]
 
     def places(self, h: np.ndarray) -> np.ndarray:
-        """Row of each term; the last row, without impact, for terms that no item has."""
+        """Place of each term in the vocabulary; its length for terms that no item has."""
         at = np.minimum(np.searchsorted(self.vocabulary, h), max(len(self.vocabulary) - 1, 0))
         return np.where(self.vocabulary[at] == h, at, len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(h), np.int64)
 
 
 def retrieve(index: Index, h: np.ndarray, first: np.ndarray, threshold: float):
-    """(row, passage start, passage end, unit, score) of all passages of the rows of terms h."""
+    """(row, passage start, passage end, unit, score) of all passages of the rows of terms h.
+
+    A passage is two strides; the sums of block maxima are taken by stride, over its distinct terms.
+    """
     place = index.places(h)
-    known = np.flatnonzero(place < len(index.vocabulary))
+    m = len(index.vocabulary)
+    known = np.flatnonzero(place < m)
     if not len(known):
         return
-    place = place[known]
     size = np.diff(first)
-    count = np.maximum(1, -(-(size - (PASSAGE - STRIDE)) // STRIDE)) * (size > 0)
-    row = np.repeat(np.arange(len(size)), count)
-    start = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE
-    end = np.minimum(start + PASSAGE, first[row + 1])
-    lo, hi = np.searchsorted(known, start), np.searchsorted(known, end)
-    impact = index.impact.reshape(len(index.impact), index.blocks, BLOCK)
-    for at in range(0, index.blocks, BLOCKS_AT_ONCE):
-        maxima = index.maxima[:, at : at + BLOCKS_AT_ONCE]
-        bound = np.zeros((len(known) + 1, maxima.shape[1]))
-        np.cumsum(maxima[place], axis=0, out=bound[1:])
-        p, b = np.nonzero(bound[hi] - bound[lo] >= threshold * 0.999)
-        cut = np.searchsorted(p, np.arange(len(row) + 1))
-        for x in np.flatnonzero(np.diff(cut)).tolist():
-            blocks = b[cut[x] : cut[x + 1]] + at
-            score = impact[np.unique(place[lo[x] : hi[x]])[:, None], blocks].sum(0, dtype=np.float64)
-            for k, i in zip(*np.nonzero(score >= threshold), strict=True):
-                unit = int(blocks[k]) * BLOCK + int(i)
-                if unit < len(index.item):
-                    yield int(row[x]), int(start[x]), int(end[x]), unit, float(score[k, i])
+    strides = -(-size // STRIDE)
+    before = np.cumsum(strides) - strides
+    row_of = np.repeat(np.arange(len(size)), strides)
+    last = np.zeros(len(row_of) + 1, bool)
+    last[(before + strides - 1)[strides > 0]] = True
+    row = np.searchsorted(first, known, "right") - 1
+    stride = before[row] + (known - first[row]) // STRIDE
+    pair = np.unique(stride * (m + 1) + place[known])
+    stride, term = np.divmod(pair, m + 1)
+    mark = np.zeros(m + 1, bool)
+    step = max(1, CELLS // index.blocks)
+    for at in range(0, len(row_of), step):
+        to = min(len(row_of), at + step)
+        lo, hi = np.searchsorted(stride, [at, to + 1])
+        n = index.first[term[lo:hi] + 1] - index.first[term[lo:hi]]
+        where = _ranges(index.first[term[lo:hi]], n)
+        sums = np.bincount(np.repeat(stride[lo:hi] - at, n) * index.blocks + index.block[where], index.most[where], (to + 1 - at) * index.blocks).reshape(-1, index.blocks)
+        bound = sums[:-1] + np.where(last[at:to, None], 0, sums[1:]) + index.rest
+        s, b = np.nonzero(bound >= threshold * 0.999)
+        if not len(s):
+            continue
+        cut = np.flatnonzero(np.diff(s, prepend=-1))
+        for i, j in zip(cut.tolist(), np.append(cut[1:], len(s)).tolist(), strict=True):
+            x = int(s[i]) + at
+            if last[x] and x > before[row_of[x]]:
+                continue  # the passage before ends with this stride
+            lo, hi = np.searchsorted(stride, [x, x + 1 if last[x] else x + 2])
+            mark[term[lo:hi]] = True
+            blocks = b[i:j].astype(np.int64)
+            unit = _ranges(blocks * BLOCK, np.full(len(blocks), BLOCK))
+            n = index.unit_first[unit + 1] - index.unit_first[unit]
+            where = _ranges(index.unit_first[unit], n)
+            score = np.bincount(np.repeat(np.arange(len(unit)), n), index.unit_impact[where] * mark[index.unit_place[where]], len(unit))
+            mark[term[lo:hi]] = False
+            r = int(row_of[x])
+            start = int(first[r]) + (x - int(before[r])) * STRIDE
+            for k in np.flatnonzero(score >= threshold).tolist():
+                yield r, start, min(start + PASSAGE, int(first[r + 1])), int(unit[k]), float(score[k])
 
 
 def _share(part: np.ndarray, have: np.ndarray) -> float:
@@ -160,7 +210,7 @@ def contaminated(index: Index, batch: pa.RecordBatch, threshold: float) -> list[
             terms = w.hashes[max(w.first[r], a - beside) : min(w.first[r + 1], b + beside)]
             near = {k: np.unique(T.shingles(terms, k)) for k in {k for k, _ in index.grams[x] if k}}
             whole, q, s = (_share(g, near[k]) if k else 0.0 for k, g in index.grams[x])
-            if q >= QUESTION or whole >= WHOLE:
+            if (q >= QUESTION and index.alone[x]) or (s >= ANSWER and whole >= WHOLE):
                 best[r, x] = (score, q, s)
         out += [(i + r, int(index.ids[x]), *v) for (r, x), v in sorted(best.items())]
     return out
@@ -211,9 +261,10 @@ def _sent(docs: DataFrame, index: list[DataFrame]):
 def benchmark_matches(docs: DataFrame, index: list[DataFrame], threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): the test items that each of docs (doc_id, text, ...) contains.
 
-    A pair is there when an item, its question or its answer is retrieved for a passage and the
-    passage with its surroundings has 0.6 of the question's n-grams or 0.5 of the whole item's.  A
-    part of fewer than NGRAM terms is one n-gram of its own length.  score is the best of the units.  Null and empty texts, and texts
+    A pair is there when an item, its question or its answer is retrieved for a passage, and the
+    passage with its surroundings has 0.6 of the question's n-grams, or 0.6 of the answer's and half
+    of the whole item's.  A part of fewer than NGRAM terms is one n-gram of its own length; a question
+    of fewer than LEAST terms doesn't decide alone.  score is the best of the units.  Null and empty texts, and texts
     without letters or digits, contain none.  Repeated rows are reported alike.  Other columns are
     ignored; an empty table of items or documents gives an empty result.
     """
@@ -236,7 +287,10 @@ def benchmark_matches(docs: DataFrame, index: list[DataFrame], threshold: float
 
 
 def remove_contaminated(docs: DataFrame, index: list[DataFrame], threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text contains no test item, with their columns."""
+    """The rows of docs (text, ...) whose text contains no test item, with their columns, whatever those are named.
+
+    Null and empty texts stay.  Repeated rows stay or go alike.  Empty tables of documents or items remove nothing.
+    """
     for shared in _sent(docs, index):
 
         def f(batches, shared=shared):
