@@ -2,8 +2,8 @@
 
 The converter reads the version block of an ARC file, takes each record's header line by the field
 names of that version and its body by the declared length, and writes the equivalent WARC records
-with identifiers, timestamps, types and digests of their own.  Records whose payload an earlier
-page has become revisits.  Files are written and read by Spark, so any of its stores will do; a file
+with identifiers, timestamps, types and digests of their own.  Records whose payload a page with a
+smaller id has become revisits, which name that record.  Files are written and read by Spark, so any of its stores will do; a file
 holds about FILE_BYTES of payload, and is parsed whole by one task.
 """
 
@@ -88,8 +88,9 @@ def parse_http(message: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in fields}, payload
 
 
-def record_id(url: str, date: str, page_id: int | None) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {page_id}')}"
+def record_id(url: str, date: str, where: str) -> str:
+    """The identifier of a record, which stands at one place of one file: no two share it, and converting again gives it again."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {where}')}"
 
 
 def warc_date(arc: str) -> str:
@@ -162,16 +163,16 @@ def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None
     _write(pages.mapInArrow(f, "value string"), path, "\n")
 
 
-_RECORD = "page_id long, url string, ip string, date string, mime string, version int, payload string, payload_bytes long, digest string"
+_RECORD = "page_id long, url string, ip string, date string, mime string, version int, payload string, payload_bytes long, digest string, id string"
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files, with the digests of their payloads."""
+    """The records of ARC files, with the digests of their payloads and the identifiers that WARC records will have."""
 
     def f(batches):
         for batch in batches:
-            for content in batch.column("content"):
-                out = []
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                out, n = [], 0
                 content = gzip.decompress(content.as_py())
                 if not content:  # what Spark writes for an empty table
                     continue
@@ -179,7 +180,8 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 for head, body in parse_arc(content):
                     http, payload = parse_http(body)
                     page = http.get("x-page-id")
-                    out.append((int(page) if page else None, head["URL"], head["IP-address"], head["Archive-date"], head["Content-type"], version, payload.decode(), len(payload), payload_digest(payload)))
+                    out.append((int(page) if page else None, head["URL"], head["IP-address"], head["Archive-date"], head["Content-type"], version, payload.decode(), len(payload), payload_digest(payload), record_id(head["URL"], head["Archive-date"], f"{name} {n}")))
+                    n += 1
                     if len(out) == 500:
                         yield _records(out)
                         out = []
@@ -191,30 +193,36 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 
 def _records(out: list[tuple]) -> pa.RecordBatch:
     s, n = pa.string(), pa.int64()
-    kinds = (n, s, s, s, s, pa.int32(), s, n, s)
+    kinds = (n, s, s, s, s, pa.int32(), s, n, s, s)
     names = [x.split(" ")[0] for x in _RECORD.split(", ")]
     return T.rows(**{c: pa.array(x, k) for c, x, k in zip(names, zip(*out, strict=True), kinds, strict=True)})
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select(F.substring_index("path", "/", -1).alias("name"), "content")
 
 
 def _as_warc(r: dict) -> str:
-    revisit = r.get("first") is not None
+    first = r.get("first")
     fields = [
-        ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Type", "revisit" if first else "response"),
         ("WARC-Target-URI", r["url"]),
         ("WARC-Date", warc_date(r["date"])),
-        ("WARC-Record-ID", f"<{record_id(r['url'], r['date'], r['page_id'])}>"),
+        ("WARC-Record-ID", f"<{r['id']}>"),
         ("WARC-IP-Address", r["ip"]),
         ("WARC-Payload-Digest", f"sha1:{r['digest']}"),
         ("X-Payload-Length", str(r["payload_bytes"])),
         ("Content-Type", "application/http; msgtype=response"),
     ]
-    if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"), ("X-Refers-To-Page", str(r["first"]))]
-    return warc_record(fields, http_message(r["page_id"], "" if revisit else r["payload"]))
+    if first:
+        fields += [
+            ("WARC-Profile", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"),
+            ("WARC-Refers-To", f"<{first['id']}>"),
+            ("WARC-Refers-To-Target-URI", first["url"]),
+            ("WARC-Refers-To-Date", warc_date(first["date"])),
+            ("X-Refers-To-Page", str(first["page_id"])),
+        ]
+    return warc_record(fields, http_message(r["page_id"], "" if first else r["payload"]))
 
 
 def _warc_files(kind: str, file_bytes: int):
@@ -231,12 +239,11 @@ def _warc_files(kind: str, file_bytes: int):
 
 
 def _of_revisits(bitmap, wanted: bool):
-    """The records whose page_id is in the bitmap, or those for which it isn't or is null."""
+    """The records whose key is in the bitmap, or those for which it isn't or that have no page_id."""
 
     def f(batches):
         for batch in batches:
-            ids = batch.column("page_id")
-            found = maybe_in(bitmap.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            found = maybe_in(bitmap.value, batch.column("key").to_numpy()) & batch.column("page_id").is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(found if wanted else ~found))
 
     return f
@@ -246,21 +253,25 @@ def convert_to_warc(records: DataFrame, path: str, scratch: Scratch, min_bytes:
     """Writes read_arc()'s records as gzipped WARC files.
 
     Of records with equal payloads of at least min_bytes that with the least page_id is a response,
-    and the others refer to it.  Records without page_id are responses.  A bitmap of fixed size tells
-    most responses from revisits where they are read; only the rest is shuffled, and joined exactly.
+    and those of other pages refer to it; among several of that page they refer to the one with the
+    least identifier.  Records without page_id are responses.  A page_id may stand for several payloads.
+    A bitmap tells most responses from revisits where they are read; only the rest is shuffled, and
+    joined exactly.
     """
-    ids = scratch.table(records.where("page_id is not null").select("page_id", "digest", "payload_bytes"), "ids")
-    first = ids.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    known = scratch.table(ids.join(first, "digest").where("first <> page_id").select("page_id", "first").distinct(), "revisits")
-    bitmap = records.sparkSession.sparkContext.broadcast(membership(known, "page_id"))
+    records = records.withColumn("key", F.xxhash64("page_id", "digest"))
+    ids = scratch.table(records.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes)).select("page_id", "digest", "id", "url", "date"), "ids")
+    first = ids.groupBy("digest").agg(F.min(F.struct("page_id", "id", "url", "date")).alias("first"), F.max("page_id").alias("last")).where("last <> first.page_id").drop("last")
+    known = ids.select("page_id", "digest").join(first, "digest").where("first.page_id <> page_id").distinct()
+    known = scratch.table(known, "revisits")
+    bitmap = records.sparkSession.sparkContext.broadcast(membership(known.select(F.xxhash64("page_id", "digest").alias("key")), "key"))
     direct = records.mapInArrow(_of_revisits(bitmap, False), records.schema)
-    others = records.mapInArrow(_of_revisits(bitmap, True), records.schema).join(known, "page_id", "left")
+    others = records.mapInArrow(_of_revisits(bitmap, True), records.schema).join(known, ["page_id", "digest"], "left")
     files = direct.mapInArrow(_warc_files("direct", file_bytes), "value string").unionByName(others.mapInArrow(_warc_files("joined", file_bytes), "value string"))
     _write(files, path, "\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, payload) of WARC files.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, refers_to_record, payload) of WARC files.
 
     A response's payload is measured and digested again, and has to agree with its header.
     """
@@ -278,32 +289,33 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if response and (size != len(payload) or digest != payload_digest(payload)):
                         raise ValueError(f"the payload of {head['WARC-Record-ID']} differs from its header")
                     refers = head.get("X-Refers-To-Page")
-                    out.append((int(page) if page else None, size, digest, head["WARC-Type"], int(refers) if refers else None, head["WARC-Target-URI"], head["WARC-Record-ID"], payload.decode() if response else None))
+                    out.append((int(page) if page else None, size, digest, head["WARC-Type"], int(refers) if refers else None, head["WARC-Target-URI"], head["WARC-Record-ID"], head.get("WARC-Refers-To"), payload.decode() if response else None))
                     if len(out) == 500:
                         yield _warc_rows(out)
                         out = []
                 if out:
                     yield _warc_rows(out)
 
-    return _files(spark, path).mapInArrow(f, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload string")
+    return _files(spark, path).mapInArrow(f, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, refers_to_record string, payload string")
 
 
 def _warc_rows(out: list[tuple]) -> pa.RecordBatch:
     s, n = pa.string(), pa.int64()
-    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "payload")
-    return T.rows(**{c: pa.array(x, k) for c, x, k in zip(names, zip(*out, strict=True), (n, n, s, s, n, s, s, s), strict=True)})
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "refers_to_record", "payload")
+    return T.rows(**{c: pa.array(x, k) for c, x, k in zip(names, zip(*out, strict=True), (n, n, s, s, n, s, s, s, s), strict=True)})
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes pages (page_id, url, html, ...) as ARC, converts that to WARC, and reads the WARC back.
 
     A null html is an empty payload, a null url ``about:blank``.  Rows without page_id become
-    responses.  Repeated rows share a page_id and are responses alike.  An empty table gives no files
-    and an empty result.  Other columns are ignored.
+    responses.  Repeated rows are responses or revisits alike, each with an identifier of its own; one
+    page_id with several payloads is a record for each.  An empty table gives no files and an empty
+    result.  Other columns are ignored.  min_bytes: see convert_to_warc().
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "archives")
     arc, warc = scratch.new_path("arc"), scratch.new_path("warc")
     write_arc(pages, arc)
-    convert_to_warc(read_arc(spark, arc), warc, scratch)
+    convert_to_warc(read_arc(spark, arc), warc, scratch, min_bytes)
     return read_warc(spark, warc)
