@@ -5,9 +5,13 @@ quota is the number of blocks that it gives, whole rounds over its blocks and th
 A binary tree over the output shards splits the vector of quotas: at each node the left half's share
 of every source is drawn without replacement (multivariate hypergeometric, source by source), so the
 leaves' quotas add up exactly and every shard's mixture varies as if all blocks had been shuffled.
-Shards then take disjoint runs of each source's permuted blocks, and order what they have by a hash.
+Shards then draw disjoint runs of each source's permuted blocks, which are their leaves' quotas long:
+a copy of a document is drawn by the shard in whose run its block lies, and by none beyond the last
+run.  What a document gives to the mix is the sum of these draws.  write_mix() writes the shards,
+each shuffled locally: ordered by a hash of the copy.
 
-DataFrame and SQL functions only.  Documents are never shuffled: they meet one row for each source.
+DataFrame and SQL functions only.  Until they are written, documents aren't shuffled: they meet one
+row for each source, with its runs.
 """
 
 from __future__ import annotations
@@ -89,28 +93,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return ranked.select("source", "source_size", "place", F.when(F.col("first").isNotNull() & (F.col("i") >= F.col("first.i")), free).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 1) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, draws) for each row of docs (doc_id, text, source, ...).
-
-    size is the number of words (null text: 0).  draws lists the copies that the mix takes: copy,
-    output shard, words, and the key that orders the shard.  Every copy but a source's last is whole;
-    the last document of a source's quota gives as many words as the quota still lacks, so that each
-    source's taken words equal its rounded target.  A null source is a source of its own.  Null or
-    repeated doc_ids are drawn like others.  Other columns are ignored.  shards is a power of two.
-    The same rows and seed give the same mix.
-    """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
-    sized = scratch.table(sized, "sized").withColumn("block", F.conv(F.substring("key", 1, HEX), 16, 10).cast("long"))
+def _plan(scratch: Scratch, sized: DataFrame, weights: tuple[int, ...], most: int, shards: int, seed: int) -> DataFrame:
+    """One row a source: source, source_size, place, target, rounds and rest of its quota, cut (the block in which the last round ends, and the words before it) and ends (of the shards' runs of blocks)."""
     by_block = scratch.table(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     sizes = by_block.groupBy("source").agg(F.sum("words").alias("source_size"))
     sources = targets(sizes, weights, most)
     sources = sources.withColumn("quota", F.round("target").cast("long"))
     sources = sources.withColumn("rounds", F.expr("case when source_size > 0 then quota div source_size else 0 end")).withColumn("rest", F.col("quota") - F.col("rounds") * F.col("source_size"))
     sources = scratch.table(sources, "sources")
-    # the block in which the last round ends, and the words before it
     so_far = F.sum("words").over(Window.partitionBy("source").orderBy("block"))
     ends = by_block.withColumn("sum", so_far).alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
     ends = ends.where("s.rest > 0 and b.sum >= s.rest").groupBy("s.place").agg(F.min(F.struct(F.col("b.block").alias("block"), (F.col("b.sum") - F.col("b.words")).alias("before"))).alias("cut"))
@@ -119,23 +109,53 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     tree = split_quotas(sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "blocks"))), lambda x: x["blocks"]).alias("q")), shards, seed)
     leaves = tree.select("shard", F.posexplode("q").alias("place", "n"))
     bounds = leaves.withColumn("end", F.sum("n").over(Window.partitionBy("place").orderBy("shard"))).groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends"))
-    plan = scratch.table(sources.join(bounds, "place").withColumnRenamed("source", "of"), "plan")
+    return scratch.table(sources.join(bounds, "place"), "plan")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 1) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, draws) for each row of docs (doc_id, text, source, ...).
+
+    size is the number of words (null text: 0).  draws lists the copies that the shards draw: copy,
+    output shard, words, and the key that orders the shard; taken is the sum of their words.  Every
+    copy but a source's last is whole; the last document of a source's quota gives as many words as
+    the quota still lacks, so that each source's taken words equal its rounded target.  A null source
+    is a source of its own.  Null or repeated doc_ids are drawn like others.  Documents without words
+    give nothing.  Other columns are ignored, an empty table gives an empty result.  shards is a power
+    of two.  The same rows and seed give the same mix.
+
+    There is a row for each source with an array of its shards, and one row with a number for each
+    source at every node of the tree; so it is meant for sources and shards in thousands, not millions.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    sized = scratch.table(sized, "sized").withColumn("block", F.conv(F.substring("key", 1, HEX), 16, 10).cast("long"))
+    plan = _plan(scratch, sized, weights, most, shards, seed).withColumnRenamed("source", "of")
     if plan.count() <= MOST_SOURCES:
         plan = F.broadcast(plan)
     d = sized.join(plan, sized["source"].eqNullSafe(plan["of"])).drop("of")
-    at = F.when(F.col("cut").isNull(), F.lit(0)).when(F.col("block") < F.col("cut.block"), F.col("size")).otherwise(F.lit(0))
     border = F.col("cut").isNotNull() & (F.col("block") == F.col("cut.block"))
-    inner = d.where(~border).withColumn("extra", at.cast("long"))
+    inner = d.where(~border).withColumn("last", F.col("size"))
     w = Window.partitionBy("place").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("rest") - F.col("cut.before") - F.coalesce(F.sum("size").over(w), F.lit(0))
-    outer = d.where(border).withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
-    d = inner.unionByName(outer)
-    draw = lambda copy, words: F.struct(
-        copy.cast("int").alias("copy"), F.size(F.filter("ends", lambda e: e <= copy * BLOCKS + F.col("block"))).alias("shard"), words.alias("words"), F.xxhash64("key", copy, F.lit(seed)).alias("order")
-    )
-    whole = F.when(F.col("rounds") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1), lambda c: draw(c, F.col("size"))))
-    part = F.when(F.col("extra") > 0, F.array(draw(F.col("rounds"), F.col("extra"))))
-    empty = F.expr("cast(array() as array<struct<copy:int,shard:int,words:bigint,`order`:bigint>>)")
-    return d.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("extra")).alias("taken"), F.concat(F.coalesce(whole, empty), F.coalesce(part, empty)).alias("draws")
-    )
+    outer = d.where(border).withColumn("last", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
+    # each copy has a place in the source's sequence of permuted blocks, which lies in the run of one shard or behind all
+    drawn = """filter(transform(sequence(0L, rounds), c -> named_struct(
+        'copy', cast(c as int), 'shard', size(filter(ends, e -> e <= c * {blocks} + block)), 'words', if(c = rounds, last, size), 'order', xxhash64(key, c, {seed}))),
+        x -> x.shard < {shards} and x.words > 0)""".format(blocks=BLOCKS, seed=seed, shards=shards)
+    d = inner.unionByName(outer).withColumn("draws", F.expr(drawn))
+    return d.select("doc_id", "source", "size", "source_size", "target", F.expr("aggregate(draws, 0L, (n, x) -> n + x.words)").alias("taken"), "draws")
+
+
+def write_mix(docs: DataFrame, path: str, shards: int = 16, **options) -> None:
+    """Writes the mix of docs (doc_id, text, source, ...) as Parquet: a folder ``shard=n`` for each shard, with (doc_id, source, copy, words, text) in shuffled order.
+
+    doc_id has to be unique, or null where nothing is to be written.  A copy that the mix takes in
+    part has that many of its first words, joined by one space.
+    """
+    draws = mix_sources(docs, shards=shards, **options).select("doc_id", F.explode("draws").alias("x")).select("doc_id", "x.*")
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    text = F.when(F.col("words") < F.size(words), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
+    drawn = docs.select("doc_id", "source", "text").join(draws, "doc_id").select("shard", "doc_id", "source", "copy", "words", text.alias("text"), "order")
+    drawn.repartition(shards, "shard").sortWithinPartitions("shard", "order", "doc_id").drop("order").write.partitionBy("shard").parquet(path)
