@@ -77,7 +77,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
     """Learns from at most ``rows`` of the labels, chosen by the hash of doc_id; the caller leaves out those held out.
 
     Labels that are null, and rows without doc_id, teach nothing; of several labels of one document
-    the least counts.  Without labels the model gives every text 0.5.
+    the least counts, of several texts the least by code point.  Other columns are ignored.  Without
+    labels the model gives every text 0.5.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     n = known.count()
@@ -98,7 +99,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
                     counts=pa.array([c.astype(np.int32).tobytes() for _, _, c in found], pa.binary()),
                 )
 
-    rows_ = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.xxhash64("doc_id", F.lit(6)).alias("key"), "label", "text")
+    # one text a label, however many rows the document has
+    rows_ = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows_ = rows_.select(F.xxhash64("doc_id", F.lit(6)).alias("key"), "label", "text")
     found = rows_.mapInArrow(features, "key long, label int, places binary, counts binary").toArrow()
     taken = sorted(zip(*(found[c].to_pylist() for c in ("key", "label", "places", "counts")), strict=True))
     del found
@@ -107,7 +110,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (text, ...) with quality_score, the probability of label 1; a null or blank text gets that of the bias."""
+    """docs (text, ...) with quality_score, the probability of label 1; a null or blank text gets that of the bias.
+
+    Other columns pass through; one named quality_score is replaced.  Repeated rows score alike, an
+    empty table stays empty.
+    """
+    docs = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def f(batches):
@@ -118,5 +126,14 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least the threshold, with their columns."""
-    return score_quality(docs, model).where(F.col("quality_score") >= threshold).select(docs.columns)
+    """The rows of docs (text, ...) that score at least the threshold, with their columns, whatever those are named.
+
+    Null and blank texts score as the bias does.  Repeated rows stay or go alike; an empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def f(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(batch) >= threshold))
+
+    return docs.mapInArrow(f, docs.schema)
