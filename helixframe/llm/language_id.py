@@ -21,8 +21,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 EMBED = 6
 TRAIN_DOCS = 800  # of each language
+TRAIN_ALL = 160_000  # of all languages, which share it equally when they are more than 200
 TRAIN_WINDOWS = 3  # of each document
-MOST_LANGUAGES = 200
 UNKNOWN = "und"
 
 #: Bytes of letters: ASCII letters, and whatever begins or continues a non-ASCII character.
@@ -145,17 +145,20 @@ def _has_letters(column: pa.Array, weight: np.ndarray, ascii_letters: np.ndarray
 
 
 def fit_languages(docs: DataFrame, rows: int = TRAIN_DOCS) -> Network | None:
-    """Learns from at most about ``rows`` texts of each language (and MOST_LANGUAGES languages, the most frequent), chosen by the hash of doc_id.
+    """Learns from at most about ``rows`` texts of each language, and TRAIN_ALL in all, chosen by the hash of doc_id.
 
-    docs (doc_id, text, lang); rows without text or lang teach nothing.  None if nothing can be learned.
+    docs (doc_id, text, lang, ...); rows without text or lang teach nothing, of several rows of one
+    document the least (lang, text) does.  Other columns are ignored.  None if nothing can be learned.
     """
     docs = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id", F.lit(3)).alias("key"))
-    count = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    count = docs.groupBy("lang").count().collect()
     if not count:
         return None
     languages = sorted(r["lang"] for r in count)
+    rows = min(rows, max(1, TRAIN_ALL // len(count)))
     share = F.create_map(*[F.lit(x) for r in count for x in (r["lang"], min(1.0, rows / r["count"]))])
     sample = docs.where((F.shiftrightunsigned("key", 11) / float(1 << 53)) < share[F.col("lang")])
+    sample = sample.groupBy("key").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.*", "key")
 
     def f(batches):
         for batch in batches:
@@ -186,7 +189,12 @@ def fit_languages(docs: DataFrame, rows: int = TRAIN_DOCS) -> Network | None:
 
 
 def predict_languages(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs (text, ...) with lang_pred and score (0 to 1); a text that is null or has no letter is ``und`` with score 0."""
+    """docs (text, ...) with lang_pred and score (0 to 1); a text that is null or has no letter is ``und`` with score 0.
+
+    Other columns pass through; those named lang_pred and score are replaced.  Repeated rows are
+    predicted alike, an empty table stays empty.  Without a network every text is ``und``.
+    """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def f(batches):
