@@ -17,7 +17,10 @@ of 2**COUNTERS hash values, over all documents; it decides how much is compared,
 Products: the overlaps of each cluster of rows that remain are accumulated over blocks of columns,
 and pairs are discarded as soon as they can't reach the bound (see simjoin.py).
 
-Shingles and sets are told apart by 64-bit hashes.
+Clusters too large for a task are cut by the same signatures over other column blocks, dealt anew:
+sets that only met by chance or through a shared passage rarely meet again, sets that are linked always do.
+
+Shingles are told apart by 64-bit hashes, sets by 128 bits.  Candidates travel as compressed texts.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .shared import Scratch, connected_components, maybe_in, membership
-from .simjoin import ENTRIES, candidate_links, entries, exact_components, with_blocks
+from .simjoin import PACKED, Layout, candidates, exact_components, layout, packed, squeeze, unsqueeze
 
 U64 = np.uint64
 COUNTERS = 22
@@ -52,17 +55,22 @@ def slack(h: int) -> int:
     return 2 + h // 32
 
 
-def signatures(u: np.ndarray, classes: np.ndarray, num: int, den: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def signatures(u: np.ndarray, classes: np.ndarray, num: int, den: int, common: np.ndarray | None = None, deal: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the sorted set u, and for each whether it is for the class below the set's own.
 
     common: bits of the counters' slots that are common.  Two sets that may be linked agree in more
     column blocks than ``slack``.  So if one of them has at most that many empty ones, they agree in
     a block that isn't empty.  A set with more also sends the shingles that come first by (common,
     hash), one more than may be missing in a set it is linked with: two such sets share one of them.
+    Another ``deal`` deals the columns into other blocks.
     """
     out, below = [], []
     g = int(np.searchsorted(classes, len(u), "right")) - 1
     is_common = np.zeros(len(u), bool) if common is None else maybe_in(common, _slot(u))
+    if deal:
+        u = T.mix(u + U64(T.MASK & (deal * 0xC2B2AE3D27D4EB4F)))
+        order = np.argsort(u)
+        u, is_common = u[order], is_common[order]
     rare = u[~is_common]
     high, hashed = rare >> U64(32), T.mix(rare + U64(0x632BE59BD9B4E019))
     for group in (g, g - 1):
@@ -98,7 +106,7 @@ def _counted(k: int):
         counts, seen = np.zeros(1 << COUNTERS, np.uint32), set()
         for batch in batches:
             for _, u in _sets(batch, k):
-                d = _digest(u)
+                d = _digest(u)[0]
                 if d not in seen:
                     if len(seen) > 500_000:
                         seen.clear()
@@ -163,29 +171,34 @@ def _sets(batch: pa.RecordBatch, k: int):
                 yield r, np.unique(T.shingles(h, k))
 
 
-def _digest(u: np.ndarray) -> int:
-    """A set's hash; its last bit is 0, and set where the set stands in the class below its own."""
-    return int(T.signed(T.mix(np.array([T.mix(u).sum(dtype=U64) + U64(len(u))], U64)))[0]) & ~1
+def _digest(u: np.ndarray) -> tuple[int, int]:
+    """A set's hash, two longs."""
+    x = T.mix(u)
+    y = np.array([x.sum(dtype=U64) + U64(len(u)), T.mix(x + U64(0x2545F4914F6CDD1D)).sum(dtype=U64)], U64)
+    a, b = T.signed(T.mix(y)).tolist()
+    return a, b
 
 
 def _sizes(k: int):
     def f(batches):
         for batch in batches:
-            size, digest = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            size, digest = np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.int64)
             for r, u in _sets(batch, k):
                 size[r], digest[r] = len(u), _digest(u)
-            yield T.rows(doc_id=batch.column("doc_id"), n=size, digest=digest)
+            yield T.rows(doc_id=batch.column("doc_id"), hash=batch.column("hash"), n=size, d1=digest[:, 0].copy(), d2=digest[:, 1].copy())
 
     return f
 
 
-def _signed(k: int, num: int, den: int, common):
+def _signed(k: int, num: int, den: int, common, how: Layout):
+    """The signatures of each set of a task, once though many rows have it."""
     classes = size_classes(num, den)
 
-    def f(batches):
-        seen: set[int] = set()
+    def found(batches):
+        seen: set[tuple[int, int]] = set()
+        n = 0
         for batch in batches:
-            s, x = [], []
+            s, x, names = [np.zeros(0, U64)], [np.zeros(0, np.int64)], []
             for _, u in _sets(batch, k):
                 d = _digest(u)
                 if d in seen:
@@ -194,32 +207,62 @@ def _signed(k: int, num: int, den: int, common):
                     seen.clear()
                 seen.add(d)
                 sig, below = signatures(u, classes, num, den, common.value)
-                s.append(sig)
-                x.append(d + below.astype(np.int64))
-            if s:
-                yield entries(T.signed(np.concatenate(s)), np.concatenate(x))
+                if len(sig):
+                    s.append(sig)
+                    x.append(2 * n + below.astype(np.int64))
+                    names.append(d)
+                    n += 1
+            if names:
+                yield np.concatenate(s), np.concatenate(x), np.array(names, np.int64)
 
-    return f
+    return lambda batches: packed(found(batches), how)
 
 
-def _features(k: int, bitmap):
+def _texts(bitmap):
+    """Compressed texts of the documents that may be in the bitmap."""
+
     def f(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            wanted = maybe_in(bitmap.value, ids)
-            if wanted.any():
-                batch = batch.filter(pa.array(wanted))
-                ids = ids[wanted]
-                found = list(_sets(batch, k))
-                yield T.rows(
-                    id=ids[[r for r, _ in found]],
-                    digest=np.array([_digest(u) for _, u in found], np.int64),
-                    feats=pa.array([u.tobytes() for _, u in found], pa.binary()),
-                )
+            ids = batch.column("id").to_numpy()
+            wanted = np.flatnonzero(maybe_in(bitmap.value, ids))
+            if len(wanted):
+                data, off = T.buffers(batch.column("text"))
+                feats = [squeeze(data[off[r] : off[r + 1]].tobytes()) for r in wanted.tolist()]
+                yield T.rows(doc=ids[wanted], hash=batch.column("hash").to_numpy()[wanted], feats=pa.array(feats, pa.binary()))
+
+    return f
+
+
+def _features(k: int):
+    def f(blob: bytes) -> np.ndarray:
+        for _, u in _sets(pa.RecordBatch.from_arrays([pa.array([unsqueeze(blob)], pa.binary())], names=["text"]), k):
+            return u
+        return np.zeros(0, U64)
 
     return f
 
 
+def _dealt_anew(k: int, num: int, den: int, common, how: Layout, deal: int):
+    """Signatures of rows (cluster, id, feats) over other column blocks; only sets of one cluster may meet."""
+    classes, features = size_classes(num, den), _features(k)
+
+    def found(batches):
+        n = 0
+        for batch in batches:
+            for cluster, i, blob in zip(*(batch.column(c).to_pylist() for c in ("cluster", "id", "feats")), strict=True):
+                sig, below = signatures(features(blob), classes, num, den, common.value, deal)
+                sig = sig[below == bool(i & 1)]
+                yield T.mix(sig ^ T.mix(np.array([cluster], np.int64).view(U64))), np.full(len(sig), 2 * n), np.array([[i, cluster]], np.int64)
+                n += 1
+
+    return lambda batches: packed(found(batches), how)
+
+
+def _with_own_class(members: DataFrame) -> DataFrame:
+    """Members (cluster, id, ...) of the clusters in which some set stands in its own class; the others' links are seen in the class above."""
+    return members.join(members.where("id & 1 = 0").select("cluster").distinct(), "cluster", "left_semi")
+
+
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block: int = 2048) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text, ...).
 
@@ -232,27 +275,40 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    all_docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     some = all_docs.where("doc_id is not null")
-    sizes = scratch.table(all_docs.mapInArrow(_sizes(n), "doc_id long, n long, digest long"), "sizes")
-    classes = sizes.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
-    classes = scratch.table(classes, "classes")
+    sizes = scratch.table(all_docs.mapInArrow(_sizes(n), "doc_id long, hash long, n long, d1 long, d2 long"), "sizes")
+    # the least document of each set, and which of its texts, should its id be given to several
+    classes = sizes.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.min("n").alias("n"))
+    classes = scratch.table(classes.select("d1", "d2", F.col("first.doc_id").alias("doc"), F.col("first.hash").alias("hash"), "n"), "classes")
+    features = classes.agg(F.sum("n")).first()[0] or 0
+    how = layout(features * 2.3 * (den - num) / num)
     common = spark.sparkContext.broadcast(common_shingles(scratch, some, n))
-    links = candidate_links(some.mapInArrow(_signed(n, num, den, common), ENTRIES))
-    nodes = scratch.table(connected_components(scratch, links), "nodes")
-    nodes = nodes.join(nodes.where("node & 1 = 0").select("root").distinct(), "root", "left_semi")
-    nodes = nodes.select("node", F.col("root").alias("cluster"), F.expr("node & ~1L").alias("of"))
-    clusters = scratch.table(nodes.join(classes, nodes["of"] == classes["digest"]).select("id", "digest", "node", "cluster", "n"), "clusters")
-    bitmap = spark.sparkContext.broadcast(membership(clusters, "id"))
-    clusters, hot = with_blocks(clusters, block)
-    feats = some.mapInArrow(_features(n, bitmap), "id long, digest long, feats binary")
-    items = feats.join(clusters, ["id", "digest"]).select("cluster", F.col("node").alias("id"), "feats", "n", "blocks")
-    found = exact_components(scratch, items, hot, num, den, block).select(F.expr("id & ~1L").alias("a"), F.expr("root & ~1L").alias("b"))
-    found = connected_components(scratch, found).withColumnRenamed("node", "digest")
-    found = scratch.table(found.join(classes.drop("n"), "digest"), "found")
-    least = found.groupBy("root").agg(F.min("id").alias("least"))
-    roots = classes.join(found.join(least, "root").select("digest", "least"), "digest", "left").select("digest", F.coalesce("least", "id").alias("component_id"))
-    return sizes.join(roots, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    nodes, names = candidates(scratch, some.mapInArrow(_signed(n, num, den, common, how), PACKED))
+    # a set that several tasks have read is several nodes of one cluster: one of them stands for it
+    members = nodes.select(F.col("root").alias("cluster"), F.expr("node & ~1L").alias("of"), F.expr("node & 1").alias("below")).join(names, "of")
+    members = members.groupBy("cluster", "below", F.col("b").alias("d1"), F.col("c").alias("d2")).agg(F.min("of").alias("of"))
+    members = _with_own_class(members.withColumn("id", F.col("of") + F.col("below")))
+    members = scratch.table(members.join(classes, ["d1", "d2"]).select("cluster", "id", "doc", "hash", "d1", "d2", "n"), "members")
+
+    def ship(part: DataFrame) -> DataFrame:
+        bitmap = spark.sparkContext.broadcast(membership(part, "doc"))
+        texts = some.select(F.col("doc_id").alias("id"), "text", "hash").mapInArrow(_texts(bitmap), "doc long, hash long, feats binary")
+        return texts.join(part, ["doc", "hash"])
+
+    def refine(items: DataFrame, k: int) -> DataFrame:
+        again, of = candidates(scratch, items.select("cluster", "id", "feats").mapInArrow(_dealt_anew(n, num, den, common, how, k + 1), PACKED))
+        found = again.join(of, again["node"] == of["of"]).select(F.col("b").alias("id"), F.col("root").alias("cluster")).distinct()
+        return _with_own_class(found)
+
+    found = exact_components(scratch, members, ship, num, den, block, _features(n), refine)
+    found = connected_components(scratch, found.select(F.expr("id & ~1L").alias("a"), F.expr("root & ~1L").alias("b")))
+    of = members.select(F.expr("id & ~1L").alias("node"), "doc", "d1", "d2").distinct()
+    found = scratch.table(found.join(of, "node"), "found")
+    least = found.groupBy("root").agg(F.min("doc").alias("least"))
+    roots = classes.join(found.join(least, "root").select("d1", "d2", "least"), ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "doc").alias("component_id"))
+    out = sizes.join(roots, ["d1", "d2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each_group(docs: DataFrame, **options) -> DataFrame:

@@ -6,19 +6,26 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILTER_BITS = 24  # 2 MB, whatever the size of the input
+MOST_BITS = 28  # of a filter: 32 MB
+WORDS = 1024  # of a filter, that one row holds
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or what setCheckpointDir() was given.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is set.
+    Only where both are unset and Spark runs on this machine alone, as in tests, a temporary folder is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -51,22 +58,51 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def membership(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of 2**bits bits with one set for each key: no key is missed, and few others pass.
+def _or_words(batches):
+    """Bitmaps of WORDS words, from rows (part, at, mask) that come sorted by part."""
+    part = words = None
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["part", "words"])
+
+    for batch in batches:
+        p, at, mask = (batch.column(c).to_numpy() for c in ("part", "at", "mask"))
+        for cut in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1):
+            if len(cut):
+                if p[cut[0]] != part:
+                    if words is not None:
+                        yield out()
+                    part, words = int(p[cut[0]]), np.zeros(WORDS, np.uint32)
+                words[at[cut]] |= mask[cut].astype(np.uint32)
+    if words is not None:
+        yield out()
+
+
+def membership(keys: DataFrame, column: str, n: int | None = None) -> np.ndarray:
+    """A bitmap with a bit set for each of the n keys: no key is missed, and few others pass.
 
-    Its size doesn't depend on the number of keys, so that it may be sent to every task;
-    an exact join has to follow.
+    It has 16 bits a key, rounded up, but never more than 2**MOST_BITS (32 MB), so that it may be sent to every task; beyond
+    some 16 million keys ever more others pass, and beyond 10**9 nearly all.  An exact join has to
+    follow, so that results don't depend on it.
     """
+    n = keys.count() if n is None else n
+    bits = min(MOST_BITS, max(15, int(n).bit_length() + 4))
     bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.shiftright(bit, 5)
     found = (
-        keys.select(F.shiftright(bit, 5).alias("at"), F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("mask"))
-        .groupBy("at")
+        keys.select(word.alias("word"), F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("mask"))
+        .groupBy("word")
         .agg(F.bit_or("mask").alias("mask"))
-        .toArrow()
+        .select(F.floor(F.col("word") / WORDS).cast("int").alias("part"), (F.col("word") % WORDS).cast("int").alias("at"), "mask")
+        .repartition("part")
+        .sortWithinPartitions("part")
+        .mapInArrow(_or_words, "part int, words binary")
+        .collect()
     )
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[found["at"].to_numpy()] = found["mask"].to_numpy().astype(np.uint32)
-    return out
+    out = np.zeros((max(1, (1 << bits - 5) // WORDS), WORDS), np.uint32)
+    for r in found:
+        out[r["part"]] = np.frombuffer(r["words"], np.uint32)
+    return out.ravel()
 
 
 def maybe_in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:

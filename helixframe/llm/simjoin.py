@@ -3,69 +3,193 @@
 Signatures bring similar sets together; every list of sets that share one becomes a star of
 candidate links, and the components of these stars are candidate clusters.  Within a cluster the
 overlaps are computed exactly as a blocked product of the sparse set-by-feature matrix.
+
+Signatures travel packed: a task numbers its sets, sorts its signatures, and sends each bucket (a
+range of signatures) one blob of differences and numbers, five bytes or so for a signature.  What the
+numbers stand for travels once a set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch, connected_components
-from .text import rows, signed
+from .text import rows
 
+U64 = np.uint64
 BLOCK = 2048  # sets that are compared in one task
 FEATURES = 1 << 21  # and how many features they have in all, about
 COLUMNS = 2048  # features multiplied at once
+HELD = 2_000_000  # signatures that a task sorts at once
+REFINEMENTS = 3
+
+PACKED = "kind int, bucket int, base long, blob binary"
+_ENTRIES, _LINKS, _NAMES = 0, 1, 2
+_ZSTD = pa.Codec("zstd", 1)
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Signatures are cut to ``width`` bits, of which the leading ``bits`` name their bucket."""
+
+    bits: int
+    width: int
+
+
+def layout(n: float) -> Layout:
+    """For about n signatures: some 200,000 in a bucket, and one in a million equal to another by chance.
+
+    A bucket of n beyond 2**37 holds more in proportion.
+    """
+    size = max(1, int(n)).bit_length()
+    return Layout(min(20, max(4, size - 17)), min(63, max(44, size + 20)))
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:4], "little")
+    return _ZSTD.decompress(blob[4:], size, asbytes=True) if size else b""
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by byte, the lowest bytes first, without the bytes that all have as 0."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :width].T.tobytes()
+
+
+def _numbers(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = data[at]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n).T
+    return out.reshape(-1).view("<u8"), at + 1 + n * width
 
-ENTRIES = "a long, b long, edge boolean"
 
+def _pack(x: np.ndarray, y: np.ndarray) -> bytes:
+    """Two columns of numbers, the first ascending."""
+    return squeeze(len(x).to_bytes(4, "little") + _planes(np.diff(x, prepend=x[:1] * 0)) + _planes(y))
 
-def entries(signature: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
-    """Rows for one batch: a signature and the first item that has it, and links to that first item.
 
-    This aggregates before the shuffle: however many similar items a batch holds, a signature
-    leaves it once.
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = unsqueeze(blob)
+    n = int.from_bytes(data[:4], "little")
+    x, at = _numbers(data, 4, n)
+    return np.cumsum(x, dtype=U64), _numbers(data, at, n)[0]
+
+
+def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layout) -> Iterator[pa.RecordBatch]:
+    """PACKED rows from (signatures, nodes, names) in turn.
+
+    names has a pair of longs for each new set; the task's sets are numbered from 0 as they come, and
+    set i has the nodes 2 * i and 2 * i + 1.  Signatures that one task meets again leave it as links.
     """
-    order = np.lexsort((item, signature))
-    s, x = signature[order], item[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    head = x[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-    link = np.unique(np.stack([x[~new], head[~new]], 1), axis=0) if not new.all() else np.zeros((0, 2), np.int64)
-    link = link[link[:, 0] != link[:, 1]]
-    return rows(
-        a=np.concatenate([s[new], link[:, 0]]),
-        b=np.concatenate([x[new], link[:, 1]]),
-        edge=np.repeat([False, True], [new.sum(), len(link)]),
-    )
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (edge, a): each list of equal a is linked to its first b; only that b is held."""
-    last, head = None, None
+    part = TaskContext.get().partitionId()
+    base, spread, n_sets = part << 36, part, 0
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out():
+        nonlocal spread, n_sets
+        s, x = np.concatenate([h[0] for h in held]) >> U64(64 - how.width), np.concatenate([h[1] for h in held])
+        names = np.concatenate([h[2] for h in held])
+        order = np.argsort(s, kind="stable")
+        s, x = s[order], x[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        kinds, buckets, bases, blobs = [], [], [], []
+
+        def add(kind, bucket, of, blob):
+            kinds.append(kind)
+            buckets.append(bucket)
+            bases.append(of)
+            blobs.append(blob)
+
+        if not new.all():
+            head = x[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+            link = np.unique((x[~new].astype(U64) << U64(32)) | head[~new].astype(U64))
+            link = link[(link >> U64(32)) != (link & U64(0xFFFFFFFF))]
+            for at in range(0, len(link), 500_000):
+                some = link[at : at + 500_000]
+                add(_LINKS, spread % (1 << how.bits), base, _pack(some >> U64(32), some & U64(0xFFFFFFFF)))
+                spread += 1
+            s, x = s[new], x[new]
+        bucket = (s >> U64(how.width - how.bits)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True):
+            add(_ENTRIES, int(bucket[a]), base, _pack(s[a:b], x[a:b]))
+        for at in range(0, len(names), 500_000):
+            add(_NAMES, spread % (1 << how.bits), base + 2 * (n_sets + at), squeeze(names[at : at + 500_000].tobytes()))
+            spread += 1
+        n_sets += len(names)
+        held.clear()
+        for at in range(0, len(blobs), 2000):
+            cut_ = slice(at, at + 2000)
+            yield rows(kind=pa.array(kinds[cut_], pa.int32()), bucket=pa.array(buckets[cut_], pa.int32()), base=pa.array(bases[cut_], pa.int64()), blob=pa.array(blobs[cut_], pa.binary()))
+
+    for some in found:
+        held.append(some)
+        size += len(some[0])
+        if size > HELD:
+            yield from out()
+            size = 0
+    if held:
+        yield from out()
+
+
+MET = "kind int, a long, b long, c long"
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: links of each signature's nodes to the first of them, and the names of nodes."""
+
+    def table(kind, a, b, c=None):
+        return rows(kind=pa.array(np.full(len(a), kind, np.int32)), a=a.astype(np.int64), b=b.astype(np.int64), c=np.zeros(len(a), np.int64) if c is None else c.astype(np.int64))
+
+    def links(s, x):
+        s, x = np.concatenate(s), np.concatenate(x)
+        order = np.argsort(s, kind="stable")
+        s, x = s[order], x[order]
+        again = np.zeros(len(s), bool)
+        again[1:] = s[1:] == s[:-1]
+        head = x[np.maximum.accumulate(np.where(again, 0, np.arange(len(s))))]
+        pair = np.unique(np.stack([x[again], head[again]], 1), axis=0)
+        return table(_LINKS, pair[:, 0], pair[:, 1])
+
+    last, s, x = None, [], []
     for batch in batches:
-        a, b, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        out = [np.stack([a[edge], b[edge]], 1)]
-        a, b = a[~edge], b[~edge]
-        if len(a):
-            new = np.ones(len(a), bool)
-            new[1:] = a[1:] != a[:-1]
-            new[0] = a[0] != last
-            first = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
-            heads = np.where(first >= 0, b[np.maximum(first, 0)], head if head is not None else 0)
-            out.append(np.stack([b, heads], 1)[b != heads])
-            last, head = a[-1], heads[-1]
-        found = np.unique(np.concatenate(out), axis=0)
-        yield rows(a=found[:, 0].copy(), b=found[:, 1].copy())
-
-
-def candidate_links(found: DataFrame) -> DataFrame:
-    """Links (a, b) between items from the rows that entries() made."""
-    return found.repartition("a").sortWithinPartitions("edge", "a").mapInArrow(_stars, "a long, b long")
+        for kind, bucket, base, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "base", "blob")), strict=True):
+            if bucket != last:
+                if len(s) > 1:
+                    yield links(s, x)
+                last, s, x = bucket, [], []
+            if kind == _NAMES:
+                names = np.frombuffer(unsqueeze(blob), np.int64).reshape(-1, 2)
+                yield table(_NAMES, base + 2 * np.arange(len(names)), names[:, 0], names[:, 1])
+                continue
+            a, b = _unpack(blob)
+            if kind == _ENTRIES:
+                s.append(a)
+                x.append(b.astype(np.int64) + base)
+            else:
+                yield table(_LINKS, a.astype(np.int64) + base, b.astype(np.int64) + base)
+    if len(s) > 1:
+        yield links(s, x)
+
+
+def candidates(scratch: Scratch, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the candidate components, and (node, b, c) with the names of even nodes, from PACKED rows."""
+    met = scratch.table(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "met")
+    nodes = scratch.table(connected_components(scratch, met.where(F.col("kind") == _LINKS).select("a", "b")), "nodes")
+    return nodes, met.where(F.col("kind") == _NAMES).select(F.col("a").alias("of"), "b", "c")
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -243,43 +367,70 @@ def _across(num: int, den: int, features: Callable):
     return f
 
 
-def with_blocks(members: DataFrame, block: int = BLOCK) -> tuple[DataFrame, bool]:
-    """members (cluster, n, ...) with the number of blocks of their cluster, and whether any has several.
-
-    n: a set's features.  A block holds ``block`` sets and FEATURES features, about.  Counted on the
-    narrow table, so that features needn't be shuffled for it.
-    """
-    counts = members.groupBy("cluster").agg(_parts(block).alias("blocks")).where("blocks > 1")
-    hot = counts.limit(1).count() > 0
-    if not hot:
-        return members.withColumn("blocks", F.lit(1)), False
-    return members.join(counts, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), True
-
-
 def _parts(block: int):
     return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.least(F.ceil(F.sum("n") / FEATURES), F.count(F.lit(1)))).cast("int")
 
 
-def exact_components(scratch: Scratch, items: DataFrame, hot: bool, num: int, den: int, block: int = BLOCK, features: Callable = _stored) -> DataFrame:
-    """(id, root) for items (cluster, id, feats, n, blocks), the latter and hot by with_blocks(): components of the links den * overlap >= num * union.
-
-    feats: the sorted features, eight bytes each, or what ``features`` turns into a sorted array.  Links join items of one cluster only.  root is
-    the smallest id of the component.
+def _split(scratch: Scratch, members: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """members (cluster, id, n, ...) of clusters of one block, and those of larger ones with their number of blocks, if any.
 
-    A cluster of more than ``block`` items is split at random, and each block is solved alone.  The
-    largest component of each block is then compared through one of its members with that of the
-    first block; nearly all of a large group of copies meets in this way.  Only what is left outside
-    is compared with every block, so that no link is lost and no task holds more than a few blocks.
+    n: a set's features.  A block holds ``block`` sets and FEATURES features, about.  Counted on the
+    narrow table, so that features needn't be shuffled for it.
     """
-    items = items.select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("block"), "id", "feats", "n", "blocks")
-    if hot:
-        items = scratch.table(items, "items")
-    solved = items.select("cluster", "block", "id", "feats").repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, features), "cluster long, block long, id long, root long")
-    solved = scratch.table(solved, "solved")
-    if not hot:
-        return solved.select("id", "root")
-    large = items.where("blocks > 1").join(solved.select("id", "root"), "id")
-    large = scratch.table(large, "large")
+    counts = scratch.table(members.groupBy("cluster").agg(_parts(block).alias("blocks")).where("blocks > 1"), "counts")
+    if not counts.limit(1).count():
+        return members, None
+    return members.join(counts, "cluster", "left_anti"), scratch.table(members.join(counts, "cluster"), "hot")
+
+
+def exact_components(
+    scratch: Scratch,
+    members: DataFrame,
+    ship: Callable[[DataFrame], DataFrame],
+    num: int,
+    den: int,
+    block: int = BLOCK,
+    features: Callable = _stored,
+    refine: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
+    """(id, root) for members (cluster, id, n, ...): components of the links den * overlap >= num * union.
+
+    ship(some members) adds their feats, which ``features`` turns into a sorted array of hashes.
+    Links join members of one cluster only.  root is the smallest id of the component.
+
+    A cluster of more than one block is first cut by signatures of another make: refine(its members
+    with feats, round) returns (id, cluster) for those that meet others again, and no link is lost.
+    What stays large is mostly one large group of similar sets.  Its members are dealt into blocks at
+    random, and each block is solved alone.  The largest component of each block is then compared
+    through one of its members with that of the first block; nearly all of a large group of copies
+    meets in this way.  Only what is left outside is compared with every block, so that no link is
+    lost and no task holds more than a few blocks.
+    """
+    within = lambda items: items.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, features), "cluster long, block long, id long, root long")
+    alone = lambda some: scratch.table(within(ship(some).select("cluster", F.lit(0).cast("long").alias("block"), "id", "feats")).select("id", "root"), "solved")
+    cold, hot = _split(scratch, members, block)
+    out = alone(cold)
+    if hot is None:
+        return out
+    feats = scratch.table(ship(hot).select("cluster", "id", "feats"), "feats")
+    ship = lambda some: some.join(feats.select("id", "feats"), "id")
+    left = hot.count()
+    for k in range(REFINEMENTS if refine else 0):
+        finer = hot.drop("cluster", "blocks").join(refine(ship(hot.select("cluster", "id")), k), "id")
+        before = hot
+        cold, hot = _split(scratch, scratch.table(finer, "finer"), block)
+        out = out.unionByName(alone(cold))
+        scratch.drop(before)
+        if hot is None:
+            return out
+        now = hot.count()
+        if now > 0.9 * left:
+            break
+        left = now
+    items = scratch.table(ship(hot).select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("block"), "id", "feats", "n", "blocks"), "items")
+    solved = scratch.table(within(items.select("cluster", "block", "id", "feats")), "solved")
+    large = scratch.table(items.join(solved.select("id", "root"), "id"), "large")
+    scratch.drop(items)
     sizes = large.groupBy("cluster", "block", "root").agg(F.count(F.lit(1)).alias("n"))
     mains = sizes.groupBy("cluster", "block").agg(F.max_by("root", F.struct("n", "root")).alias("root"))
     hubs = large.where("id = root").join(mains.select("root"), "root", "left_semi").select("cluster", "root", "feats")
@@ -292,4 +443,5 @@ def exact_components(scratch: Scratch, items: DataFrame, hot: bool, num: int, de
     links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den, features), "a long, b long")
     links = links.unionByName(met.select(F.col("root").alias("a"), F.col("hub").alias("b")))
     joined = connected_components(scratch, links)
-    return solved.join(joined, solved.root == joined.node, "left").select("id", F.coalesce(joined.root, solved.root).alias("root"))
+    more = solved.join(joined, solved.root == joined.node, "left").select("id", F.coalesce(joined.root, solved.root).alias("root"))
+    return out.unionByName(more)

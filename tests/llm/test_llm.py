@@ -126,22 +126,79 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
-def test_line_dedup_of_short_lines(spark):
+@pytest.mark.parametrize(("least", "word", "more"), [(40, 68, ()), (20, 48, (line_dedup.Way(3, 15, 4, 70, 100, 192),))])
+def test_line_dedup_of_short_lines(spark, least, word, more):
     rng = random.Random(12)
     line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(n))
     pairs = []
-    for n in range(20, 101, 4):
+    for n in range(least, 101, 4):
         a = line(n)
         pairs.append((a, a[: n // 2] + "7" + a[n // 2 + 1 :]))  # a character
-        if n >= 48:
+        if n >= word:
             a = f"{line(n // 2 - 3)} {line(6)} {line(n - n // 2 - 5)}"
             pairs.append((a, a.replace(a.split(" ")[1], "zzyyxx")))
     others = [line(n) for n in range(1, 101, 3)]
     docs = docs_of(spark, ["\n".join(a for a, _ in pairs), "\n".join(b for _, b in pairs), "\n".join(others)])
-    rows = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, drop_emptied=False, counts=True).collect()}
+    ways = (line_dedup.LONG, line_dedup.SHORT, *more)
+    rows = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs, ways, drop_emptied=False, counts=True).collect()}
     assert rows == {0: 0, 1: len(pairs), 2: 0}
 
 
+def lines_that_go(docs, ways):
+    """(doc_id, line) by brute force: each pair of lines that share a shingle is compared."""
+    first, every = {}, []
+    for i, text in sorted(docs):
+        for k, x in enumerate(text.split("\n")):
+            x = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\v\f\r"))
+            if x:
+                first.setdefault(x, (i, k))
+                every.append((i, k, x))
+    lines = sorted(first, key=first.get)
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for way in ways:
+        sets = [{x[j : j + way.shingle] for j in range(len(x) - way.shingle + 1)} if way.shingle <= len(x) <= way.most else set() for x in lines]
+        holders = collections.defaultdict(list)
+        for p, s in enumerate(sets):
+            for g in s:
+                holders[g].append(p)
+        for p, s in enumerate(sets):
+            both = collections.Counter(q for g in s for q in holders[g] if q < p)
+            for q, n in both.items():
+                if way.den * n >= way.num * (len(s) + len(sets[q]) - n):
+                    a, b = sorted((find(p), find(q)))
+                    root[b] = a
+    stays = {x: first[lines[find(p)]] for p, x in enumerate(lines)}
+    return {(i, k) for i, k, x in every if stays[x] != (i, k)}
+
+
+def test_line_dedup_of_a_whole_table_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    ways = (line_dedup.LONG, line_dedup.SHORT)
+    want = lines_that_go([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], ways)
+    found = {(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(docs, ways).collect()}
+    assert len(want) > 20 and len(found & want) >= 0.99 * len(want) and not found - want
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_line_dedup_of_large_clusters(spark, monkeypatch, block):
+    """Near copies of one line, more than a block holds, and lines that only share their beginning."""
+    rng = random.Random(21)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw ") for _ in range(n))
+    base, head = line(140), line(60)
+    near = [base[:p] + "9" + base[p + 1 :] for p in range(0, 140, 4)]
+    other = [head + line(60) for _ in range(30)]
+    monkeypatch.setattr(line_dedup.exact_components, "__defaults__", (block, *line_dedup.exact_components.__defaults__[1:]))
+    docs = docs_of(spark, ["\n".join(near[i::5] + other[i::5]) for i in range(5)])
+    found = {(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(docs).collect()}
+    assert found == {(i, k) for i in range(5) for k in range(7)} - {(0, 0)}
+
+
 def test_substring_dedup(spark, corpus, monkeypatch):
     for crowd in (4096, 0):
         monkeypatch.setattr(substring_dedup, "CROWD", crowd)
@@ -169,6 +226,32 @@ def test_mixing(spark, corpus):
     assert mixing.mix_sources(docs_of(spark, [])).count() == 0
 
 
+def test_mix_comes_from_the_leaves_of_the_tree(spark, corpus, tmp_path, monkeypatch):
+    plans = []
+    plan = mixing._plan
+    monkeypatch.setattr(mixing, "_plan", lambda *x: plans.append(plan(*x)) or plans[-1])
+    docs = docs_of(spark, corpus)
+    found = {r["doc_id"]: r for r in mixing.mix_sources(docs, shards=4).collect()}
+    for p in plans[0].collect():
+        runs = list(zip([0, *p["ends"]], p["ends"], strict=False))
+        assert len(runs) == 4 and p["ends"][-1] == p["blocks"]
+        mine = [r for r in found.values() if r["source"] == p["source"]]
+        where = {r["doc_id"]: int(hashlib.md5(f"1:{r['doc_id']}".encode()).hexdigest()[: mixing.HEX], 16) for r in mine}
+        for shard, (lo, hi) in enumerate(runs):  # a shard draws what lies in its run, all of it but at the end of the quota
+            held = {(r["doc_id"], x["copy"]): x["words"] for r in mine for x in r["draws"] if x["shard"] == shard}
+            want = {(i, c): found[i]["size"] for i, b in where.items() for c in range(p["rounds"] + 1) if lo <= c * mixing.BLOCKS + b < hi and found[i]["size"]}
+            cut = {k for k in want if p["cut"] and k[1] * mixing.BLOCKS + where[k[0]] == p["blocks"] - 1}
+            assert {k: n for k, n in held.items() if k not in cut} == {k: n for k, n in want.items() if k not in cut} and set(held) <= set(want)
+        assert sum(r["taken"] for r in mine) == round(p["target"])
+    mixing.write_mix(docs, str(tmp_path / "mix"), shards=4)
+    out = spark.read.parquet(str(tmp_path / "mix"))
+    assert sorted((r["doc_id"], r["copy"], r["shard"], len(WORD.findall(r["text"]))) for r in out.collect()) == sorted((i, x["copy"], x["shard"], x["words"]) for i, r in found.items() for x in r["draws"])
+    order = {(i, x["copy"]): x["order"] for i, r in found.items() for x in r["draws"]}
+    for shard in range(4):
+        rows = [order[r["doc_id"], r["copy"]] for r in spark.read.parquet(str(tmp_path / "mix" / f"shard={shard}")).collect()]
+        assert rows == sorted(rows) and len(rows) > 3
+
+
 def test_splitting_tree_is_exact_and_hypergeometric(spark):
     q = [1000, 37, 0, 5000]
     leaves = [r["q"] for s in range(30) for r in mixing.split_quotas(spark.createDataFrame([(q,)], "q array<bigint>"), 2, s).orderBy("shard").collect()]
@@ -250,6 +333,23 @@ def test_archives(spark):
     assert archives.archive_pages(pages.where("false")).count() == 0
 
 
+def test_archives_of_repeated_ids(spark):
+    rows = [(3, "A" * 50), (4, "B" * 50), (5, "A" * 50), (5, "B" * 50), (6, "C" * 50), (6, "A" * 50), (7, "B" * 50), (7, "B" * 50), (3, "A" * 50), (None, "A" * 50), (8, "x"), (9, "x")]
+    pages = spark.createDataFrame([(i, f"http://p/{i}", h, 1) for i, h in rows], "page_id long, url string, html string, id int")
+    found = archives.archive_pages(pages, min_bytes=2).collect()
+    digest = {h: archives.payload_digest(h.encode()) for _, h in rows}
+    first = {digest[x]: i for x, i in (("A" * 50, 3), ("B" * 50, 4), ("C" * 50, 6))}
+    assert sorted((r["page_id"] or 0, r["payload_digest"]) for r in found) == sorted((i or 0, digest[h]) for i, h in rows)
+    for r in found:
+        response = r["page_id"] is None or r["payload_bytes"] < 2 or first[r["payload_digest"]] == r["page_id"]
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if response else ("revisit", first[r["payload_digest"]]))
+    assert len({r["record_id"] for r in found}) == len(found)
+    responses = {r["record_id"]: r for r in found if r["record_type"] == "response"}
+    for r in found:
+        if r["record_type"] == "revisit":
+            assert responses[r["refers_to_record"]]["page_id"] == r["refers_to"] and responses[r["refers_to_record"]]["payload_digest"] == r["payload_digest"]
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     body = archives.http_message(3, "a\nb")
@@ -289,19 +389,69 @@ def test_decontamination_of_long_short_and_partly_quoted_items(spark, monkeypatc
         assert [r["doc_id"] for r in decontamination.remove_contaminated(docs_of(spark, texts), index).collect()] == [5]
 
 
-def test_block_bounds_never_miss():
+def brute_retrieval(index, h):
+    """Every passage scored against every unit."""
+    impact = np.zeros((len(index.vocabulary) + 1, len(index.item)))
+    for x in range(len(index.item)):
+        at = slice(index.unit_first[x], index.unit_first[x + 1])
+        impact[index.unit_place[at], x] = index.unit_impact[at]
+    out = {}
+    for a in range(0, max(1, len(h) - decontamination.STRIDE), decontamination.STRIDE):
+        score = impact[np.unique(index.places(h[a : a + decontamination.PASSAGE]))].sum(0)
+        out |= {(a, x): score[x] for x in np.flatnonzero(score >= 0.5).tolist()}
+    return out
+
+
+def test_block_bounds_never_miss(monkeypatch):
     rng = random.Random(9)
-    items = [(i, prose(rng, rng.choice((5, 40)), 60)) for i in range(30)]
-    terms = decontamination._terms([t for _, t in items])
-    df = collections.Counter(h for t in terms for h in set(t.tolist()))
-    index = decontamination.Index(items, 30, df, float(np.mean([len(t) for t in terms])))
-    (h,) = decontamination._terms([prose(rng, 400, 60)])
-    got = {(a, x) for _, a, _, x, _ in decontamination.retrieve(index, h, np.array([0, len(h)]), 0.5)}
+    for cells in (decontamination.CELLS, 40):
+        monkeypatch.setattr(decontamination, "CELLS", cells)
+        for n in (30, 3):
+            items = [(i, prose(rng, rng.choice((5, 40, 200)), 60)) for i in range(n)]
+            terms = decontamination._terms([t for _, t in items])
+            df = collections.Counter(h for t in terms for h in set(t.tolist()))
+            index = decontamination.Index(items, n, df, float(np.mean([len(t) for t in terms])))
+            texts = decontamination._terms([prose(rng, m, 60) for m in (400, 1, 31, 32, 33, 64, 65, 96, 97)] + [""])
+            first = np.cumsum([0, *map(len, texts)])
+            got = {(r, int(a - first[r]), x): s for r, a, _, x, s in decontamination.retrieve(index, np.concatenate(texts), first, 0.5)}
+            want = {(r, a, x): s for r, h in enumerate(texts) if len(h) for (a, x), s in brute_retrieval(index, h).items()}
+            assert got.keys() == want.keys() and want and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_decontamination_of_whole_tables_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    built = decontamination.build_index(spark.read.parquet(f"{d}/benchmark.parquet"))
+    (index,) = (__import__("pickle").loads(bytes(x.first()["data"])) for x in built)
     want = set()
-    for a in range(0, len(h) - decontamination.STRIDE, decontamination.STRIDE):
-        place = np.unique(index.places(h[a : a + decontamination.PASSAGE]))
-        want |= {(a, x) for x in range(30) if index.impact[place, x].sum(dtype=np.float64) >= 0.5}
-    assert got == want and want
+    for doc, h in zip(docs, decontamination._terms([r["text"] or "" for r in docs]), strict=True):
+        for (a, x), _ in brute_retrieval(index, h).items():
+            i = int(index.item[x])
+            beside = max(decontamination.PASSAGE, int(index.sizes[i]))
+            near = h[max(0, a - beside) : a + decontamination.PASSAGE + beside]
+            whole, q, s = (decontamination._share(g, T.shingles(near, k)) if k else 0.0 for k, g in index.grams[i])
+            if q >= 0.6 and index.alone[i] or s >= 0.6 and whole >= 0.5:
+                want.add((doc["doc_id"], int(index.ids[i])))
+    found = decontamination.benchmark_matches(spark.read.parquet(f"{d}/documents.parquet"), built).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want) > 10
+
+
+def test_long_items_and_long_documents(spark):
+    rng = random.Random(13)
+    items = [". ".join(prose(rng, 80, 5000) for _ in range(8)) + "." for _ in range(3)]  # 640 words
+    long = prose(rng, 1_500_000, 5000)  # some 9 MB
+    texts = [f"{long} {items[1]} {prose(rng, 100, 5000)}", f"{prose(rng, 40)} {items[2]}", long]
+    index = decontamination.build_index(spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.benchmark_matches(docs_of(spark, texts), index).collect()}
+    assert found == {(0, 1), (1, 2)}
+
+
+def test_a_question_of_one_word_doesnt_decide_alone(spark):
+    rng = random.Random(14)
+    answer = prose(rng, 30, 3000)
+    index = decontamination.build_index(spark.createDataFrame([(0, f"Why? {answer}.")], "item_id long, text string"))
+    texts = [f"{prose(rng, 50, 3000)} why {prose(rng, 50, 3000)}", f"{prose(rng, 50, 3000)} why {answer}"]
+    assert [r["doc_id"] for r in decontamination.benchmark_matches(docs_of(spark, texts), index).collect()] == [1]
 
 
 def test_language_id(spark):
