@@ -17,6 +17,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ ROUNDS = 3
 SMOOTHING = 2.0  # imaginary instances of confidence 0 in each pattern
 HIGH = 0.7  # score of a pattern that may extract
 LEAST_VALUE = 6  # characters of a value assigned to a name
+LEAST_TOKEN, LEAST_DIGITS = 8, 4  # characters and digits of a candidate
+LONG = 256  # characters beyond which an instance is named by its digest
 
 _HINT = re.compile(r"[0-9@]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -37,8 +40,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
-_CORE = re.compile(r"[A-Za-z0-9][^\x20\x09-\x0D=:\"']*[A-Za-z0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_BREAKS = " \t\n\v\f\r=:\"'"  # between the pieces of text that may be identifiers
+_REST = re.compile(r"[^\x20\x09-\x0D=:\"']*")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api_?key|access_?key)\x20{0,2}[=:]\x20{0,2}[\"']?([^\x20\x09-\x0D\"']{6,})")
 _ACCESS_KEY = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,50 +94,81 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
 
 def _shape(token: str) -> str:
     """Character classes of a token: hexadecimal, digits, letters and digits, or as punctuated."""
+    size = len(token)
+    token = token[:LONG]
     kinds = re.sub(r"[0-9]+", "9", re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", token)))
     if re.fullmatch(r"[0-9a-f]+", token) and "a" in kinds and "9" in kinds:
         kinds = "hex"
     elif re.fullmatch(r"[0-9A-Za-z]+", token) and len(kinds) > 2:
         kinds = "mixed"
-    return f"{kinds[:40]}/{min(len(token), 64) // 4}"
+    return f"{kinds[:40]}/{min(size, 64) // 4}"
 
 
-def candidates(text: str, base: list[tuple[str, int, int]], refused: list[tuple[int, int]]) -> list[tuple[int, int, bool, bool, str, list[str]]]:
-    """(start, end, base, seed, instance, patterns) of seeds and of tokens that look like identifiers."""
-    spans = [(a, b, True, True) for _, a, b in base]
-    taken = sorted([(a, b) for _, a, b in base] + refused)
-    ends = [b for _, b in taken]
+class Taken:
+    """Disjoint spans in order."""
 
-    def free(a: int, b: int) -> bool:
-        i = bisect.bisect_left(taken, (b, 0))
-        return not any(y > a for y in ends[max(0, i - 4) : i])
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
 
-    def left(a: int, b: int) -> list[tuple[int, int]]:
-        """What of a named value is long enough outside the spans already taken."""
+    def left(self, a: int, b: int) -> list[tuple[int, int]]:
+        """The parts of a..b that no span has."""
         out = []
-        for x, y in [*taken, (b, b)]:
-            if x <= b and y > a or x == b:
-                if x - a >= LEAST_VALUE:
-                    out.append((a, x))
-                a = max(a, y)
-        return out
+        i = bisect.bisect_right(self.ends, a)
+        while i < len(self.starts) and self.starts[i] < b:
+            if self.starts[i] > a:
+                out.append((a, self.starts[i]))
+            a = self.ends[i]
+            i += 1
+        return [*out, (a, b)] if a < b else out
+
+    def add(self, a: int, b: int) -> None:
+        """Takes a span that is free."""
+        i = bisect.bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Pieces without white space, quotes, = and : that hold a digit, cut to where ASCII letters and digits begin and end; in linear time."""
+    end = 0
+    while m := _DIGIT.search(text, end):
+        lo = max(end, *(text.rfind(x, end, m.start()) + 1 for x in _BREAKS))
+        end = hi = _REST.match(text, m.end()).end()
+        while text[lo] not in _ALNUM:
+            lo += 1
+        while text[hi - 1] not in _ALNUM:
+            hi -= 1
+        yield lo, hi
 
+
+def candidates(text: str, base: list[tuple[str, int, int]], refused: list[tuple[int, int]]) -> list[tuple[int, int, bool, bool, str, list[str]]]:
+    """(start, end, base, seed, instance, patterns) of seeds and of tokens that look like identifiers."""
+    spans = [(a, b, True, True) for _, a, b in base]
+    taken = Taken([(a, b) for _, a, b in base] + refused)
     for m in (*_NAMED.finditer(text), *_ACCESS_KEY.finditer(text)):
         whole = m.span(m.lastindex or 0)
-        for a, b in [whole] if free(*whole) else left(*whole) if m.lastindex else []:
+        free = taken.left(*whole)
+        if free != [whole]:  # of a named value, what rules leave of it, if long enough
+            free = [x for x in free if x[1] - x[0] >= LEAST_VALUE] if m.lastindex else []
+        for a, b in free:
             spans.append((a, b, False, True))
-            bisect.insort(taken, (a, b))
-        ends = [y for _, y in taken]
-    for m in _TOKEN.finditer(text):
-        for c in _CORE.finditer(m.group()):
-            a, b = m.start() + c.start(), m.start() + c.end()
-            if b - a >= 8 and sum(x.isdigit() for x in c.group()) >= 4 and free(a, b):
-                spans.append((a, b, False, False))
+            taken.add(a, b)
+    for a, b in _tokens(text):
+        if b - a >= LEAST_TOKEN and sum(map(text.count, "0123456789", [a] * 10, [b] * 10)) >= LEAST_DIGITS and taken.left(a, b) == [(a, b)]:
+            spans.append((a, b, False, False))
     out = []
     for a, b, rule, seed in spans:
         before = _WORD.findall(text[max(0, a - 64) : a])
         after = _WORD.search(text, b, b + 64)
-        patterns = [f"shape {_shape(text[a:b])}"]
+        token = text[a:b]
+        patterns = [f"shape {_shape(token)}"]
         glued = bool(a) and text[a - 1] not in " \t\n\v\f\r"
         if glued or (before and before[-1][-1] in "=:"):
             patterns.append(f"key {' '.join(before[-1 if glued and len(before[-1]) > 1 else -3 :]).lower()}")
@@ -140,7 +176,7 @@ def candidates(text: str, base: list[tuple[str, int, int]], refused: list[tuple[
             patterns.append(f"before {before[-1].lower()}")
         if after and after.start() > b:
             patterns.append(f"after {after.group().lower()}")
-        out.append((a, b, rule, seed, text[a:b], patterns))
+        out.append((a, b, rule, seed, token if b - a <= LONG else f"sha256 {hashlib.sha256(token.encode()).hexdigest()}", patterns))
     return out
 
 
@@ -185,12 +221,12 @@ def pattern_scores(scratch: Scratch, edges: DataFrame, rounds: int = ROUNDS) ->
 
 
 def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, high: float = HIGH) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row of docs (doc_id, text, ...).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id, n_spans) for each row of docs (doc_id, text, ...).
 
     spans lists kind:start:end, joined by commas: the rules' finds by kind and start, then those of
-    the method as kind id.  Offsets count code points, the end is exclusive.  A null text is empty;
+    the method as kind id.  n_id counts the latter, n_spans all.  Offsets count code points, the end is exclusive.  A null text is empty;
     an empty text has no spans.  Rows without doc_id and repeated rows are treated like others.
-    Other columns are ignored.
+    Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan, _FOUND).withColumn("row", F.monotonically_increasing_id())
@@ -201,6 +237,8 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, high: float = HIGH
     more = each.where("not seed").select("row", "lo", "hi", F.explode("patterns").alias("pattern")).join(scores, "pattern").select("row", "lo", "hi")
     more = more.unionByName(each.where("seed and not rule").select("row", "lo", "hi")).distinct()
     more = more.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("more"))
-    more = more.select("row", F.concat_ws(",", F.transform("more", lambda x: F.concat_ws(":", F.lit("id"), x["lo"], x["hi"]))).alias("more"))
+    more = more.select("row", F.size("more").cast("long").alias("n_id"), F.concat_ws(",", F.transform("more", lambda x: F.concat_ws(":", F.lit("id"), x["lo"], x["hi"]))).alias("more"))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "more")
-    return scanned.drop("found").join(more, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+    n_id = F.coalesce("n_id", F.lit(0).cast("long"))
+    n_spans = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + n_id
+    return scanned.drop("found").join(more, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), n_id.alias("n_id"), n_spans.alias("n_spans"))

@@ -320,6 +320,60 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert rows[40].startswith("id:25:41") and rows[41] == ""
 
 
+def test_unseen_identifiers_are_discovered(spark):
+    """Identifiers of forms that no rule knows, in contexts that seeds share; numbers in other contexts aren't personal."""
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def unseen():
+        return rng.choice((f"PX{digits(7)}", f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(4)}/{rng.choice('ABCDE')}{digits(6)}", f"{digits(9)}{rng.choice('xyz')}"))
+
+    def seed():
+        return rng.choice((f"+1 555 {digits(3)} {digits(4)}", f"{rng.choice('abcdef')}{digits(5)}@mail{digits(2)}.org"))
+
+    contexts = ("account holder {} registered", "patient={} admitted", "passport: {} issued", "member ref {} renewed")
+    plain = ("order total {} euros", "built in version {} today", "isbn {} reprinted")
+    texts, want = [], {}
+    for i in range(600):
+        context, kind = rng.choice(contexts), i % 5
+        x = unseen() if kind == 0 else digits(10) if kind == 1 else seed()
+        line = (rng.choice(plain) if kind == 1 else context).format(x)
+        before = prose(rng, rng.randrange(1, 8)) + " "
+        if kind == 0:
+            a = len(before) + line.index(x)
+            want[i] = f"id:{a}:{a + len(x)}"
+        texts.append(f"{before}{line} {prose(rng, 4)}")
+    rows = {r["doc_id"]: r for r in pii.find_personal_data(docs_of(spark, texts)).collect()}
+    found = {i: r["spans"] for i, r in rows.items() if r["n_id"]}
+    assert all(r["n_spans"] == len(r["spans"].split(",")) if r["spans"] else r["n_spans"] == 0 for r in rows.values())
+    assert sum(found.get(i) == x for i, x in want.items()) >= 0.9 * len(want)
+    assert not set(found) - set(want)
+
+
+def test_personal_data_takes_linear_time():
+    rng = random.Random(6)
+    texts = ["字" * 1_000_000, "é1" * 400_000, "".join(rng.choice("abcdefghijklmnop0123456789+/") for _ in range(1_000_000)), "a@" * 400_000, "token=abcdef1 " * 40_000, "+1 " * 300_000, "1.2." * 250_000]
+    for t in texts:
+        began = __import__("time").process_time()
+        base, refused = pii.base_spans(t)
+        pii.candidates(t, base, refused)
+        assert __import__("time").process_time() - began < 15
+
+
+def test_spans_that_are_taken():
+    rng = random.Random(7)
+    for _ in range(300):
+        spans = [(a, a + rng.randrange(1, 12)) for a in (rng.randrange(60) for _ in range(rng.randrange(6)))]
+        taken, used = pii.Taken(spans), {x for a, b in spans for x in range(a, b)}
+        a = rng.randrange(60)
+        b = a + rng.randrange(1, 15)
+        free = taken.left(a, b)
+        assert {x for lo, hi in free for x in range(lo, hi)} == set(range(a, b)) - used
+        for lo, hi in free:
+            taken.add(lo, hi)
+        assert taken.left(a, b) == [] and taken.starts == sorted(taken.starts)
+
+
 def test_archives(spark):
     html = ["<p>é</p>", "<p>é</p>", None, "", "WARC/1.0\r\n\r\nurl 0 1 2 3\n", "x" * 100_000]
     pages = spark.createDataFrame([(10 - i, f"http://a/ {i}" if i else None, h, "z") for i, h in enumerate(html)], "page_id long, url string, html string, digest string")
