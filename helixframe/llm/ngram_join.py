@@ -33,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .packing import squeeze, unsqueeze
 from .shared import Scratch, connected_components, maybe_in, membership
-from .simjoin import PACKED, Layout, candidates, exact_components, layout, packed, squeeze, unsqueeze
+from .simjoin import PACKED, Layout, candidates, exact_components, layout, packed
 
 U64 = np.uint64
 COUNTERS = 22

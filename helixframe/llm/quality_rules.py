@@ -1,178 +1,269 @@
-"""Quality rules, and perplexity under a modified Kneser-Ney model of byte n-grams.
-
-The n-grams of all texts are counted by Spark, with counts for each language; continuation counts,
-discounts, probabilities and back-off weights follow by joins and aggregations.  For scoring, each
-order is an array of sorted 64-bit hashes with the values beside it.  Documents outside the band of
-perplexity of their language, below or above, are rejected.
-
-The model's arrays go to every task only while they hold MODEL_ROWS n-grams or fewer; a larger model
-stays a table that the documents' own n-gram counts are joined with.
+"""Quality rules, and perplexity under a modified Kneser-Ney model of words and pairs of words.
+
+Words are known by SLOTS bits of their hash, a pair by those of both.  Spark counts the pairs of all
+texts: a task sorts its pairs, and sends each bucket one blob of differences, counts and numbers of
+documents, some three bytes a pair.  The model keeps the pairs that two documents or more have, as
+sorted arrays of hashes with their counts, one for each bucket; so it grows with the corpus, and no
+text explains itself.  The mass of the others goes to the lower order, whose probabilities are those
+of the words' different predecessors.  What the lower order needs is an array over all slots, whose
+size is fixed, and which every task has.
+
+Scoring: a task scores all its words by the lower order, and by the pairs that are FREQUENT, which
+every task has too.  Of the others, those that the model may have (a bitmap says so) travel to their
+bucket, where the sorted arrays are searched, and what a pair's own probability adds to its
+document's sum travels back.
+
+Documents outside the band of perplexity of their language, below or above, are rejected.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .shared import Scratch
+from .packing import pack, squeeze, unpack, unsqueeze
+from .shared import Scratch, bitmap_of, maybe_in
 
 U64 = np.uint64
-ORDER = 4  # bytes
-MODEL_ROWS = 4_000_000
+SLOTS = 21  # bits of a word's hash: two words in two million are one
+START = 0  # the slot before a text's first word
+HELD = 2_000_000  # pairs that a task sorts at once
+IN_BUCKET = 300_000  # pairs, about
+FREQUENT = 1 << 16  # a pair is frequent if it is one of so many or fewer; so that there are at most so many
+PARTS = 64  # in which arrays over all slots are added up
 SPREADS = 4.0  # interquartile ranges by which a band goes beyond the quartiles
-LEAST_SPREAD = 0.04  # nats
+LEAST_SPREAD = 0.1  # nats
 SMALL = 30  # documents of a language under which there is no band
+MOST_LANGUAGES = 10_000  # up to so many bands are broadcast
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_BYTE = np.arange(256, dtype=np.uint8)
-_BYTE[[9, 10, 11, 12, 13]] = 32
-
-
-def _grams(b: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte, the oldest byte highest; bytes before a row are 1."""
-    x = _BYTE[b]
-    out = np.zeros(len(x), U64)
-    cuts = bounds[:-1][bounds[1:] > bounds[:-1]]
-    for back in range(ORDER - 1, -1, -1):
-        y = np.ones(len(x), np.uint8)
-        y[back:] = x[: len(x) - back]
-        for k in range(back):  # a row shorter than this also marks bytes of the next, which are marked anyhow
-            at = cuts + k
-            y[at[at < len(x)]] = 1
-        out = (out << U64(8)) | y.astype(U64)
-    return out
+
+_MODEL, _SLOTS, _COUNTS = 0, 1, 2  # kinds of rows that counting gives
+_PAIRS, _TEXTS = 1, 2  # and that scoring sends besides
+_ROWS = "kind int, bucket int, base long, blob binary"
+
+
+def half_bits(words: float) -> int:
+    """How many leading bits of either word of a pair name the bucket, so that no word, however frequent, has one to itself."""
+    return min(10, max(2, (max(1, int(words)) // IN_BUCKET).bit_length() // 2 + 1))
+
+
+def _rows(kind, bucket, base, blob) -> pa.RecordBatch:
+    return T.rows(kind=pa.array(kind, pa.int32()), bucket=pa.array(bucket, pa.int32()), base=pa.array(base, pa.int64()), blob=pa.array(blob, pa.binary()))
+
+
+def _pairs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of each word and of the one before it, for rows whose words begin at first."""
+    w = (hashes >> U64(64 - SLOTS)).astype(np.int64)
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[first[:-1][first[:-1] < first[1:]]] = START
+    return v, w
+
+
+def _sort_key(v: np.ndarray, w: np.ndarray, half: int) -> np.ndarray:
+    """Pairs sort by bucket, then by word and the word before."""
+    bucket = (w >> (SLOTS - half)) << half | v >> (SLOTS - half)
+    return (bucket << (2 * SLOTS) | w << SLOTS | v).astype(U64)
 
 
-def _count(batches):
-    """(lang, gram, n) of each batch, summed before the shuffle."""
-    held: dict[int, list] = {}
+def _by_bucket(key: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of sorted keys and other columns."""
+    bucket = (key >> U64(2 * SLOTS)).astype(np.int64)
+    pair = key & U64((1 << 2 * SLOTS) - 1)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=True):
+        yield int(bucket[a]), pack(pair[a:b], *(c[a:b] for c in columns))
 
-    def out():
-        for lang, parts in held.items():
-            g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
-            yield T.rows(lang=np.full(len(g), lang), gram=g.astype(np.int64), n=n)
-        held.clear()
 
-    size = 0
+def _counted(half: int):
+    """Each task's pairs with their counts and numbers of documents."""
+
+    def out(keys, docs):
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        other = np.ones(len(key), np.int64)
+        other[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        some = list(_by_bucket(key[cut], np.diff(np.append(cut, len(key))), np.add.reduceat(other, cut)))
+        return _rows([_MODEL] * len(some), [b for b, _ in some], [0] * len(some), [x for _, x in some])
+
+    def f(batches):
+        keys, docs, size, n = [], [], 0, 0
+        for batch in batches:
+            data, off = T.buffers(batch.column("text"))
+            for i, j in T.groups(off):
+                w = T.words(data, off, i, j)
+                if len(w.hashes):
+                    keys.append(_sort_key(*_pairs(w.hashes, w.first), half))
+                    docs.append(np.repeat(np.arange(n, n + j - i), np.diff(w.first)))
+                    size += len(w.hashes)
+                n += j - i
+                if size > HELD:  # between texts, so that a text is counted once
+                    yield out(keys, docs)
+                    keys, docs, size = [], [], 0
+        if keys:
+            yield out(keys, docs)
+
+    return f
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(bucket, its rows) of rows sorted by bucket."""
+    last, held = None, []
     for batch in batches:
-        data, off = T.buffers(batch.column("text"))
-        lang = batch.column("lang").to_numpy()
-        for i, j in T.groups(off, 1 << 20):
-            if off[j] == off[i]:
-                continue
-            g = _grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            of = np.repeat(lang[i:j], np.diff(off[i : j + 1]))
-            for v in np.unique(lang[i:j]).tolist():
-                u, n = np.unique(g[of == v], return_counts=True)
-                held.setdefault(v, []).append((u, n))
-                size += len(u)
-            if size > 4_000_000:
-                yield from out()
-                size = 0
-    yield from out()
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """The modified Kneser-Ney discounts for the counts 1, 2 and 3 or more."""
-    n = counts.agg(*[F.sum(F.when(F.col("n") == i, 1).otherwise(0)) for i in (1, 2, 3, 4)]).first()
-    n = [0, *(x or 0 for x in n)]
+        for kind, bucket, base, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "base", "blob")), strict=True):
+            if bucket != last:
+                if held:
+                    yield last, held
+                last, held = bucket, []
+            held.append((kind, base, blob))
+    if held:
+        yield last, held
+
+
+def _merged(batches):
+    """The model's array of each bucket, and, at a task's end, sums by slot and counts of counts.
+
+    By word: its different predecessors.  By the word before: all its pairs, those kept, and how many
+    of these have the count 2, and 3 or more.
+    """
+    n = 1 << SLOTS
+    before, total, kept = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    two, more, counts = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(4, np.int64)
+    mask = U64(n - 1)
+    for bucket, held in _buckets(batches):
+        key, c, d = (np.concatenate(x) for x in zip(*(unpack(blob) for _, _, blob in held), strict=True))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, c, d = key[cut], np.add.reduceat(c[order], cut).astype(np.int64), np.add.reduceat(d[order], cut)
+        w, v = (key >> U64(SLOTS)).astype(np.int64), (key & mask).astype(np.int64)
+        np.add.at(before, w, 1)
+        np.add.at(total, v, c)
+        counts += np.bincount(np.minimum(c, 5), minlength=6)[1:5]
+        stay = d > 1
+        if stay.any():
+            key, c, v = key[stay], c[stay], v[stay]
+            np.add.at(kept, v, c)
+            np.add.at(two, v[c == 2], 1)
+            np.add.at(more, v[c > 2], 1)
+            yield _rows([_MODEL], [bucket], [len(key)], [pack(key, c)])
+    if counts.any():
+        yield _rows([_COUNTS], [0], [0], [counts.tobytes()])
+        for part, some in enumerate(np.split(np.arange(n), PARTS)):
+            some = some[(before[some] > 0) | (total[some] > 0)]
+            if len(some):
+                yield _rows([_SLOTS], [part], [0], [pack(some, before[some], total[some], kept[some], two[some], more[some])])
+
+
+def _added(batches):
+    """Dense sums of the slots of a part."""
+    for part, held in _buckets(batches):
+        size = (1 << SLOTS) // PARTS
+        out = np.zeros((5, size), np.int64)
+        for _, _, blob in held:
+            slot, *columns = unpack(blob)
+            slot = (slot - U64(part * size)).astype(np.int64)
+            for x, y in zip(out, columns, strict=True):
+                x[slot] += y.astype(np.int64)
+        yield _rows([_SLOTS], [part], [0], [squeeze(out.tobytes())])
+
+
+def discounts(n: np.ndarray) -> list[float]:
+    """The modified Kneser-Ney discounts for the counts 1, 2 and 3 or more, from how many have the counts 1 to 4."""
+    n = [0, *(int(x) for x in n)]
     if not n[1] or not n[2]:
         return [0.5, 1.0, 1.5]
     y = n[1] / (n[1] + 2 * n[2])
     return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.0), float(i)) if n[i] else i / 2 for i in (1, 2, 3)]
 
 
-def kneser_ney(scratch: Scratch, docs: DataFrame) -> list[DataFrame]:
-    """Tables (lang, gram, p, backoff) of the orders 1 to ORDER, from docs (text, lang).
+@dataclass
+class Lower:
+    """What every task has: the words' log-probabilities, the weights that contexts leave them, the contexts' totals, the pairs' discounts, a bitmap of the pairs kept, and the frequent ones."""
+
+    log_p: np.ndarray
+    log_left: np.ndarray
+    total: np.ndarray
+    d: list[float]
+    bitmap: np.ndarray
+    frequent: tuple[np.ndarray, np.ndarray]
+
+    def find(self, key: np.ndarray, array: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs a sorted array of hashes has, and what their own log-probabilities add to those of the lower order."""
+        have, count = array
+        if not len(have):
+            return np.zeros(len(key), bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(have, key), len(have) - 1)
+        there = have[at] == key
+        key, c = key[there], count[at[there]].astype(np.int64)
+        v, w = (key & U64((1 << SLOTS) - 1)).astype(np.int64), (key >> U64(SLOTS)).astype(np.int64)
+        low = self.log_left[v].astype(np.float64) + self.log_p[w]
+        cut = np.array([0.0, *self.d])[np.minimum(c, 3)]
+        return there, np.log((c - cut) / self.total[v] + np.exp(low)) - low
+
+
+def lower_order(slots: np.ndarray, counts: np.ndarray, bitmap: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> Lower:
+    """From the five sums by slot, and how many pairs have the counts 1 to 4."""
+    before, total, kept, two, more = slots
+    d = discounts(counts)
+    d1 = np.array([0.0, *discounts(np.bincount(np.minimum(before, 5), minlength=6)[1:5])])
+    cut = d1[np.minimum(before, 3)]
+    every = max(1, int(before.sum()))
+    p = (before - cut) / every + max(cut.sum(), 1e-9) / every / len(before)
+    left = 1 - (kept - d[1] * two - d[2] * more) / np.maximum(total, 1)
+    return Lower(np.log(p).astype(np.float32), np.log(np.clip(left, 1e-9, 1)).astype(np.float32), total.astype(np.float64), d, bitmap, frequent)
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Hashes of the model's pairs, by which a bitmap knows them."""
+    for batch in batches:
+        for blob in batch.column("blob"):
+            yield T.mix(unpack(blob.as_py())[0])
 
-    backoff is the weight that the gram, as a context, leaves to shorter contexts.
-    """
-    counted = docs.mapInArrow(_count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = {ORDER: scratch.table(counted, "grams")}
-    for m in range(ORDER - 1, 0, -1):
-        shorter = counts[m + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        counts[m] = scratch.table(shorter, f"grams{m}")
-    models: list[DataFrame] = []
-    for m in range(1, ORDER + 1):
-        d = _discounts(counts[m])
-        cut = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        t = counts[m].withColumn("context", F.shiftright("gram", 8))
-        contexts = t.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(cut).alias("left"))
-        if m == 1:  # every byte has a probability, so that those of a context add up to 1
-            t = contexts.withColumn("gram", F.explode(F.sequence(F.lit(0), F.lit(255)).cast("array<long>"))).join(counts[1], ["lang", "gram"], "left").fillna(0, ["n"])
-        else:
-            t = t.join(contexts, ["lang", "context"])
-        own, weight = (F.col("n") - cut) / F.col("total"), F.col("left") / F.col("total")
-        if m == 1:
-            p = t.select("lang", "gram", (own + weight / 256).alias("p"))
-        else:
-            low = models[-1].select("lang", F.col("gram").alias("short"), F.col("p").alias("q"))
-            t = t.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1)))
-            p = t.join(low, ["lang", "short"]).select("lang", "gram", (own + weight * F.col("q")).alias("p"))
-            backoff = contexts.select("lang", F.col("context").alias("gram"), (F.col("left") / F.col("total")).alias("backoff"))
-            models[-1] = scratch.table(models[-1].join(backoff, ["lang", "gram"], "full"), f"model{m - 1}")
-        models.append(p)
-    models[-1] = scratch.table(models[-1].withColumn("backoff", F.lit(1.0)), f"model{ORDER}")
-    return models
-
-
-class HashArrays:
-    """One order's n-grams: sorted hashes with log p and log backoff, entered through their leading bits."""
-
-    def __init__(self, table: pa.Table):
-        key = _key(table["lang"].to_numpy(), table["gram"].to_numpy().astype(U64))
-        order = np.argsort(key)
-        self.key = np.append(key[order], U64(T.MASK))
-        p = table["p"].to_numpy(zero_copy_only=False).astype(np.float64)[order]  # none for the contexts that only begin a text
-        self.p = np.append(np.log(p), np.nan).astype(np.float32)
-        backoff = table["backoff"].to_numpy(zero_copy_only=False).astype(np.float64)[order]
-        self.backoff = np.append(np.log(np.where(np.isnan(backoff), 1, np.maximum(backoff, 1e-9))), 0).astype(np.float32)
-        self.shift = U64(64 - max(4, int(len(key)).bit_length() + 1))
-        starts = np.arange(1 << int(64 - int(self.shift)), dtype=U64) << self.shift
-        self.first = np.searchsorted(self.key[:-1], starts).astype(np.int32)
-        self.steps = int(np.diff(np.append(self.first, len(key))).max(initial=0))
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each key, and whether it is there."""
-        at = self.first[(key >> self.shift).astype(np.int64)].astype(np.int64)
-        for _ in range(self.steps):
-            low = self.key[at] < key
-            if not low.any():
-                break
-            at += low
-        return at, self.key[at] == key
-
-
-def _key(lang, gram: np.ndarray) -> np.ndarray:
-    return T.mix(gram * U64(0x9E3779B97F4A7C15) + np.asarray(lang).astype(np.int64).view(U64)) >> U64(1)
-
-
-def _log_p(orders: list[HashArrays], lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(gram))
-    left = np.arange(len(gram))
-    for m in range(ORDER, 0, -1):
-        part = gram[left] & U64((1 << 8 * m) - 1)
-        at, there = orders[m - 1].find(_key(lang[left], part))
-        there &= ~np.isnan(orders[m - 1].p[at])
-        out[left[there]] += orders[m - 1].p[at[there]]
-        left, part = left[~there], part[~there]
-        if not len(left):
-            return out
-        if m > 1:
-            at, known = orders[m - 2].find(_key(lang[left], part >> U64(8)))
-            out[left[known]] += orders[m - 2].backoff[at[known]]
-    out[left] += math.log(1 / 256)
-    return out
+
+def _frequent(least: float):
+    def f(batches):
+        for batch in batches:
+            for blob in batch.column("blob"):
+                key, c = unpack(blob.as_py())
+                often = c >= least
+                if often.any():
+                    yield T.rows(pair=key[often].astype(np.int64), c=c[often].astype(np.int64))
+
+    return f
 
 
-def base_counts(data: np.ndarray, off: np.ndarray, i: int, j: int) -> dict[str, np.ndarray]:
+def kneser_ney(scratch: Scratch, docs: DataFrame, half: int) -> tuple[DataFrame, Lower]:
+    """The model's sorted arrays, rows (kind, bucket, base, blob) of a pair's hash and count, and the lower order."""
+    counted = docs.select("text").mapInArrow(_counted(half), _ROWS)
+    merged = scratch.table(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged, _ROWS), "model")
+    added = merged.where(F.col("kind") == _SLOTS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_added, _ROWS)
+    slots = np.zeros((5, 1 << SLOTS), np.int64)
+    size = (1 << SLOTS) // PARTS
+    for r in added.select("bucket", "blob").collect():
+        slots[:, r["bucket"] * size : (r["bucket"] + 1) * size] = np.frombuffer(unsqueeze(r["blob"]), np.int64).reshape(5, size)
+    counts = np.zeros(4, np.int64)
+    for r in merged.where(F.col("kind") == _COUNTS).groupBy("blob").count().collect():
+        counts += np.frombuffer(r["blob"], np.int64) * r["count"]
+    model = merged.where(F.col("kind") == _MODEL)
+    n = model.agg(F.sum("base")).first()[0] or 0
+    bitmap = bitmap_of(model.select("blob"), _kept, n)
+    often = model.select("blob").mapInArrow(_frequent(max(2, slots[1].sum() / FREQUENT)), "pair long, c long").orderBy("pair").toArrow()
+    return model, lower_order(slots, counts, bitmap, (often["pair"].to_numpy().astype(U64), often["c"].to_numpy().astype(U64)))
+
+
+def base_counts(data: np.ndarray, off: np.ndarray, i: int, j: int, w: T.Words) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the rows i..j."""
     n = j - i
     out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
@@ -181,7 +272,6 @@ def base_counts(data: np.ndarray, off: np.ndarray, i: int, j: int) -> dict[str,
     bounds = off[i : j + 1] - lo
     out["word_chars"] = np.diff(np.append(0, np.cumsum(T.WORD_BYTES[b] & ((b & 0xC0) != 0x80)))[bounds])
     out["n_symbols"] = np.diff(np.append(0, np.cumsum(_SYMBOL[b]))[bounds])
-    w = T.words(data, off, i, j)
     out["n_words"] = np.diff(w.first)
     for r in range(n):
         text = b[bounds[r] : bounds[r + 1]].tobytes()
@@ -200,84 +290,120 @@ def base_counts(data: np.ndarray, off: np.ndarray, i: int, j: int) -> dict[str,
     return out
 
 
-_STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _stats(shared):
-    """Base counts of each row, and, with a model, the sum of its log-probabilities."""
+def _scored(shared, half: int):
+    """Base counts of each text with the sum of its words' log-probabilities by the lower order, and the pairs that the model may have."""
+
+    def out(keys, rows):
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        order = np.argsort(key, kind="stable")
+        some = list(_by_bucket(key[order], row[order]))
+        return _rows([_PAIRS] * len(some), [b for b, _ in some], [TaskContext.get().partitionId() << 32] * len(some), [x for _, x in some])
 
     def f(batches):
+        lower, part = shared.value, TaskContext.get().partitionId()
+        keys, rows, size, n, turn = [], [], 0, 0, part
         for batch in batches:
             data, off = T.buffers(batch.column("text"))
+            ids = batch.column("doc_id")
+            known, ids = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
             lang = batch.column("lang").to_numpy()
             for i, j in T.groups(off):
-                counts = base_counts(data, off, i, j)
-                size = np.diff(off[i : j + 1])
+                w = T.words(data, off, i, j)
+                counts = base_counts(data, off, i, j, w)
                 sums = np.zeros(j - i)
-                if shared is not None and off[j] > off[i]:
-                    g = _grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                    lp = np.append(0, np.cumsum(_log_p(shared.value, np.repeat(lang[i:j], size), g)))
-                    sums = np.diff(lp[off[i : j + 1] - off[i]])
-                yield T.rows(doc_id=batch.column("doc_id").slice(i, j - i), row=batch.column("row").slice(i, j - i), lang=lang[i:j], **counts, n_bytes=size, log_p=sums)
+                if len(w.hashes):
+                    before, word = _pairs(w.hashes, w.first)
+                    lp = np.append(0, np.cumsum(lower.log_left[before].astype(np.float64) + lower.log_p[word]))
+                    sums = np.diff(lp[w.first])
+                    key, row = _sort_key(before, word, half), np.repeat(np.arange(j - i), np.diff(w.first))
+                    pair = key & U64((1 << 2 * SLOTS) - 1)
+                    there, more = lower.find(pair, lower.frequent)
+                    sums += np.bincount(row[there], more, j - i)
+                    maybe = ~there & maybe_in(lower.bitmap, T.mix(pair))
+                    keys.append(key[maybe])
+                    rows.append(row[maybe] + n)
+                    size += len(keys[-1])
+                table = np.stack([known[i:j], ids[i:j], lang[i:j], *(counts[c] for c in _COUNTED), sums.view(np.int64)], 1)
+                yield _rows([_TEXTS], [turn % (1 << 2 * half)], [(part << 32) + n], [squeeze(table.astype(np.int64).tobytes())])
+                turn += 1
+                n += j - i
+                if size > HELD:
+                    yield out(keys, rows)
+                    keys, rows, size = [], [], 0
+        if size:
+            yield out(keys, rows)
 
     return f
 
 
-def _doc_grams(batches):
-    for batch in batches:
-        data, off = T.buffers(batch.column("text"))
-        row, lang = batch.column("row").to_numpy(), batch.column("lang").to_numpy()
-        for r in range(len(batch)):
-            if off[r + 1] > off[r]:
-                u, n = np.unique(_grams(data[off[r] : off[r + 1]], np.array([0, off[r + 1] - off[r]])), return_counts=True)
-                yield T.rows(row=np.full(len(u), row[r]), lang=np.full(len(u), lang[r]), gram=u.astype(np.int64), n=n)
-
-
-def _joined_log_p(scratch: Scratch, docs: DataFrame, models: list[DataFrame]) -> DataFrame:
-    """(row, log_p) by joins, for a model that is too large to send."""
-    counts = scratch.table(docs.mapInArrow(_doc_grams, "row long, lang long, gram long, n long"), "doc-grams")
-    g = counts.select("lang", "gram").distinct()
-    value = F.lit(1 / 256)
-    for m in range(1, ORDER + 1):
-        part = F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1))
-        own = models[m - 1].select(F.col("lang").alias("l"), F.col("gram").alias("k"), F.col("p").alias(f"p{m}"))
-        g = g.join(own, (F.col("lang") == F.col("l")) & (part == F.col("k")), "left").drop("l", "k")
-        if m > 1:
-            context = models[m - 2].select(F.col("lang").alias("l"), F.col("gram").alias("k"), F.col("backoff").alias(f"b{m}"))
-            g = g.join(context, (F.col("lang") == F.col("l")) & (F.shiftright(part, 8) == F.col("k")), "left").drop("l", "k")
-            value = value * F.coalesce(f"b{m}", F.lit(1.0))
-        value = F.coalesce(F.col(f"p{m}"), value)
-    g = g.select("lang", "gram", F.log(value).alias("lp"))
-    return counts.join(g, ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("n") * F.col("lp")).alias("log_p"))
-
-
-def quality_rules(docs: DataFrame, model_rows: int = MODEL_ROWS, spreads: float = SPREADS) -> DataFrame:
+_SCORED = f"row long, doc_id long, lang long, {', '.join(f'{c} long' for c in _COUNTED)}, log_p double"
+
+
+def _searched(shared):
+    """What the pairs of a bucket that its array has add to the sums of their texts (rows with log_p only), and the texts."""
+
+    def added(rows, more):
+        row, at = np.unique(np.concatenate(rows), return_inverse=True)
+        nothing = {c: pa.nulls(len(row), pa.int64()) for c in ("doc_id", "lang", *_COUNTED)}
+        return T.rows(row=row, **nothing, log_p=np.bincount(at, np.concatenate(more)))
+
+    def f(batches):
+        lower = shared.value
+        rows, sums, size = [], [], 0
+        for _, held in _buckets(batches):
+            keys = [unpack(blob) for kind, _, blob in held if kind == _MODEL]
+            for kind, base, blob in held:
+                if kind == _TEXTS:
+                    t = np.frombuffer(unsqueeze(blob), np.int64).reshape(-1, 3 + len(_COUNTED) + 1).T.copy()
+                    doc = pa.array(t[1], mask=t[0] == 0)
+                    yield T.rows(row=base + np.arange(t.shape[1]), doc_id=doc, lang=t[2], **{c: t[3 + k] for k, c in enumerate(_COUNTED)}, log_p=t[-1].view(np.float64))
+                elif kind == _PAIRS and keys:
+                    key, row = unpack(blob)
+                    there, more = lower.find(key, keys[0])
+                    rows.append(base + row[there].astype(np.int64))
+                    sums.append(more)
+                    size += len(more)
+            if size > HELD:
+                yield added(rows, sums)
+                rows, sums, size = [], [], 0
+        if size:
+            yield added(rows, sums)
+
+    return f
+
+
+def quality_rules(docs: DataFrame, spreads: float = SPREADS) -> DataFrame:
     """Base counts, perplexity and verdict for each row of docs (doc_id, text, lang, ...).
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
-    (n_words < 50, or 100 * n_repeat_words > 50 * n_words), perplexity (a byte; null for an empty
-    text), low, high (the language's band) and kept.  A band reaches ``spreads`` interquartile ranges
-    of log-perplexity beyond the quartiles of the documents that pass the base rules; languages with
+    (n_words < 50, or 100 * n_repeat_words > 50 * n_words), kept, perplexity (of a word; null without
+    words), low and high (the language's band).  A band reaches ``spreads`` interquartile ranges of
+    log-perplexity beyond the quartiles of the documents that pass the base rules; languages with
     fewer than SMALL such documents have none and reject nothing.  A null language is one of its own.
-    A null text is empty.  Repeated rows and rows without doc_id are treated like others.
+    A null text is empty.  Repeated rows are documents of their own, as are rows without doc_id.
+    Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality-rules")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("lang", F.lit("\x00"))).alias("lang"))
-    models = kneser_ney(scratch, docs.select("text", "lang"))
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    schema = f"doc_id long, row long, lang long, {_STATS}, n_bytes long, log_p double"
-    if sum(m.count() for m in models) <= model_rows:
-        shared = spark.sparkContext.broadcast([HashArrays(m.toArrow()) for m in models])
-        stats = scratch.table(numbered.mapInArrow(_stats(shared), schema), "stats")
-    else:
-        stats = numbered.mapInArrow(_stats(None), schema).drop("log_p").join(_joined_log_p(scratch, numbered, models), "row", "left")
-        stats = scratch.table(stats, "stats")
+    half = half_bits((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6)
+    model, lower = kneser_ney(scratch, docs, half)
+    shared = spark.sparkContext.broadcast(lower)
+    sent = docs.mapInArrow(_scored(shared, half), _ROWS).unionByName(model)
+    scored = scratch.table(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_searched(shared), _SCORED), "scored")
+    more = scored.where("n_words is null").groupBy("row").agg(F.sum("log_p").alias("more"))
+    stats = scored.where("n_words is not null").join(more, "row", "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed).withColumn("nats", F.when(F.col("n_bytes") > 0, -F.col("log_p") / F.col("n_bytes")))
+    nats = F.when(F.col("n_words") > 0, -(F.col("log_p") + F.coalesce("more", F.lit(0.0))) / F.col("n_words"))
+    stats = scratch.table(stats.withColumn("base_failed", failed).withColumn("nats", nats).drop("row", "log_p", "more"), "stats")
     bands = stats.where("not base_failed").groupBy("lang").agg(F.percentile_approx("nats", [0.25, 0.75], 10_000).alias("q"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= SMALL)
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD)) * spreads
-    bands = bands.select("lang", F.exp(F.col("q")[0] - spread).alias("low"), F.exp(F.col("q")[1] + spread).alias("high"))
+    bands = scratch.table(bands.select("lang", F.exp(F.col("q")[0] - spread).alias("low"), F.exp(F.col("q")[1] + spread).alias("high")), "bands")
+    if bands.count() <= MOST_LANGUAGES:
+        bands = F.broadcast(bands)
     out = stats.join(bands, "lang", "left").withColumn("perplexity", F.exp("nats"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "perplexity", "low", "high")
+    return out.select("doc_id", *_COUNTED, "base_failed", kept.alias("kept"), "perplexity", "low", "high")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import squeeze, unsqueeze
+
 MOST_BITS = 28  # of a filter: 32 MB
-WORDS = 1024  # of a filter, that one row holds
+PART = 1024  # words of a filter that one row holds
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,53 +61,60 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def _or_words(batches):
-    """Bitmaps of WORDS words, from rows (part, at, mask) that come sorted by part."""
+def _set_bits(bits: int, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]):
+    """The parts of a task's bitmap in which a bit is set."""
+
+    def f(batches):
+        out = np.zeros(max(PART, 1 << bits - 5), np.uint32)
+        for some in keys(batches):
+            bit = some.astype(np.int64) & ((1 << bits) - 1)
+            np.bitwise_or.at(out, bit >> 5, np.uint32(1) << (bit & 31).astype(np.uint32))
+        out = out.reshape(-1, PART)
+        for part in np.flatnonzero(out.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeeze(out[part].tobytes())], pa.binary())], names=["part", "words"])
+
+    return f
+
+
+def _or_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of all tasks as one each; rows come sorted by part."""
     part = words = None
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([words.tobytes()], pa.binary())], names=["part", "words"])
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeeze(words.tobytes())], pa.binary())], names=["part", "words"])
 
     for batch in batches:
-        p, at, mask = (batch.column(c).to_numpy() for c in ("part", "at", "mask"))
-        for cut in np.split(np.arange(len(p)), np.flatnonzero(np.diff(p)) + 1):
-            if len(cut):
-                if p[cut[0]] != part:
-                    if words is not None:
-                        yield out()
-                    part, words = int(p[cut[0]]), np.zeros(WORDS, np.uint32)
-                words[at[cut]] |= mask[cut].astype(np.uint32)
+        for p, blob in zip(batch.column("part").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            if p != part:
+                if words is not None:
+                    yield out()
+                part, words = p, np.zeros(PART, np.uint32)
+            words |= np.frombuffer(unsqueeze(blob), np.uint32)
     if words is not None:
         yield out()
 
 
-def membership(keys: DataFrame, column: str, n: int | None = None) -> np.ndarray:
-    """A bitmap with a bit set for each of the n keys: no key is missed, and few others pass.
+def bitmap_of(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], n: int) -> np.ndarray:
+    """A bitmap with a bit set for each of the n keys that keys() finds in the rows: no key is missed, and few others pass.
 
-    It has 16 bits a key, rounded up, but never more than 2**MOST_BITS (32 MB), so that it may be sent to every task; beyond
-    some 16 million keys ever more others pass, and beyond 10**9 nearly all.  An exact join has to
-    follow, so that results don't depend on it.
+    It has 16 bits a key, rounded up, but never more than 2**MOST_BITS (32 MB), so that it may be sent
+    to every task; beyond some 16 million keys ever more others pass, and beyond 10**9 nearly all.  An
+    exact join has to follow, so that results don't depend on it.
     """
-    n = keys.count() if n is None else n
     bits = min(MOST_BITS, max(15, int(n).bit_length() + 4))
-    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    word = F.shiftright(bit, 5)
-    found = (
-        keys.select(word.alias("word"), F.expr(f"shiftleft(1L, cast({column} & 31 as int))").alias("mask"))
-        .groupBy("word")
-        .agg(F.bit_or("mask").alias("mask"))
-        .select(F.floor(F.col("word") / WORDS).cast("int").alias("part"), (F.col("word") % WORDS).cast("int").alias("at"), "mask")
-        .repartition("part")
-        .sortWithinPartitions("part")
-        .mapInArrow(_or_words, "part int, words binary")
-        .collect()
-    )
-    out = np.zeros((max(1, (1 << bits - 5) // WORDS), WORDS), np.uint32)
-    for r in found:
-        out[r["part"]] = np.frombuffer(r["words"], np.uint32)
+    found = rows.mapInArrow(_set_bits(bits, keys), "part int, words binary").repartition("part").sortWithinPartitions("part").mapInArrow(_or_parts, "part int, words binary")
+    out = np.zeros((max(1, (1 << bits - 5) // PART), PART), np.uint32)
+    for r in found.collect():
+        out[r["part"]] = np.frombuffer(unsqueeze(r["words"]), np.uint32)
     return out.ravel()
 
 
+def membership(keys: DataFrame, column: str) -> np.ndarray:
+    """bitmap_of() a column of longs whose lowest bits are as good as random, or that few rows share."""
+    keys = keys.select(F.col(column).alias("key"))
+    return bitmap_of(keys, lambda batches: (batch.column("key").to_numpy() for batch in batches), keys.count())
+
+
 def maybe_in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     bit = keys.astype(np.int64) & (len(bitmap) * 32 - 1)
     return (bitmap[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1

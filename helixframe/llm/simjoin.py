@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import pack, squeeze, unpack, unsqueeze
 from .shared import Scratch, connected_components
 from .text import rows
 
@@ -32,7 +33,6 @@ REFINEMENTS = 3
 
 PACKED = "kind int, bucket int, base long, blob binary"
 _ENTRIES, _LINKS, _NAMES = 0, 1, 2
-_ZSTD = pa.Codec("zstd", 1)
 
 
 @dataclass(frozen=True)
@@ -52,40 +52,6 @@ def layout(n: float) -> Layout:
     return Layout(min(20, max(4, size - 17)), min(63, max(44, size + 20)))
 
 
-def squeeze(data: bytes) -> bytes:
-    return len(data).to_bytes(4, "little") + _ZSTD.compress(data, asbytes=True)
-
-
-def unsqueeze(blob: bytes) -> bytes:
-    size = int.from_bytes(blob[:4], "little")
-    return _ZSTD.decompress(blob[4:], size, asbytes=True) if size else b""
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers by byte, the lowest bytes first, without the bytes that all have as 0."""
-    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :width].T.tobytes()
-
-
-def _numbers(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    width = data[at]
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n).T
-    return out.reshape(-1).view("<u8"), at + 1 + n * width
-
-
-def _pack(x: np.ndarray, y: np.ndarray) -> bytes:
-    """Two columns of numbers, the first ascending."""
-    return squeeze(len(x).to_bytes(4, "little") + _planes(np.diff(x, prepend=x[:1] * 0)) + _planes(y))
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = unsqueeze(blob)
-    n = int.from_bytes(data[:4], "little")
-    x, at = _numbers(data, 4, n)
-    return np.cumsum(x, dtype=U64), _numbers(data, at, n)[0]
-
-
 def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layout) -> Iterator[pa.RecordBatch]:
     """PACKED rows from (signatures, nodes, names) in turn.
 
@@ -119,13 +85,13 @@ def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layo
             link = link[(link >> U64(32)) != (link & U64(0xFFFFFFFF))]
             for at in range(0, len(link), 500_000):
                 some = link[at : at + 500_000]
-                add(_LINKS, spread % (1 << how.bits), base, _pack(some >> U64(32), some & U64(0xFFFFFFFF)))
+                add(_LINKS, spread % (1 << how.bits), base, pack(some >> U64(32), some & U64(0xFFFFFFFF)))
                 spread += 1
             s, x = s[new], x[new]
         bucket = (s >> U64(how.width - how.bits)).astype(np.int64)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True):
-            add(_ENTRIES, int(bucket[a]), base, _pack(s[a:b], x[a:b]))
+            add(_ENTRIES, int(bucket[a]), base, pack(s[a:b], x[a:b]))
         for at in range(0, len(names), 500_000):
             add(_NAMES, spread % (1 << how.bits), base + 2 * (n_sets + at), squeeze(names[at : at + 500_000].tobytes()))
             spread += 1
@@ -175,7 +141,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names = np.frombuffer(unsqueeze(blob), np.int64).reshape(-1, 2)
                 yield table(_NAMES, base + 2 * np.arange(len(names)), names[:, 0], names[:, 1])
                 continue
-            a, b = _unpack(blob)
+            a, b = unpack(blob)
             if kind == _ENTRIES:
                 s.append(a)
                 x.append(b.astype(np.int64) + base)

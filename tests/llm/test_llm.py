@@ -261,32 +261,82 @@ def test_splitting_tree_is_exact_and_hypergeometric(spark):
     assert abs(first.mean() - 500) < 10 and 4 < first.std() < 30
 
 
-def test_quality_rules(spark, corpus):
-    for rows in (quality_rules.MODEL_ROWS, 0):  # arrays, and joins
-        out = {r["doc_id"]: r for r in quality_rules.quality_rules(docs_of(spark, corpus), model_rows=rows).collect()}
-        for i, t in enumerate(corpus):
-            w = WORD.findall(t or "")
-            lines = [x for x in (t or "").split("\n") if WORD.search(x)]
-            n = collections.Counter(tuple(w[p : p + 3]) for p in range(len(w) - 2))
-            over = {p + x for p in range(len(w) - 2) if n[tuple(w[p : p + 3])] > 1 for x in range(3)}
-            r = out[i]
-            assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(over))
-            assert r["base_failed"] == (len(w) < 50 or 100 * len(over) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
-        kept = {i: round(r["perplexity"], 4) if r["perplexity"] is not None else None for i, r in out.items()}
-        if rows:
-            first = kept
-    assert first == kept
+def kneser_ney_by_hand(texts):
+    """log p(word | word before) as a function, from plain counts of words."""
+    pairs, documents = collections.Counter(), collections.Counter()
+    for t in texts:
+        w = ["<s>", *WORD.findall(t or "")]
+        mine = collections.Counter(zip(w, w[1:], strict=False))
+        pairs += mine
+        documents.update(mine.keys())
+
+    def three(counts):
+        n = collections.Counter(counts)
+        y = n[1] / (n[1] + 2 * n[2])
+        return [0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) if n[i] else i / 2 for i in (1, 2, 3)]
+
+    before = collections.Counter(w for _, w in pairs)
+    total = collections.Counter()
+    for (v, _), c in pairs.items():
+        total[v] += c
+    d, d1 = three(pairs.values()), three(before.values())
+    rest = sum(d1[min(c, 3)] for c in before.values()) / len(pairs)
+    low = lambda w: (before[w] - d1[min(before[w], 3)]) / len(pairs) + rest / (1 << quality_rules.SLOTS)
+    kept = {x: c - d[min(c, 3)] for x, c in pairs.items() if documents[x] > 1}
+    mass = collections.Counter()
+    for (v, _), c in kept.items():
+        mass[v] += c
+    return lambda v, w: np.log(kept.get((v, w), 0) / total[v] + (1 - mass[v] / total[v]) * low(w))
+
+
+@pytest.mark.parametrize(("frequent", "held"), [(1 << 16, 2_000_000), (20, 300)])
+def test_quality_rules(spark, corpus, monkeypatch, frequent, held):
+    monkeypatch.setattr(quality_rules, "FREQUENT", frequent)
+    monkeypatch.setattr(quality_rules, "HELD", held)
+    ids = [None if i == 3 else i for i in range(len(corpus))]
+    rows = quality_rules.quality_rules(docs_of(spark, corpus, ids)).collect()
+    out = {3 if r["doc_id"] is None else r["doc_id"]: r for r in rows}
+    assert len(rows) == len(out) == len(corpus)
+    log_p = kneser_ney_by_hand(corpus)
+    for i, t in enumerate(corpus):
+        w = WORD.findall(t or "")
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        n = collections.Counter(tuple(w[p : p + 3]) for p in range(len(w) - 2))
+        over = {p + x for p in range(len(w) - 2) if n[tuple(w[p : p + 3])] > 1 for x in range(3)}
+        r = out[i]
+        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(over))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(over) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
+        want = np.exp(-np.mean([log_p(a, b) for a, b in zip(["<s>", *w], w, strict=False)])) if w else None
+        assert r["perplexity"] is None if want is None else abs(r["perplexity"] / want - 1) < 1e-4
     assert quality_rules.quality_rules(docs_of(spark, [])).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark, corpus):
+def test_bands_reject_what_no_text_is_like(spark):
+    """Texts of one language, one of words that no other has, and one that repeats what all have."""
+    rng = random.Random(15)
+    common = [" ".join(f"w{rng.randrange(60)}" for _ in range(6)) for _ in range(40)]
+    texts = [" ".join(rng.choice(common) for _ in range(rng.choice((12, 40)))) for _ in range(150)]
+    texts += [" ".join(f"q{rng.getrandbits(40):x}" for _ in range(80)), "  ".join(texts[0].split(" ") * 4)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    assert sum(rows[i]["kept"] == (not rows[i]["base_failed"]) for i in range(150)) >= 148
+    assert not rows[150]["base_failed"] and not rows[150]["kept"] and rows[150]["perplexity"] > rows[150]["high"]
+
+
+def test_the_model_grows_with_the_corpus(spark):
     from helixframe.llm.shared import Scratch
 
-    df = docs_of(spark, corpus).selectExpr("text", "1L AS lang")
-    orders = [quality_rules.HashArrays(m.toArrow()) for m in quality_rules.kneser_ney(Scratch(spark, "t"), df)]
-    for context in (b"\x01\x01\x01", b" w1", b"qqq"):
-        gram = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
-        assert abs(np.exp(quality_rules._log_p(orders, np.ones(256, np.int64), gram)).sum() - 1) < 1e-4
+    rng = random.Random(16)
+    texts = [prose(rng, 200, 3000) for _ in range(160)]
+    sizes = []
+    for n in (40, 160):
+        model, lower = quality_rules.kneser_ney(Scratch(spark, "t"), docs_of(spark, texts[:n] * 2), 2)
+        sizes.append(model.selectExpr("sum(base)").first()[0])
+        assert abs(np.exp(lower.log_p.astype(np.float64)).sum() - 1) < 1e-3
+        for blob in model.collect():
+            key, _ = quality_rules.unpack(blob["blob"])
+            assert (key[1:] > key[:-1]).all()
+    assert sizes[1] > 3.5 * sizes[0]
 
 
 def test_personal_data(spark):
