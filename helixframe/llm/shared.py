@@ -120,13 +120,48 @@ def maybe_in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, and the least node that each reaches."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, root = at[: len(a)], at[len(a) :], np.arange(len(node))
+    while True:
+        x, y = root[a], root[b]
+        open_ = x != y
+        if not open_.any():
+            return node, node[root]
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a task as stars around the least node, a million links at a time."""
+    held, size = [], 0
+
+    def out():
+        node, root = least_reached(np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held]))
+        other = node != root
+        return pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(root[other])], names=["a", "b"])
+
+    for batch in batches:
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        size += len(batch)
+        if size > 1_000_000:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
 def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the smallest node that can be reached.
 
-    Distributed union-find by alternating large-star and small-star steps.  Each step is two
-    aggregations and a join whose skewed keys Spark can split; no component meets in one task.
+    Distributed union-find by alternating large-star and small-star steps, until all links are stars.
+    Each step is two aggregations and a join whose skewed keys Spark can split; no component meets in
+    one task.  Before, each task makes stars of the links that it has, which leaves fewer.
     """
-    edges = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = scratch.table(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct(), "edges")
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
@@ -141,4 +176,8 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         old, edges = edges, scratch.table(small, "edges")
         scratch.drop(old)
+        # stars: no node has two links, none that others link to has one itself
+        more = edges.select("a").unionByName(edges.select(F.col("b").alias("a")).distinct()).groupBy("a").count().where("count > 1")
+        if not more.limit(1).count():
+            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +53,15 @@ def layout(n: float) -> Layout:
     return Layout(min(20, max(4, size - 17)), min(63, max(44, size + 20)))
 
 
-def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layout) -> Iterator[pa.RecordBatch]:
+def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layout, kinds_of_nodes: int = 2) -> Iterator[pa.RecordBatch]:
     """PACKED rows from (signatures, nodes, names) in turn.
 
     names has a pair of longs for each new set; the task's sets are numbered from 0 as they come, and
-    set i has the nodes 2 * i and 2 * i + 1.  Signatures that one task meets again leave it as links.
+    set i has the nodes 2 * i and 2 * i + 1, or as many as there are kinds.  Signatures that one task
+    meets again leave it as links.
     """
     part = TaskContext.get().partitionId()
-    base, spread, n_sets = part << 36, part, 0
+    base, spread, n_sets = part * ((1 << 36) // kinds_of_nodes * kinds_of_nodes), part, 0
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -93,7 +95,7 @@ def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layo
         for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True):
             add(_ENTRIES, int(bucket[a]), base, pack(s[a:b], x[a:b]))
         for at in range(0, len(names), 500_000):
-            add(_NAMES, spread % (1 << how.bits), base + 2 * (n_sets + at), squeeze(names[at : at + 500_000].tobytes()))
+            add(_NAMES, spread % (1 << how.bits), base + kinds_of_nodes * (n_sets + at), squeeze(names[at : at + 500_000].tobytes()))
             spread += 1
         n_sets += len(names)
         held.clear()
@@ -114,15 +116,15 @@ def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layo
 MET = "kind int, a long, b long, c long"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: links of each signature's nodes to the first of them, and the names of nodes."""
+def _meet(batches: Iterator[pa.RecordBatch], kinds_of_nodes: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: links of each signature's nodes to the least of them, and the names of nodes."""
 
     def table(kind, a, b, c=None):
         return rows(kind=pa.array(np.full(len(a), kind, np.int32)), a=a.astype(np.int64), b=b.astype(np.int64), c=np.zeros(len(a), np.int64) if c is None else c.astype(np.int64))
 
     def links(s, x):
         s, x = np.concatenate(s), np.concatenate(x)
-        order = np.argsort(s, kind="stable")
+        order = np.lexsort((x, s))
         s, x = s[order], x[order]
         again = np.zeros(len(s), bool)
         again[1:] = s[1:] == s[:-1]
@@ -139,7 +141,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, s, x = bucket, [], []
             if kind == _NAMES:
                 names = np.frombuffer(unsqueeze(blob), np.int64).reshape(-1, 2)
-                yield table(_NAMES, base + 2 * np.arange(len(names)), names[:, 0], names[:, 1])
+                yield table(_NAMES, base + kinds_of_nodes * np.arange(len(names)), names[:, 0], names[:, 1])
                 continue
             a, b = unpack(blob)
             if kind == _ENTRIES:
@@ -151,9 +153,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(s, x)
 
 
-def candidates(scratch: Scratch, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the candidate components, and (node, b, c) with the names of even nodes, from PACKED rows."""
-    met = scratch.table(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET), "met")
+def candidates(scratch: Scratch, found: DataFrame, kinds_of_nodes: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the candidate components, and (of, b, c) with the names of each set's first node, from PACKED rows."""
+    met = scratch.table(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_meet, kinds_of_nodes=kinds_of_nodes), MET), "met")
     nodes = scratch.table(connected_components(scratch, met.where(F.col("kind") == _LINKS).select("a", "b")), "nodes")
     return nodes, met.where(F.col("kind") == _NAMES).select(F.col("a").alias("of"), "b", "c")
 
@@ -358,41 +360,29 @@ def exact_components(
     block: int = BLOCK,
     features: Callable = _stored,
     refine: Callable[[DataFrame, int], DataFrame] | None = None,
+    turn: int = 0,
 ) -> DataFrame:
-    """(id, root) for members (cluster, id, n, ...): components of the links den * overlap >= num * union.
+    """Links (id, root) among members (cluster, id, n, ...), whose components are those of den * overlap >= num * union.
 
     ship(some members) adds their feats, which ``features`` turns into a sorted array of hashes.
-    Links join members of one cluster only.  root is the smallest id of the component.
-
-    A cluster of more than one block is first cut by signatures of another make: refine(its members
-    with feats, round) returns (id, cluster) for those that meet others again, and no link is lost.
-    What stays large is mostly one large group of similar sets.  Its members are dealt into blocks at
-    random, and each block is solved alone.  The largest component of each block is then compared
-    through one of its members with that of the first block; nearly all of a large group of copies
-    meets in this way.  Only what is left outside is compared with every block, so that no link is
-    lost and no task holds more than a few blocks.
+    Only members of one cluster are linked.  A member without links comes with itself, or not at all.
+
+    A cluster of more than a block is dealt into blocks at random, and each block is solved alone.
+    The largest component of each block is then compared through one of its members with that of the
+    first block; nearly all of a large group of copies meets in this way.  What is left outside is
+    compared with every block, so that no link is lost and no task holds more than a few blocks.
+    Where more than two blocks are left outside, the cluster is no group of copies, but many sets
+    that met by chance: it is cut by signatures of another make first.  refine(its members with feats,
+    turn) returns (id, cluster) for those that meet others again.
     """
     within = lambda items: items.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, features), "cluster long, block long, id long, root long")
-    alone = lambda some: scratch.table(within(ship(some).select("cluster", F.lit(0).cast("long").alias("block"), "id", "feats")).select("id", "root"), "solved")
     cold, hot = _split(scratch, members, block)
-    out = alone(cold)
+    out = scratch.table(within(ship(cold).select("cluster", F.lit(0).cast("long").alias("block"), "id", "feats")).select("id", "root"), "solved")
     if hot is None:
         return out
-    feats = scratch.table(ship(hot).select("cluster", "id", "feats"), "feats")
-    ship = lambda some: some.join(feats.select("id", "feats"), "id")
-    left = hot.count()
-    for k in range(REFINEMENTS if refine else 0):
-        finer = hot.drop("cluster", "blocks").join(refine(ship(hot.select("cluster", "id")), k), "id")
-        before = hot
-        cold, hot = _split(scratch, scratch.table(finer, "finer"), block)
-        out = out.unionByName(alone(cold))
-        scratch.drop(before)
-        if hot is None:
-            return out
-        now = hot.count()
-        if now > 0.9 * left:
-            break
-        left = now
+    if not turn:
+        feats = scratch.table(ship(hot).select("id", "feats"), "feats")
+        ship = lambda some: some.join(feats, "id")
     items = scratch.table(ship(hot).select("cluster", F.pmod(F.xxhash64("id"), "blocks").cast("long").alias("block"), "id", "feats", "n", "blocks"), "items")
     solved = scratch.table(within(items.select("cluster", "block", "id", "feats")), "solved")
     large = scratch.table(items.join(solved.select("id", "root"), "id"), "large")
@@ -403,11 +393,15 @@ def exact_components(
     met = hubs.repartition("cluster").sortWithinPartitions("cluster", "root").mapInArrow(_hubs(num, den, features), "cluster long, root long, hub long")
     met = scratch.table(met, "met")
     rest = large.join(met.select("root"), "root", "left_anti")
-    chunks = rest.groupBy("cluster").agg(_parts(block).alias("chunks"))
+    chunks = scratch.table(rest.groupBy("cluster").agg(_parts(block).alias("chunks")), "chunks")
+    if refine and turn < REFINEMENTS and chunks.where("chunks > 2").limit(1).count():
+        loose = chunks.where("chunks > 2").select("cluster")
+        again = hot.join(loose, "cluster", "left_semi")
+        finer = scratch.table(again.drop("cluster", "blocks").join(refine(ship(again.select("cluster", "id")), turn), "id"), "finer")
+        out = out.unionByName(exact_components(scratch, finer, ship, num, den, block, features, refine, turn + 1))
+        chunks = chunks.where("chunks <= 2")
     r = rest.join(chunks, "cluster").select("cluster", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("long").alias("chunk"), F.lit(True).alias("rest"), "root", "feats")
     b = large.join(chunks, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"), F.lit(False).alias("rest"), "root", "feats")
     links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den, features), "a long, b long")
-    links = links.unionByName(met.select(F.col("root").alias("a"), F.col("hub").alias("b")))
-    joined = connected_components(scratch, links)
-    more = solved.join(joined, solved.root == joined.node, "left").select("id", F.coalesce(joined.root, solved.root).alias("root"))
-    return out.unionByName(more)
+    links = scratch.table(links.unionByName(met.select(F.col("root").alias("a"), F.col("hub").alias("b"))), "links")
+    return out.unionByName(solved.select("id", "root")).unionByName(links.select(F.col("a").alias("id"), F.col("b").alias("root")))

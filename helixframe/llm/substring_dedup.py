@@ -24,6 +24,7 @@ from .shared import Scratch, maybe_in, membership
 
 U64 = np.uint64
 GRAM = 8  # words whose hashes compete to be the minimiser
+RUN = 1024  # windows in a run at most
 CROWD = 4096  # runs in a bucket beyond which its windows are dealt out one by one
 
 
@@ -41,7 +42,11 @@ def runs(h: np.ndarray, k: int, m: int = GRAM) -> tuple[np.ndarray, np.ndarray,
         width *= 2
     if width < span:
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    cut = np.flatnonzero(new)
+    if (np.diff(np.append(cut, n)) > RUN).any():  # repeated words have one minimiser throughout
+        at = np.arange(n) - np.repeat(cut, np.diff(np.append(cut, n)))
+        cut = np.flatnonzero(at % RUN == 0)
     return cut, np.append(cut[1:], n), least[cut]
 
 

@@ -213,6 +213,33 @@ def test_substring_dedup(spark, corpus, monkeypatch):
     assert substring_dedup.remove_repeated_windows(docs_of(spark, [])).count() == 0
 
 
+def test_long_texts_are_cut():
+    rng = random.Random(17)
+    pa = __import__("pyarrow")
+    lines = ["".join(rng.choice("abc dé") for _ in range(rng.randrange(0, 90))) for _ in range(60_000)] + ["z" * 3_000_000, "", "end"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["a\nb", "\n".join(lines), "c"]})
+    found = [(int(r), int(n), x.text(p).decode()) for x in line_dedup._batches(batch) for p, (r, n) in enumerate(zip(x.row, x.number, strict=True))]
+    assert found == [(0, 0, "a"), (0, 1, "b"), *((1, k, x.strip()) for k, x in enumerate(lines) if x.strip()), (2, 0, "c")]
+    h = T.mix(np.array([7] * 100_000 + [8, 9] * 50, np.uint64))
+    lo, hi, least = substring_dedup.runs(h, 50)
+    assert (hi - lo).max() <= substring_dedup.RUN and lo[0] == 0 and hi[-1] == len(h) - 49 and (lo[1:] == hi[:-1]).all()
+
+
+def test_components():
+    from helixframe.llm.shared import least_reached
+
+    rng = np.random.default_rng(3)
+    for n in (1, 10, 500):
+        a, b = rng.integers(0, 1000, n), rng.integers(0, 1000, n)
+        node, root = least_reached(a, b)
+        group = {int(x): {int(x)} for x in node}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            both = group[x] | group[y]
+            for z in both:
+                group[z] = both
+        assert {int(x): int(r) for x, r in zip(node, root, strict=True)} == {x: min(g) for x, g in group.items()}
+
+
 def test_mixing(spark, corpus):
     found = mixing.mix_sources(docs_of(spark, corpus)).collect()
     by = collections.defaultdict(list)
