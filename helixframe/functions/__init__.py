@@ -1,5 +1,5 @@
 """Scalar functions over k-mers."""
 
-from .kmers import U32_MAX, base_count, canonical, canonical_acgt, hpc, run_score, saturate, sort_key, reverse_complement, windows
+from .kmers import U32_MAX, base_count, canonical, canonical_acgt, decode, encode, hpc, reverse_complement, run_score, saturate, sort_key, windows
 
-__all__ = ["U32_MAX", "base_count", "canonical", "canonical_acgt", "hpc", "reverse_complement", "run_score", "saturate", "sort_key", "windows"]
+__all__ = ["U32_MAX", "base_count", "canonical", "canonical_acgt", "decode", "encode", "hpc", "reverse_complement", "run_score", "saturate", "sort_key", "windows"]

@@ -49,6 +49,16 @@ def run_score(c: Column | str, two: str) -> Column:
     return F.aggregate(runs, F.lit(0), lambda s, x: s + F.length(x))
 
 
+def encode(c: Column | str) -> Column:
+    """A k-mer of up to 31 bases as a long of two bits a base, which sorts as the k-mers do."""
+    return F.conv(sort_key(c), 4, 10).cast("long")
+
+
+def decode(c: Column | str, k: int) -> Column:
+    """The k-mer that encode() made a long of."""
+    return F.translate(F.lpad(F.conv(_col(c).cast("string"), 10, 4), k, "0"), "0123", "ACTG")
+
+
 def saturate(c: Column | str) -> Column:
     """A count kept within 32 unsigned bits."""
     return F.least(_col(c), F.lit(U32_MAX)).cast("long")

@@ -31,23 +31,34 @@ SET_OPERATIONS = ("union", "union-min", "union-max", "union-sum", "intersect", "
 
 
 def combine(op: str, *dbs: DataFrame) -> DataFrame:
-    """(kmer, value) of a set operation over datasets with unique k-mers; an input may be given twice."""
+    """(kmer, value[, label]) of a set operation over datasets with unique k-mers; an input may be given twice.
+
+    Where an input has labels, so has the result: unions or them, intersections and them, minima and
+    maxima take that of the value they pick (of several the first), subtract takes the first input's
+    bits that no other input has, and the differences take the first input's.
+    """
     t, n = tagged(list(dbs)).groupBy("kmer"), len(dbs)
     count = F.count(F.lit(1)).alias("_n")
     kind, _, rule = op.partition("-")
-    if kind in ("union", "intersect"):
+    first = F.min_by("label", "idx")
+    if kind in ("union", "intersect") and rule in ("", "min", "max", "sum"):
         value = {"": F.count(F.lit(1)) if kind == "union" else _least(), "min": F.min("value"), "max": F.max("value"), "sum": saturate(F.sum("value"))}[rule]
-        out = t.agg(value.alias("value"), count)
+        every = F.bit_or("label") if kind == "union" else F.bit_and("label")
+        label = {"min": F.min_by("label", F.struct("value", "idx")), "max": F.min_by("label", F.struct(-F.col("value"), "idx"))}.get(rule, every)
+        out = t.agg(value.alias("value"), label.alias("label"), count)
         out = out.where(F.col("_n") == n) if kind == "intersect" else out
     elif op == "subtract":
-        out = t.agg(F.sum(F.when(F.col("idx") == 0, F.col("value")).otherwise(-F.col("value"))).alias("value"), F.min("idx").alias("_n")).where("_n = 0")
+        own, others = F.bit_or(F.when(F.col("idx") == 0, F.col("label"))), F.bit_or(F.when(F.col("idx") > 0, F.col("label")))
+        label = own.bitwiseAND(F.bitwise_not(F.coalesce(others, F.lit(0).cast("long"))))
+        out = t.agg(F.sum(F.when(F.col("idx") == 0, F.col("value")).otherwise(-F.col("value"))).alias("value"), label.alias("label"), F.min("idx").alias("_n")).where("_n = 0")
     elif op == "difference":
-        out = t.agg(_least().alias("value"), count, F.min("idx").alias("_i")).where("_n = 1 and _i = 0")
+        out = t.agg(_least().alias("value"), first.alias("label"), count, F.min("idx").alias("_i")).where("_n = 1 and _i = 0")
     elif op == "symmetric-difference":
-        out = t.agg(_least().alias("value"), count).where("_n = 1")
+        out = t.agg(_least().alias("value"), first.alias("label"), count).where("_n = 1")
     else:
         raise ValueError(f"unknown operation {op}")
-    return out.where("value > 0").select("kmer", F.col("value").cast("long").alias("value"))
+    labels = ["label"] if any("label" in db.columns for db in dbs) else []
+    return out.where("value > 0").select("kmer", F.col("value").cast("long").alias("value"), *labels)
 
 
 def union_multiset(*dbs: DataFrame) -> DataFrame:
@@ -60,6 +71,24 @@ def active(*dbs: DataFrame) -> DataFrame:
     return tagged(list(dbs)).groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("idx", "value", "label"))).alias("a"))
 
 
+_FLIP = "-9223372036854775808L"
+#: How an input is picked by its value or its label: the least comes first, of several the first input.
+_PICKS = {
+    "value": {"first": "0", "min": "x.value", "max": "-x.value"},
+    "label": {"first": "0", "min": f"x.label ^ {_FLIP}", "max": f"~(x.label ^ {_FLIP})", "lightest": "bit_count(x.label)", "heaviest": "-bit_count(x.label)"},
+}
+
+
+def selected(what: str, rule: str) -> Column:
+    """The value of the input that a label rule picks, or the label of that which a value rule picks.
+
+    Rules that pick no input, such as sums, leave the first.
+    """
+    by = {"value": "label", "label": "value"}[what]
+    order = _PICKS[by].get(rule, "0")
+    return F.expr(f"array_min(transform(a, (x, i) -> named_struct('o', {order}, 'i', i, 'x', x.{what}))).x")
+
+
 def _rest() -> str:
     return "slice(a, 2, size(a))"
 
@@ -88,13 +117,14 @@ def assign_value(rule: str, c: int | None = None) -> Column:
 def assign_label(rule: str, c: int | None = None, width: int = 64) -> Column:
     """The output label from the active list by a rule; labels are ``width`` bits, compared without sign."""
     ones = -1 if width == 64 else (1 << width) - 1
-    flip = "-9223372036854775808L"
+    flip = _FLIP
     least = lambda order: f"array_min(transform(L, (x, i) -> named_struct('o', {order}, 'i', i, 'l', x))).l"
     with_c = lambda d: f"array_append(L, {d if c is None else c}L)"
     labels = "transform(a, x -> x.label)"
     n = 1 if c is None else c
     body = {
         "set": lambda: f"{c}L",
+        "at": lambda: f"get(filter(a, x -> x.idx = {(c or 1) - 1}), 0).label",
         "first": lambda: "a[0].label",
         "min": lambda: least(f"x ^ {flip}") if c is None else least(f"x ^ {flip}").replace("(L,", f"({with_c(0)},"),
         "max": lambda: f"array_max(transform({with_c(0)}, x -> x ^ {flip})) ^ {flip}",
@@ -140,6 +170,13 @@ def unsigned(c: Column) -> Column:
     return c.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def label_test(test: str, c: int, label: Column | str = "label") -> Column:
+    """Whether a label has all, any or none of the bits of c, or no others (only)."""
+    x, bits = (F.col(label) if isinstance(label, str) else label), F.lit(c).cast("long")
+    both = x.bitwiseAND(bits)
+    return {"all": both == bits, "any": both != 0, "none": both == 0, "only": x.bitwiseOR(bits) == bits}[test]
+
+
 def in_inputs(n: int) -> Column:
     return F.size("a") == n
 

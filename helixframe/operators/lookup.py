@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, reverse_complement, windows
 
+SPAN = 1 << 20  # positions of a sequence that one task looks at together
+
 
 def hits(sequences: DataFrame, k: int, *dbs: DataFrame, canonical_db: bool = True, least: int | None = None, most: int | None = None, skip: int = 0) -> DataFrame:
     """(ident, pos, db, value): k-mers of the sequences (ident, bases) that the datasets hold, db counting from 0.
@@ -40,11 +42,21 @@ def bed(found: DataFrame, k: int, labels: list[str] | None = None) -> DataFrame:
     return found.select("ident", F.col("pos").alias("begin"), (F.col("pos") + k).alias("end"), name.alias("label"))
 
 
-def bed_runs(found: DataFrame, k: int, legacy_end: bool = False) -> DataFrame:
-    """(ident, db, begin, end) of maximal runs of consecutive positions; legacy_end adds one base."""
-    w = Window.partitionBy("ident", "db").orderBy("pos")
-    islands = found.select("ident", "db", "pos").distinct().withColumn("g", F.col("pos") - F.row_number().over(w))
-    return islands.groupBy("ident", "db", "g").agg(F.min("pos").alias("begin"), (F.max("pos") + k + int(legacy_end)).alias("end")).drop("g")
+def bed_runs(found: DataFrame, k: int, legacy_end: bool = False, span: int = SPAN) -> DataFrame:
+    """(ident, db, begin, end) of maximal runs of consecutive positions; legacy_end adds one base.
+
+    Runs are found within spans of positions, so that a long sequence is spread out; only those that
+    touch a span's border are then looked at together.
+    """
+    block = F.floor(F.col("pos") / span)
+    w = Window.partitionBy("ident", "db", "b").orderBy("pos")
+    islands = found.select("ident", "db", "pos", block.alias("b")).distinct().withColumn("g", F.col("pos") - F.row_number().over(w))
+    islands = islands.groupBy("ident", "db", "b", "g").agg(F.min("pos").alias("begin"), F.max("pos").alias("last")).drop("b", "g")
+    border = (F.col("begin") % span == 0) | ((F.col("last") + 1) % span == 0)
+    by = Window.partitionBy("ident", "db").orderBy("begin")
+    joined = islands.where(border).withColumn("new", F.coalesce(F.lag("last").over(by) + 1 < F.col("begin"), F.lit(True)).cast("int"))
+    joined = joined.withColumn("g", F.sum("new").over(by)).groupBy("ident", "db", "g").agg(F.min("begin").alias("begin"), F.max("last").alias("last")).drop("g")
+    return islands.where(~border).unionByName(joined).select("ident", "db", "begin", (F.col("last") + k + int(legacy_end)).alias("end"))
 
 
 def wig_count(found: DataFrame) -> DataFrame:
@@ -52,26 +64,48 @@ def wig_count(found: DataFrame) -> DataFrame:
     return found.groupBy("ident", (F.col("pos") + 1).alias("pos")).agg(F.sum("value").alias("value"))
 
 
-def wig_depth(found: DataFrame, k: int) -> DataFrame:
-    """(ident, pos from 1, value): how many k-mers that are found cover a base."""
+def wig_depth(found: DataFrame, k: int, span: int = SPAN) -> DataFrame:
+    """(ident, pos from 1, value): how many k-mers that are found cover a base.
+
+    Each k-mer is a step up and a step down, in each span of positions that it touches; depths are
+    running sums of the steps within a span.
+    """
     each = found.select("ident", "pos").distinct()
-    return each.select("ident", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + k)).alias("pos")).groupBy("ident", "pos").agg(F.count(F.lit(1)).alias("value"))
+    at = each.select("ident", "pos", F.explode(F.sequence(F.floor(F.col("pos") / span), F.floor((F.col("pos") + k - 1) / span))).alias("b"))
+    up = F.struct(F.greatest("pos", F.col("b") * span).alias("p"), F.lit(1).alias("d"))
+    down = F.struct(F.least(F.col("pos") + k, (F.col("b") + 1) * span).alias("p"), F.lit(-1).alias("d"))
+    steps = at.select("ident", "b", F.explode(F.array(up, down)).alias("x")).groupBy("ident", "b", F.col("x.p").alias("p")).agg(F.sum("x.d").alias("d"))
+    w = Window.partitionBy("ident", "b").orderBy("p")
+    depths = steps.select("ident", "p", F.lead("p").over(w).alias("to"), F.sum("d").over(w).alias("value")).where("value > 0 and to is not null")
+    return depths.select("ident", F.explode(F.sequence(F.col("p") + 1, F.col("to"))).alias("pos"), "value")
+
 
+def existence(sequences: DataFrame, k: int, *dbs: DataFrame) -> DataFrame:
+    """(ident, n_kmers, db, db_kmers, found) for each sequence and dataset, db counting from 0; repeats count.
 
-def existence(sequences: DataFrame, k: int, db: DataFrame) -> DataFrame:
-    """(ident, n_kmers, db_kmers, found) for each sequence; repeats count."""
+    Of a dataset that holds forward k-mers, those of either strand count.
+    """
     w = windows(sequences, k, "ident").withColumn("kmer", canonical("kmer"))
-    per = w.join(db.select("kmer", "value"), "kmer", "left").groupBy("ident").agg(F.count(F.lit(1)).alias("n_kmers"), F.count("value").alias("found"))
-    size = db.agg(F.count(F.lit(1)).alias("db_kmers"))
-    out = sequences.select("ident").join(per, "ident", "left").crossJoin(F.broadcast(size))  # one row
-    return out.select("ident", F.coalesce("n_kmers", F.lit(0)).cast("long").alias("n_kmers"), "db_kmers", F.coalesce("found", F.lit(0)).cast("long").alias("found"))
+    every, sizes = None, None
+    for i, db in enumerate(dbs):
+        part = db.select(canonical("kmer").alias("kmer"), F.lit(i).alias("db")).distinct()
+        every = part if every is None else every.unionByName(part)
+        size = db.agg(F.count(F.lit(1)).alias("db_kmers")).select(F.lit(i).alias("db"), "db_kmers")
+        sizes = size if sizes is None else sizes.unionByName(size)
+    n = w.groupBy("ident").agg(F.count(F.lit(1)).alias("n_kmers"))
+    per = w.groupBy("ident", "kmer").agg(F.count(F.lit(1)).alias("n")).join(every, "kmer").groupBy("ident", "db").agg(F.sum("n").alias("found"))
+    out = sequences.select("ident").join(n, "ident", "left").crossJoin(F.broadcast(sizes))  # a row for each dataset given
+    out = out.join(per, ["ident", "db"], "left")
+    zero = F.lit(0).cast("long")
+    return out.select("ident", F.coalesce("n_kmers", zero).alias("n_kmers"), "db", "db_kmers", F.coalesce("found", zero).alias("found"))
 
 
 def include(sequences: DataFrame, k: int, db: DataFrame, skip: int = 0, exclude: bool = False, mates: DataFrame | None = None) -> DataFrame:
-    """Sequences (ident, bases) with a k-mer in the dataset, and n_kmers found; exclude keeps those without.
+    """Sequences (ident, bases, ...) with a k-mer in the dataset, and n_kmers found; exclude keeps those without.
 
     skip leaves out the k-mers that begin before it, in the first of a pair only.  mates (ident,
-    bases) pairs by ident: a pair stays or goes whole, and its second bases are returned too.
+    bases) pairs by ident: a pair stays or goes whole, and its second bases are returned too.  Files
+    that are paired by the order of their records get it from sources.sequences.numbered().
     """
     f = hits(sequences, k, db, skip=skip)
     if mates is not None:
@@ -99,6 +133,24 @@ def hits_per_query(reference: DataFrame, queries: DataFrame, k: int) -> DataFram
     return out.select("ident", "length", F.coalesce("n_ref", F.lit(0)).cast("long").alias("n_ref"), F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"))
 
 
+def hit_table(reference: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qry, qry_pos, ref, ref_pos): each place of the queries with each place of the reference that has its k-mer, on either strand."""
+    r, q = reference_hits(reference, queries, k)
+    return q.join(r, "kmer").select("qry", "qry_pos", "ref", "ref_pos")
+
+
+def check_report(report: str, inputs: int, datasets: int, labels: int = 0) -> None:
+    """Raises ValueError for numbers of inputs, datasets and labels that a report has no use for."""
+    if report not in ("bed", "bed-runs", "wig-count", "wig-depth", "existence", "include", "exclude"):
+        raise ValueError(f"unknown report {report}")
+    if not 1 <= inputs <= (2 if report in ("include", "exclude") else 1):
+        raise ValueError(f"{report} needs one input" + (", or a pair" if report in ("include", "exclude") else ""))
+    if datasets < 1 or (datasets > 1 and report in ("wig-depth", "include", "exclude")):
+        raise ValueError(f"{report} needs one dataset")
+    if labels and (report not in ("bed", "bed-runs") or labels != datasets):
+        raise ValueError("labels are for BED, one for each dataset")
+
+
 def mers_per_base(reference: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(ref, ref_pos, n): query k-mers that occur at a reference position.  Both sides are counted before they are joined."""
     r, q = reference_hits(reference, queries, k)

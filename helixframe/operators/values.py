@@ -32,8 +32,19 @@ def select_value(db: DataFrame, relation: str, x: int | None = None, distinct: f
     return db.crossJoin(F.broadcast(limit)).where(RELATIONS[relation](F.col("value"), F.col("threshold"))).drop("threshold")  # one row
 
 
+def select_threshold(relation: str, *dbs: DataFrame, value: str = "first", distinct: float | None = None, word_frequency: float | None = None) -> DataFrame:
+    """A selector with a threshold of the histogram on its right side: it needs one input, whose value the operation leaves as it is."""
+    if len(dbs) != 1:
+        raise ValueError("distinct and word_frequency need exactly one input")
+    if value != "first":
+        raise ValueError("distinct and word_frequency need the value of the input, unchanged")
+    return select_value(dbs[0], relation, distinct=distinct, word_frequency=word_frequency)
+
+
 def arithmetic(op: str, x: int) -> Column:
-    """The new value; results stay within 0 and 2**32 - 1."""
+    """The new value; results stay within 0 and 2**32 - 1.  The constant is an integer from 0."""
+    if isinstance(x, bool) or not isinstance(x, int) or x < 0:
+        raise ValueError(f"{op} needs an integer from 0")
     v, c = F.col("value"), F.lit(x).cast("long")
     if op == "increase":
         return saturate(v + c)

@@ -1,7 +1,8 @@
 """One query for each operator, over whole tables, and the same in SQL.
 
-There are no sequences among the tables: prose is projected onto bases.  The named datasets are the
-k-mers of the documents of one language; lookups run the benchmark's sequences against them.
+There are no sequences among the tables: prose is projected onto bases.  Operations on several
+datasets have all documents dealt out by their ids; lookups run the benchmark's sequences against
+those of all documents.
 """
 
 from __future__ import annotations
@@ -11,14 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hpc, run_score, sort_key
+from ..functions import decode, encode, hpc, run_score, sort_key
 from ..functions.kmers import canonical_acgt, windows
 from ..operators import combine as C
 from ..operators import counting, lookup, reports, values
-from ..sources import datasets, sequences
+from ..sources import datasets, sequences, tracks
 
 K = 9
-LANGS = ("de", "es", "fr")
+INPUTS = 3
+NAMES = ("one", "two", "three")
 WIDTH = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,26 +32,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _docs(spark: SparkSession, d: str, lang: str | None = None, bases=sequences.broken_bases) -> DataFrame:
+def _docs(spark: SparkSession, d: str, part: int | None = None, of: int = INPUTS, bases=sequences.broken_bases) -> DataFrame:
     docs = _table(spark, d, "documents")
-    docs = docs.where(F.col("lang") == lang) if lang else docs
-    # a file is one split here; words are many times the rows
-    return docs.select(F.col("doc_id").alias("ident"), "text").repartition("ident").select("ident", bases().alias("bases"))
+    few = len(docs.inputFiles()) < spark.sparkContext.defaultParallelism
+    docs = docs.where(F.col("doc_id") % of == part) if part is not None else docs
+    docs = docs.select(F.col("doc_id").alias("ident"), "text")
+    # a file may be one split, and its words are many times its rows; with enough files nothing is shuffled
+    return (docs.repartition("ident") if few else docs).select("ident", bases().alias("bases"))
 
 
 def _bench(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "benchmark").select(F.col("item_id").alias("ident"), sequences.broken_bases().alias("bases"))
 
 
-def _db(spark: SparkSession, d: str, lang: str | None = None, **more) -> DataFrame:
-    return counting.count_kmers(_docs(spark, d, lang), k=K, **more)
+def _db(spark: SparkSession, d: str, part: int | None = None, of: int = INPUTS, **more) -> DataFrame:
+    return counting.count_kmers(_docs(spark, d, part, of), k=K, **more)
 
 
-def _dbs(spark: SparkSession, d: str, labels: bool = False) -> list[DataFrame]:
-    out = [_db(spark, d, x) for x in LANGS]
-    if labels:
-        out = [x.withColumn("label", ((F.col("value") * 37 + (i + 1) * 101) % 256).cast("long")) for i, x in enumerate(out)]
-    return out
+def _labelled(db: DataFrame, i: int) -> DataFrame:
+    return db.withColumn("label", ((F.col("value") * 37 + (i + 1) * 101) % 256).cast("long"))
+
+
+def _dbs(spark: SparkSession, d: str, labels: bool = False, of: int = INPUTS) -> list[DataFrame]:
+    out = [_db(spark, d, i, of) for i in range(of)]
+    return [_labelled(x, i) for i, x in enumerate(out)] if labels else out
 
 
 # SQL pieces
@@ -78,16 +84,14 @@ def _windows(name: str, source: str, k: int = K) -> str:
 {name} AS (SELECT ident, tag, p::BIGINT AS p, f, {_canon("f")} AS kmer FROM {name}_w WHERE NOT contains(f, 'N'))"""
 
 
-def _doc_sql(q: str = _BROKEN, where: str = "true") -> str:
-    return f"SELECT doc_id AS ident, lang AS tag, {q} AS q FROM documents WHERE {where}"
+def _doc_sql(q: str = _BROKEN, where: str = "true", of: int = INPUTS) -> str:
+    return f"SELECT doc_id AS ident, doc_id % {of} AS tag, {q} AS q FROM documents WHERE {where}"
 
 
 _BENCH_SQL = f"SELECT item_id AS ident, NULL AS tag, {_BROKEN} AS q FROM benchmark"
 _DB = f"WITH {_windows('w', _doc_sql())},\ndb AS (SELECT kmer, count(*)::BIGINT AS value FROM w GROUP BY kmer)\n"
-_IN = ", ".join(f"'{x}'" for x in LANGS)
-_IDX = f"list_position([{_IN}], tag) - 1"
-_COMBINE = f"""WITH {_windows("w", _doc_sql(where=f"lang IN ({_IN})"))},
-t AS (SELECT kmer, ({_IDX})::BIGINT AS idx, count(*)::BIGINT AS value FROM w GROUP BY 1, 2),
+_COMBINE = f"""WITH {_windows("w", _doc_sql())},
+t AS (SELECT kmer, tag::BIGINT AS idx, count(*)::BIGINT AS value FROM w GROUP BY 1, 2),
 u AS (SELECT *, (value * 37 + (idx + 1) * 101) % 256 AS label FROM t),
 a AS (SELECT kmer, count(*)::BIGINT AS n, list(value ORDER BY idx) AS v, list(label ORDER BY idx) AS l, list(idx ORDER BY idx) AS i,
       min(value) AS least, max(value) AS most, sum(value)::BIGINT AS total FROM u GROUP BY kmer)
@@ -142,6 +146,24 @@ y AS (SELECT f, coalesce(max(CASE WHEN n % 5 = 0 THEN n END) OVER (ORDER BY n),
 SELECT {_canon("f")} AS kmer, sum(v)::BIGINT AS value, 0::BIGINT AS label FROM y WHERE n % 5 <> 0 GROUP BY 1""",
     )
 
+    def directives(s: SparkSession, d: str) -> DataFrame:
+        # every fourth line sets the value, every fourth the label, and every tenth of the others has its own
+        n, none = F.col("o_orderkey"), F.lit(None).cast("string")
+        kmer = F.translate(F.lpad((n % 900).cast("string"), 5, "0"), "0123456789", "ACGTACGTAC")
+        word1 = F.when(n % 4 == 0, F.concat(F.lit("value="), (n % 50 + 1).cast("string"))).when(n % 4 == 1, F.concat(F.lit("label="), (n % 64).cast("string"))).otherwise(kmer)
+        own = (n % 4 > 1) & (n % 10 == 3)
+        return datasets.import_list(_table(s, d, "orders").select(n.alias("line"), word1.alias("word1"), F.when(own, F.lit("9")).otherwise(none).alias("word2"), F.when(own, F.lit("128")).otherwise(none).alias("word3")), strand="reverse")
+
+    _add(
+        "import_directives",
+        directives,
+        f"""WITH x AS (SELECT o_orderkey AS n, translate(lpad((o_orderkey % 900)::VARCHAR, 5, '0'), '0123456789', 'ACGTACGTAC') AS f FROM orders),
+y AS (SELECT n, f, coalesce(max(CASE WHEN n % 4 = 0 THEN n END) OVER w % 50 + 1, 1) AS v, coalesce(max(CASE WHEN n % 4 = 1 THEN n END) OVER w % 64, 0) AS l FROM x WINDOW w AS (ORDER BY n)),
+z AS (SELECT {_rc("f")} AS kmer, CASE WHEN n % 10 = 3 THEN 9 ELSE v END AS v, CASE WHEN n % 10 = 3 THEN 128 ELSE l END AS l FROM y WHERE n % 4 > 1)
+SELECT kmer, sum(v)::BIGINT AS value, bit_or(l)::BIGINT AS label FROM z GROUP BY 1""",
+    )
+    _add("encoded", lambda s, d: _db(s, d).select("kmer", encode("kmer").alias("code"), decode(encode("kmer"), K).alias("again")), _DB + f"SELECT kmer, list_sum(list_transform(range(1, {K + 1}), lambda j: (instr('ACTG', substr(kmer, j, 1)) - 1) * 4 ** ({K} - j)))::BIGINT AS code, kmer AS again FROM db")
+
 
 def _values() -> None:
     ops = {"less_than": "<", "greater_than": ">", "at_least": ">=", "at_most": "<=", "equal_to": "=", "not_equal_to": "<>"}
@@ -166,8 +188,8 @@ def _sets() -> None:
         _add(name, lambda s, d, n=name: C.combine(n.replace("_", "-"), *_dbs(s, d)), _COMBINE + f"SELECT kmer, {form}")
     _add(
         "compare",
-        lambda s, d: C.compare(*_dbs(s, d)[:2]),
-        _COMBINE + "SELECT kmer, max(value) FILTER (idx = 0) AS value1, max(value) FILTER (idx = 1) AS value2 FROM t WHERE idx < 2 GROUP BY kmer HAVING max(value) FILTER (idx = 0) IS DISTINCT FROM max(value) FILTER (idx = 1)",
+        lambda s, d: C.compare(*_dbs(s, d, of=2)),
+        _COMBINE.replace(_doc_sql(), _doc_sql(of=2)) + "SELECT kmer, max(value) FILTER (idx = 0) AS value1, max(value) FILTER (idx = 1) AS value2 FROM t GROUP BY kmer HAVING max(value) FILTER (idx = 0) IS DISTINCT FROM max(value) FILTER (idx = 1)",
     )
     _add(
         "nested_tree",
@@ -176,7 +198,13 @@ def _sets() -> None:
 SELECT kmer, sum(value)::BIGINT AS value FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY kmer HAVING sum(value) >= 2""",
     )
     _add("union_multiset", lambda s, d: C.union_multiset(*_dbs(s, d)).select("kmer", "value"), _COMBINE + "SELECT DISTINCT kmer, value FROM t")
-    _add("union_self", lambda s, d: C.combine("union", *[_dbs(s, d)[0]] * 2), _COMBINE + "SELECT kmer, 2::BIGINT AS value FROM t WHERE idx = 0")
+    _add("union_self", lambda s, d: C.combine("union", *[_db(s, d)] * 2), _DB + "SELECT kmer, 2::BIGINT AS value FROM db")
+    _add("union_one", lambda s, d: C.combine("union", _db(s, d)), _DB + "SELECT kmer, 1::BIGINT AS value FROM db")
+    every, common, others = _fold("s | x", "l[1]", "l[2:]"), _fold("s & x", "l[1]", "l[2:]"), _fold("s & ~x", "l[1]", "l[2:]")
+    labels = {"union": every, "union_sum": every, "intersect": common, "intersect_sum": common, "subtract": others, "difference": "l[1]", "symmetric_difference": "l[1]"}
+    labels |= {f"{k}_{m}": f"l[list_position(v, {c})]" for k in ("union", "intersect") for m, c in (("min", "least"), ("max", "most"))}
+    for name, label in labels.items():
+        _add(f"{name}_labels", lambda s, d, n=name: C.combine(n.replace("_", "-"), *_dbs(s, d, True)), _COMBINE + f"SELECT kmer, ({label})::BIGINT AS label, {forms[name]}")
 
 
 def _fold(step: str, start: str = "v[1]", rest: str = "v[2:]", cast: str = "BIGINT") -> str:
@@ -192,6 +220,12 @@ def _assignments() -> None:
     }
     for rule, (c, sql) in value.items():
         _add(f"assign_value_{rule}", lambda s, d, r=rule, c=c: C.assigned(C.active(*_dbs(s, d)), C.assign_value(r, c)), _COMBINE + f"SELECT kmer, x AS value FROM (SELECT kmer, ({sql})::BIGINT AS x FROM a) WHERE x > 0")
+    at = "v[list_position(i, 1)]"
+    _add("assign_value_at", lambda s, d: C.assigned(C.active(*_dbs(s, d)), C.assign_value("at", 2)), _COMBINE + f"SELECT kmer, {at} AS value FROM a WHERE {at} > 0")
+    picked = "list_sort(list_transform(l, lambda x, j: {'o': bit_count(x), 'j': j, 'v': v[j]}))[1].v"
+    _add("assign_value_selected", lambda s, d: C.assigned(C.active(*_dbs(s, d, True)), C.selected("value", "lightest"), C.assign_label("lightest", None, WIDTH)), _COMBINE + f"SELECT kmer, {picked} AS value, list_sort(list_transform(list_append(l, 255), lambda x, j: {{'o': bit_count(x), 'j': j, 'l': x}}))[1].l::BIGINT AS label FROM a")
+    _add("assign_label_at", lambda s, d: C.assigned(C.active(*_dbs(s, d, True)), C.assign_value("count"), C.assign_label("at", 2)), _COMBINE + "SELECT kmer, n AS value, l[list_position(i, 1)]::BIGINT AS label FROM a")
+    _add("assign_label_selected", lambda s, d: C.assigned(C.active(*_dbs(s, d, True)), C.assign_value("max"), C.selected("label", "max")), _COMBINE + "SELECT kmer, most AS value, l[list_position(v, most)]::BIGINT AS label FROM a")
     light = "list_sort(list_transform(list_append(l, {c}), lambda x, j: {{'o': {o}, 'j': j, 'l': x}}))[1].l"
     label = {
         "set": (9, "9"), "first": (None, "l[1]"), "min": (None, "list_min(l)"), "max": (60, "greatest(list_max(l), 60)"), "and": (None, _fold("s & x", "l[1]", "l[2:]")), "or": (None, _fold("s | x", "l[1]", "l[2:]")),
@@ -223,6 +257,14 @@ def _selections() -> None:
         _add(f"select_{name}", lambda s, d, w=where: C.assigned(C.active(*_dbs(s, d, True)), C.assign_value("add"), where=w()), _COMBINE + out + sql)
 
 
+    label = _DB.rstrip() + ",\nx AS (SELECT kmer, value, ((value * 37 + 101) % 256)::BIGINT AS label FROM db)\nSELECT * FROM x WHERE "
+    for test, sql in {"all": "label & 5 = 5", "any": "label & 5 <> 0", "none": "label & 5 = 0", "only": "label | 63 = 63"}.items():
+        _add(f"select_label_{test}", lambda s, d, t=test: _labelled(_db(s, d), 0).where(C.label_test(t, 63 if t == "only" else 5)), label + f"({sql})")
+    least = "h AS (SELECT value, count(*) AS o FROM db GROUP BY 1), c AS (SELECT value, sum(o) OVER (ORDER BY value) AS cd, sum(o) OVER () AS n FROM h)"
+    _add("select_value_distinct", lambda s, d: values.select_threshold("less-than", _db(s, d), distinct=0.5), _DB.rstrip() + f",\n{least}\nSELECT kmer, value FROM db WHERE value < (SELECT min(value) FROM c WHERE cd >= floor(0.5::DOUBLE * n))")
+    _add("select_value_word_frequency", lambda s, d: values.select_threshold("greater-than", _db(s, d), word_frequency=0.0001), _DB + "SELECT kmer, value FROM db WHERE value > (SELECT floor(0.0001::DOUBLE * sum(value)) FROM db)")
+
+
 def _reports() -> None:
     _unary("histogram", reports.histogram, "SELECT value, count(*)::BIGINT AS occurrences FROM db GROUP BY 1")
     _unary(
@@ -232,7 +274,17 @@ def _reports() -> None:
 FROM (SELECT value, o, (sum(o) OVER w)::BIGINT AS cd, (sum(value * o) OVER w)::BIGINT AS ct, (sum(o) OVER ())::BIGINT AS n, (sum(value * o) OVER ())::BIGINT AS t, (sum(CASE WHEN value = 1 THEN o ELSE 0 END) OVER ())::BIGINT AS u
 FROM (SELECT value, count(*)::BIGINT AS o FROM db GROUP BY 1) WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING))""",
     )
-    _add("ploidy", lambda s, d: reports.ploidy(reports.histogram(_db(s, d))), None)
+    QUERIES["ploidy"] = lambda s, d: reports.ploidy(reports.histogram(_db(s, d)))
+    SQL["ploidy"] = (
+        _DB.rstrip()
+        + """,
+h AS (SELECT value, count(*) AS o FROM db GROUP BY 1),
+m AS (SELECT value, avg(o) OVER (ORDER BY value ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM h),
+t AS (SELECT value, s, lag(s) OVER w AS b, lead(s) OVER w AS f FROM m WINDOW w AS (ORDER BY value)),
+n AS (SELECT min(value) AS noise FROM t WHERE s <= b AND s < f),
+p AS (SELECT value::DOUBLE AS p1 FROM t, n WHERE value > coalesce(noise, 0) ORDER BY s DESC, value LIMIT 1)
+SELECT noise::DOUBLE AS noise, p1, p1 * 2 AS p2, p1 * 3 AS p3, p1 * 4 AS p4 FROM n, p"""
+    )
     scores = {"gc": ("GC", None), "at": ("AT", None), "ga": (None, "GA"), "tc": (None, "TC"), "gt": (None, "GT"), "ac": (None, "AC")}
     run = lambda two: f"coalesce(list_sum(list_transform(list_filter(regexp_extract_all(kmer, '[{two}]+'), lambda x: contains(x, '{two[0]}') AND contains(x, '{two[1]}')), lambda x: length(x))), 0)"
     plain = lambda two: f"length(kmer) - length(replace(replace(kmer, '{two[0]}', ''), '{two[1]}', ''))"
@@ -250,16 +302,17 @@ def _lookups() -> None:
     _add("lookup_bed_runs", lambda s, d: lookup.bed_runs(found(s, d), K), base + f'SELECT ident, 0 AS db, min(p) AS "begin", max(p) + {K} AS "end" FROM (SELECT ident, p, p - row_number() OVER (PARTITION BY ident ORDER BY p) AS g FROM h) GROUP BY ident, g')
     _add("lookup_wig_count", lambda s, d: lookup.wig_count(found(s, d)), base + "SELECT ident, p + 1 AS pos, sum(value)::BIGINT AS value FROM h GROUP BY 1, 2")
     _add("lookup_wig_depth", lambda s, d: lookup.wig_depth(found(s, d), K), base + f"SELECT ident, b + 1 AS pos, count(*)::BIGINT AS value FROM (SELECT ident, unnest(range(p, p + {K})) AS b FROM h) GROUP BY 1, 2")
-    by_lang = f"WITH {_windows('w', _doc_sql(where=f'lang IN ({_IN})'))},\n{_windows('q', _BENCH_SQL)},\ndb AS (SELECT tag, kmer, count(*)::BIGINT AS value FROM w GROUP BY 1, 2)\n"
-    _add("lookup_bed_labels", lambda s, d: lookup.bed(lookup.hits(_bench(s, d), K, *_dbs(s, d)), K, list(LANGS)), by_lang + f'SELECT q.ident, p AS "begin", p + {K} AS "end", db.tag AS label FROM q JOIN db USING (kmer)')
+    by_tag = f"WITH {_windows('w', _doc_sql())},\n{_windows('q', _BENCH_SQL)},\ndb AS (SELECT tag, kmer, count(*)::BIGINT AS value FROM w GROUP BY 1, 2)\n"
+    _add("lookup_bed_labels", lambda s, d: lookup.bed(lookup.hits(_bench(s, d), K, *_dbs(s, d)), K, list(NAMES)), by_tag + f'SELECT q.ident, p AS "begin", p + {K} AS "end", {list(NAMES)}[db.tag + 1] AS label FROM q JOIN db USING (kmer)')
     forward = base.replace("SELECT kmer, count(*)::BIGINT AS value FROM w GROUP BY kmer", "SELECT f AS kmer, count(*)::BIGINT AS value FROM w GROUP BY 1")
     strands = f"SELECT q.ident, p + 1 AS pos, sum(value)::BIGINT AS value FROM (SELECT ident, p, f AS kmer FROM q UNION ALL SELECT ident, p, {_rc('f')} FROM q WHERE {_rc('f')} <> f) q JOIN db USING (kmer) GROUP BY 1, 2"
     _add("lookup_both_strands", lambda s, d: lookup.wig_count(lookup.hits(_bench(s, d), K, _db(s, d, strand="forward"), canonical_db=False)), forward + strands)
-    es = base.replace(_doc_sql(), _doc_sql(where="lang = 'es'"))
-    everything = "SELECT b.item_id AS ident, count(q.kmer)::BIGINT AS n_kmers, (SELECT count(*) FROM db)::BIGINT AS db_kmers, count(db.kmer)::BIGINT AS found FROM benchmark b LEFT JOIN q ON q.ident = b.item_id LEFT JOIN db ON db.kmer = q.kmer GROUP BY 1"
-    _add("lookup_existence", lambda s, d: lookup.existence(_bench(s, d), K, _db(s, d, "es")), es + everything)
-    rare = es.replace("WHERE value >= 20", "WHERE value = 1")
-    db1 = lambda s, d: values.select_value(_db(s, d, "es"), "equal-to", 1)
+    everything = "SELECT b.item_id AS ident, (SELECT count(*) FROM q WHERE q.ident = b.item_id)::BIGINT AS n_kmers, x.db, x.db_kmers, (SELECT count(*) FROM q JOIN db ON db.kmer = q.kmer AND db.tag = x.db WHERE q.ident = b.item_id)::BIGINT AS found FROM benchmark b, (SELECT tag::INT AS db, count(*)::BIGINT AS db_kmers FROM db GROUP BY 1) x"
+    _add("lookup_existence", lambda s, d: lookup.existence(_bench(s, d), K, *_dbs(s, d)), by_tag + everything)
+    lines = f"SELECT ident, ident || chr(9) || n_kmers || chr(9) || string_agg(db_kmers || chr(9) || found, chr(9) ORDER BY db) AS line FROM ({everything}) GROUP BY ident, n_kmers"
+    _add("lookup_existence_lines", lambda s, d: tracks.existence_lines(lookup.existence(_bench(s, d), K, *_dbs(s, d))), by_tag + lines)
+    rare = base.replace("WHERE value >= 20", "WHERE value = 1")
+    db1 = lambda s, d: values.select_value(_db(s, d), "equal-to", 1)
     seqs = f"(SELECT item_id AS ident, {_BROKEN} AS bases FROM benchmark)"
     _add("lookup_include", lambda s, d: lookup.include(_bench(s, d), K, db1(s, d)), rare + f"SELECT ident, bases, n AS n_kmers FROM {seqs} JOIN (SELECT ident, count(*)::BIGINT AS n FROM h GROUP BY 1) USING (ident)")
     _add("lookup_exclude", lambda s, d: lookup.include(_bench(s, d), K, db1(s, d), exclude=True), rare + f"SELECT ident, bases, 0::BIGINT AS n_kmers FROM {seqs} WHERE ident NOT IN (SELECT ident FROM h)")
@@ -267,6 +320,13 @@ def _lookups() -> None:
     mates = "SELECT doc_id AS ident, NULL AS tag, {0} AS q FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)".format(_BROKEN)
     paired = rare.rstrip() + f",\n{_windows('m', mates)},\nn AS (SELECT ident, count(*)::BIGINT AS n_kmers FROM (SELECT ident FROM h UNION ALL SELECT m.ident FROM m JOIN db USING (kmer) WHERE value = 1) GROUP BY 1)\nSELECT ident, bases, q AS mate_bases, n_kmers FROM {seqs} LEFT JOIN ({mates}) USING (ident) JOIN n USING (ident)"
     _add("lookup_paired", lambda s, d: lookup.include(_bench(s, d), K, db1(s, d), mates=_docs(s, d).join(_bench(s, d).select("ident"), "ident", "left_semi")), paired)
+    third = lambda df, order: sequences.numbered(df.withColumnRenamed("ident", "o"), order).select("ident", "bases")
+    by_order = f"WITH n1 AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS ident, {_BROKEN} AS q FROM benchmark), n2 AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS ident, {_BROKEN.replace('text', 'url')} AS q FROM pages),\n{_windows('w', _doc_sql())},\n{_windows('x', 'SELECT ident, 0 AS tag, q FROM n1')},\n{_windows('y', 'SELECT ident, 0 AS tag, q FROM n2')},\ndb AS (SELECT kmer FROM w GROUP BY kmer HAVING count(*) = 1),\nn AS (SELECT ident, count(*)::BIGINT AS n_kmers FROM (SELECT ident, kmer FROM x UNION ALL SELECT ident, kmer FROM y) JOIN db USING (kmer) GROUP BY 1)\nSELECT ident, n1.q AS bases, n2.q AS mate_bases, n_kmers FROM n1 FULL JOIN n2 USING (ident) JOIN n USING (ident)"
+    _add(
+        "lookup_paired_by_order",
+        lambda s, d: lookup.include(third(_bench(s, d), "o"), K, db1(s, d), mates=third(_table(s, d, "pages").select(F.col("page_id").alias("ident"), sequences.broken_bases("url").alias("bases")), "o")),
+        by_order,
+    )
     talk = f"SELECT conv_id * 1000 + turn AS ident, NULL AS tag, {_BROKEN} AS q FROM conversations"
     pos = f"WITH {_windows('r', _BENCH_SQL)},\n{_windows('q', talk)}\n"
     turns = lambda s, d: _table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ident"), sequences.broken_bases().alias("bases"))
@@ -275,6 +335,7 @@ def _lookups() -> None:
         lambda s, d: lookup.hits_per_query(_bench(s, d), turns(s, d), K),
         pos + f", v AS (SELECT kmer, count(*) AS value FROM r GROUP BY 1), n AS (SELECT ident, sum(value) AS a, count(*) AS b FROM q JOIN v USING (kmer) GROUP BY 1) SELECT t.ident, length(t.q)::BIGINT AS length, coalesce(a, 0)::BIGINT AS n_ref, coalesce(b, 0)::BIGINT AS n_hits FROM ({talk}) t LEFT JOIN n USING (ident)",
     )
+    _add("pos_hits", lambda s, d: lookup.hit_table(_bench(s, d), turns(s, d), K), pos + "SELECT q.ident AS qry, q.p AS qry_pos, r.ident AS ref, r.p AS ref_pos FROM q JOIN r USING (kmer)")
     _add("pos_mers_per_base", lambda s, d: lookup.mers_per_base(_bench(s, d), turns(s, d), K), pos + "SELECT r.ident AS ref, r.p AS ref_pos, n FROM r JOIN (SELECT kmer, count(*)::BIGINT AS n FROM q GROUP BY 1) USING (kmer)")
     _add("pos_queries_per_base", lambda s, d: lookup.queries_per_base(_bench(s, d), turns(s, d), K), pos + "SELECT r.ident AS ref, r.p AS ref_pos, n FROM r JOIN (SELECT kmer, count(DISTINCT ident)::BIGINT AS n FROM q GROUP BY 1) USING (kmer)")
     _add("segment", lambda s, d: sequences.segment(_docs(s, d), "ident", 2, 3), f"WITH s AS (SELECT doc_id AS ident, {_BROKEN} AS bases FROM documents), c AS (SELECT *, sum(length(bases)) OVER (ORDER BY ident) - length(bases) AS base_no, sum(length(bases)) OVER () // 3 AS size FROM s) SELECT ident, bases FROM c WHERE least(base_no // size, 2) = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, canonical_acgt, reverse_complement, saturate, sort_key
+from .order import ranged
 
 
 def write_dataset(db: DataFrame, path: str, buckets: int | None = None) -> None:
@@ -35,20 +36,39 @@ def read_histogram(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="value long, occurrences long")
 
 
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """(line, word1, word2, word3) of a text file, for import_list().
+
+    line grows along the file: where the split begins, and how many lines precede in the split, which
+    are fewer than its bytes.
+    """
+    raw = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    words = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    return raw.select((F.input_file_block_start() + row).alias("line"), *[F.get(words, F.lit(i)).alias(f"word{i + 1}") for i in range(3)])
+
+
 def import_list(lines: DataFrame, strand: str = "canonical", multiset: bool = False) -> DataFrame:
     """(kmer, value, label) from lines (line, word1, word2, word3): a k-mer, an optional value and an optional label.
 
     ``#N``, or ``value=N`` and ``label=N``, set the value or label of the lines that follow without
     one.  Duplicates are summed, their labels or-ed, unless multiset keeps them.  Directives need the
-    order of lines, so a list that has any is one ordered run; without, nothing is sorted.
+    order of lines: a list that has any is cut into ranges of lines, and the last directives of each
+    are carried to the next; without, nothing is sorted.
     """
     w1 = F.col("word1")
     is_value, is_label = w1.rlike("^(#|value=)[0-9]+$"), w1.rlike("^label=[0-9]+$")
     number = F.regexp_extract(w1, "([0-9]+)$", 1).cast("long")
     marked = lines.withColumn("_v", F.when(is_value, number)).withColumn("_l", F.when(is_label, number))
     if marked.where(is_value | is_label).limit(1).count():
-        w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-        marked = marked.withColumn("_v", F.last("_v", True).over(w)).withColumn("_l", F.last("_l", True).over(w))
+        marked = ranged(marked, "line")
+        last = marked.where(is_value | is_label).groupBy("part").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(c) for c in ("_v", "_l")])
+        every = marked.select("part").distinct().join(last, "part", "left")  # a row for each range
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = every.select("part", F.last("_v", True).over(before).alias("_cv"), F.last("_l", True).over(before).alias("_cl"))
+        w = Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+        marked = marked.withColumn("_v", F.last("_v", True).over(w)).withColumn("_l", F.last("_l", True).over(w)).join(F.broadcast(carried), "part")
+        marked = marked.withColumn("_v", F.coalesce("_v", "_cv")).withColumn("_l", F.coalesce("_l", "_cl"))
     rows = marked.where(~(is_value | is_label)).select(
         stranded(F.upper("word1"), strand).alias("kmer"), F.coalesce(F.col("word2").cast("long"), "_v", F.lit(1)).alias("value"), F.coalesce(F.col("word3").cast("long"), "_l", F.lit(0)).alias("label")
     )

@@ -2,35 +2,137 @@
 
 from __future__ import annotations
 
+import lzma
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 LETTERS = string.ascii_lowercase
 BASES = ("ACGT" * 7)[:26]
 
 
+def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(value) of the records of text files; xz files are taken whole by a task each."""
+    if not path.endswith(".xz"):
+        return spark.read.option("lineSep", sep).text(path)
+
+    def f(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                records = lzma.decompress(content.as_py()).decode().split(sep)
+                for at in range(0, len(records), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(records[at : at + 1000], pa.string())], names=["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(f, "value string")
+
+
+def _written(records: DataFrame) -> DataFrame:
+    """Records that aren't white space alone."""
+    return records.where(F.col("value").rlike(r"\S"))
+
+
+def _right_trimmed(c):
+    return F.regexp_replace(c, r"\s+$", "")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(ident, bases) of FASTA files (also .gz and .bz2); records are split by Spark's reader, not collected by file."""
-    raw = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''")
+    """(ident, bases) of FASTA files (also .gz, .bz2 and .xz); records are split by Spark's reader, not collected by file."""
     record = F.regexp_replace("value", "^>", "")
     head = F.substring_index(record, "\n", 1)
     body = F.substring(record, F.length(head) + 2, F.length(record))
-    return raw.select(F.trim(head).alias("ident"), F.upper(F.regexp_replace(body, r"\s", "")).alias("bases"))
+    return _written(_records(spark, path, "\n>")).select(F.trim(_right_trimmed(head)).alias("ident"), F.upper(F.regexp_replace(body, r"\s", "")).alias("bases"))
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """(ident, bases) of files with a sequence a line and no names: ident is null."""
+    return _written(_records(spark, path, "\n")).select(F.lit(None).cast("string").alias("ident"), F.upper(F.regexp_replace("value", r"\s", "")).alias("bases"))
+
+
+def _fastq(batches):
+    """Records (ident, bases, quals) of pieces cut before each @ that begins a line, in the order of their file.
+
+    Such an @ may begin the qualities, too; these follow a piece of three lines.  A task's first and
+    last pieces may belong to other tasks: they go out as rows of a kind of their own.
+    """
+    names = ("kind", "file", "block", "ident", "bases", "quals")
+    where, three = None, None
+    out: list[tuple] = []
+
+    def table():
+        kinds = (pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        out.clear()
+        return done
+
+    for batch in batches:
+        for value, file, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, block) != where:
+                if three:
+                    out.append((1, *where, *three, None))
+                where, three = (file, block), None
+            lines = [x.rstrip("\r") for x in value.split("\n")]
+            if len(lines) >= 4 or (len(lines) == 3 and lines[2].startswith("+") and not three):
+                if not three and lines[0].startswith("@"):
+                    lines[0] = lines[0][1:]
+                three = (lines[0].strip(), lines[1].strip().upper())
+                if len(lines) >= 4:
+                    out.append((0, file, block, *three, lines[3].strip()))
+                    three = None
+            elif three:
+                out.append((0, file, block, *three, "@" + lines[0].strip()))
+                three = None
+            else:
+                out.append((2, file, block, None, None, "@" + lines[0].strip()))
+            if len(out) >= 1000:
+                yield table()
+    if three:
+        out.append((1, *where, *three, None))
+    if out:
+        yield table()
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(ident, bases, quals) of four-line FASTQ files; quals is null where its line begins with @, which also begins records."""
-    raw = spark.read.option("lineSep", "\n@").text(path).where("trim(value) <> ''")
-    lines = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    return raw.select(lines.alias("l")).where("size(l) >= 3 and startswith(l[2], '+')").select(F.trim(F.col("l")[0]).alias("ident"), F.upper(F.trim(F.col("l")[1])).alias("bases"), F.trim(F.get("l", F.lit(3))).alias("quals"))
+    """(ident, bases, quals) of four-line FASTQ files (also .gz, .bz2 and .xz), whatever their qualities begin with.
+
+    Where a file is split between a record's bases and qualities, the two meet by the place of the split.
+    """
+    raw = _records(spark, path, "\n@")
+    place = [F.lit(path).alias("file"), F.lit(0).cast("long").alias("block")] if path.endswith(".xz") else [F.input_file_name().alias("file"), F.input_file_block_start().alias("block")]
+    found = raw.select("value", *place).mapInArrow(_fastq, "kind int, file string, block long, ident string, bases string, quals string")
+    w = Window.partitionBy("file").orderBy("block", F.desc("kind"))  # at most two rows a split: its first piece, then its last
+    cut = found.where("kind > 0").withColumn("quals", F.lead("quals").over(w)).where("kind = 1")
+    return found.where("kind = 0").unionByName(cut).select("ident", "bases", "quals")
+
+
+def read_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """(ident, bases) of files that are FASTA, FASTQ or raw by how the first of them begins."""
+    first = _written(_records(spark, path, "\n")).limit(1).collect()
+    begins = first[0]["value"].lstrip()[:1] if first else ">"
+    return {">": read_fasta, "@": read_fastq}.get(begins, read_raw)(spark, path).select("ident", "bases")
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:
     sequences.select(F.concat(F.lit(">"), F.col("ident").cast("string"), F.lit("\n"), "bases").alias("value")).write.text(path)
 
 
+def write_found(sequences: DataFrame, path: str) -> None:
+    """Sequences (ident, bases, n_kmers[, quals]) as FASTA, or as FASTQ where quals isn't null; the number found follows the name."""
+    head = F.concat(F.col("ident").cast("string"), F.lit(" nKmers="), F.col("n_kmers").cast("string"), F.lit("\n"), F.col("bases"))
+    record = F.concat(F.lit(">"), head)
+    if "quals" in sequences.columns:
+        record = F.when(F.col("quals").isNull(), record).otherwise(F.concat(F.lit("@"), head, F.lit("\n+\n"), "quals"))
+    sequences.select(record.alias("value")).write.text(path)
+
+
+def numbered(sequences: DataFrame, order: str) -> DataFrame:
+    """The sequences with ident: the number of the record in the order, from 0."""
+    return running(sequences.drop("ident"), order, F.lit(1).cast("long")).withColumnRenamed("before", "ident")
+
+
 def broken_bases(text: str = "text"):
     """Prose as bases: letters map to ACGT in turn, all else to N, which breaks k-mers."""
     return F.regexp_replace(F.translate(F.lower(text), LETTERS, BASES), "[^ACGT]", "N")
@@ -42,18 +144,8 @@ def unbroken_bases(text: str = "text"):
 
 
 def segment(sequences: DataFrame, order: str, n: int, m: int) -> DataFrame:
-    """Segment n (from 1) of m: the sequences, in order, by their share of all bases; the last takes what is left.
-
-    The running total is taken over blocks of the order column's hash-free ranges: each range's total
-    is summed first, and only within ranges is a window used.
-    """
+    """Segment n (from 1) of m: the sequences, in order, by their share of all bases; the last takes what is left."""
     total = sequences.agg(F.sum(F.length("bases")).alias("total")).first()["total"] or 0
     size = max(1, total // m)
-    ranged = sequences.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_n", F.length("bases").cast("long"))
-    from pyspark.sql import Window
-
-    before = ranged.groupBy("_part").agg(F.sum("_n").alias("_sum"))
-    before = before.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    w = Window.partitionBy("_part").orderBy(order)
-    placed = ranged.join(before, "_part").withColumn("_at", F.col("_before") + F.sum("_n").over(w) - F.col("_n"))
-    return placed.where(F.least(F.floor(F.col("_at") / size), F.lit(m - 1)) == n - 1).select(sequences.columns)
+    placed = running(sequences, order, F.length("bases").cast("long"))
+    return placed.where(F.least(F.floor(F.col("before") / size), F.lit(m - 1)) == n - 1).select(sequences.columns)
