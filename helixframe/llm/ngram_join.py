@@ -291,6 +291,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     members = members.groupBy("cluster", "below", F.col("b").alias("d1"), F.col("c").alias("d2")).agg(F.min("of").alias("of"))
     members = _with_own_class(members.withColumn("id", F.col("of") + F.col("below")))
     members = scratch.table(members.join(classes, ["d1", "d2"]).select("cluster", "id", "doc", "hash", "d1", "d2", "n"), "members")
+    scratch.drop(names)
+    scratch.drop(nodes)
 
     def ship(part: DataFrame) -> DataFrame:
         bitmap = spark.sparkContext.broadcast(membership(part, "doc"))

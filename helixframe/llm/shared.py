@@ -15,6 +15,7 @@ from .packing import squeeze, unsqueeze
 
 MOST_BITS = 28  # of a filter: 32 MB
 PART = 1024  # words of a filter that one row holds
+FEW = 1 << 18  # links that one task may take together, 4 MB
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -159,7 +160,8 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 
     Distributed union-find by alternating large-star and small-star steps, until all links are stars.
     Each step is two aggregations and a join whose skewed keys Spark can split; no component meets in
-    one task.  Before, each task makes stars of the links that it has, which leaves fewer.
+    one task.  Before, each task makes stars of the links that it has, which leaves fewer.  As soon as
+    there are FEW links or fewer, one task takes them all.
     """
     edges = scratch.table(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct(), "edges")
     state = None
@@ -167,6 +169,10 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state or now[0] == 0:
             break
+        if now[0] <= FEW:
+            old, edges = edges, scratch.table(edges.coalesce(1).mapInArrow(_contracted, "a long, b long"), "edges")
+            scratch.drop(old)
+            break
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -404,4 +404,5 @@ def exact_components(
     b = large.join(chunks, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"), F.lit(False).alias("rest"), "root", "feats")
     links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den, features), "a long, b long")
     links = scratch.table(links.unionByName(met.select(F.col("root").alias("a"), F.col("hub").alias("b"))), "links")
+    scratch.drop(large)
     return out.unionByName(solved.select("id", "root")).unionByName(links.select(F.col("a").alias("id"), F.col("b").alias("root")))

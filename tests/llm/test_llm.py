@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from helixframe.llm import archives, decontamination, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, simjoin, substring_dedup
+from helixframe.llm import archives, decontamination, language_id, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, shared, simjoin, substring_dedup
 from helixframe.llm import text as T
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,8 +58,10 @@ def components_of(sets, num, den):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_ngram_join(spark, corpus, block):
+@pytest.mark.parametrize(("block", "few"), [(2048, 1 << 18), (4, 0)])
+def test_ngram_join(spark, corpus, monkeypatch, block, few):
+    monkeypatch.setattr(shared, "FEW", few)
+
     def shingles(t):
         w = WORD.findall((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
         return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
