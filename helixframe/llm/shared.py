@@ -155,24 +155,13 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); root is the smallest node that can be reached.
-
-    Distributed union-find by alternating large-star and small-star steps, until all links are stars.
-    Each step is two aggregations and a join whose skewed keys Spark can split; no component meets in
-    one task.  Before, each task makes stars of the links that it has, which leaves fewer.  As soon as
-    there are FEW links or fewer, one task takes them all.
-    """
-    edges = scratch.table(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+def _stars(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(node, root) by alternating large-star and small-star steps, for links that leave no small number of roots."""
     state = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state or now[0] == 0:
             break
-        if now[0] <= FEW:
-            old, edges = edges, scratch.table(edges.coalesce(1).mapInArrow(_contracted, "a long, b long"), "edges")
-            scratch.drop(old)
-            break
         state = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -182,8 +171,34 @@ def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         old, edges = edges, scratch.table(small, "edges")
         scratch.drop(old)
-        # stars: no node has two links, none that others link to has one itself
-        more = edges.select("a").unionByName(edges.select(F.col("b").alias("a")).distinct()).groupBy("a").count().where("count > 1")
-        if not more.limit(1).count():
-            break
+    return _rooted(edges)
+
+
+def _rooted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def connected_components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b); root is the smallest node that can be reached.
+
+    Distributed union-find by levels.  Each task makes stars of the links that it has.  A node with
+    roots from several tasks takes the least of them, and links the others to it; so does a root that
+    has a root elsewhere.  These links between roots, which are far fewer, are the next level.  A node
+    has one link a task at most, so that no key is hot, and no component meets in one task.  As soon
+    as there are FEW links or fewer, one task takes them all; links that leave more than half as many
+    between roots, such as long chains, go through large-star and small-star steps instead.
+    """
+    edges = scratch.table(edges.where("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+    n = edges.count()
+    if n <= FEW:
+        return _rooted(scratch.table(edges.coalesce(1).mapInArrow(_contracted, "a long, b long"), "edges"))
+    least = scratch.table(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    roots = edges.select("b").distinct()
+    between = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    between = between.unionByName(least.join(roots.select(F.col("b").alias("a")), "a", "left_semi").select("a", F.col("m").alias("b")))
+    between = scratch.table(between.distinct(), "between")
+    if between.count() > n / 2:
+        return _stars(scratch, edges)
+    upper = connected_components(scratch, between).select(F.col("node").alias("r"), F.col("root").alias("to"))
+    nodes = least.select(F.col("a").alias("node"), "m").unionByName(roots.join(least.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("b").alias("node"), F.col("b").alias("m")))
+    return nodes.join(upper, nodes["m"] == upper["r"], "left").select("node", F.coalesce("to", "m").alias("root"))

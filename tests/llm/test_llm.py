@@ -227,6 +227,25 @@ def test_long_texts_are_cut():
     assert (hi - lo).max() <= substring_dedup.RUN and lo[0] == 0 and hi[-1] == len(h) - 49 and (lo[1:] == hi[:-1]).all()
 
 
+def test_distributed_union_find(spark, monkeypatch):
+    rng = random.Random(20)
+    chain = list(range(5000, 5400))
+    rng.shuffle(chain)
+    graphs = {
+        "random": [(rng.randrange(2000), rng.randrange(2000)) for _ in range(1200)],
+        "chain": list(zip(chain, chain[1:], strict=False)),
+        "stars": [(x, x % 7) for x in range(7, 900)] + [(3, 5)],
+        "none": [(4, 4)],
+    }
+    monkeypatch.setattr(shared, "FEW", 0)
+    for links in graphs.values():
+        df = spark.createDataFrame(links, "a long, b long").repartition(6)
+        found = shared.connected_components(shared.Scratch(spark, "t"), df).collect()
+        links = np.array([x for x in links if x[0] != x[1]] or np.zeros((0, 2)), np.int64)
+        node, root = shared.least_reached(links[:, 0], links[:, 1])
+        assert sorted((r["node"], r["root"]) for r in found) == list(zip(node.tolist(), root.tolist(), strict=True))
+
+
 def test_components():
     from helixframe.llm.shared import least_reached
 
@@ -621,6 +640,60 @@ def test_quality_classifier(spark):
     assert quality_classifier.fit_quality(docs, labels.where("false")).bias == 0
 
 
+CLASHES = ("hash", "d1", "cluster", "n", "row", "nats", "low", "kept", "lang_pred", "score", "found", "more", "quality_score", "size", "block", "target", "draws", "place", "key", "gone", "lines", "removed", "id", "c0", "n_lines", "n_removed", "__gone__", "item_id", "spans", "run", "words", "shard")
+
+
+def test_columns_of_any_name_pass_or_are_ignored(spark):
+    """Each operator and stage on a table whose other columns have the names that it uses itself: the same rows, and the columns kept."""
+    rng = random.Random(18)
+    texts = [prose(rng, 60, 200) for _ in range(8)] + [None, "", "one"]
+    texts += [texts[0], texts[1] + " x", f"card 4111 1111 1111 1111\n{texts[2]}"]
+    plain = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = plain.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in CLASHES])
+    index = decontamination.build_index(spark.createDataFrame([(0, texts[3], "x")], "item_id long, text string, score string"))
+    model = quality_classifier.Model(np.zeros(1 << quality_classifier.BITS, np.float32), 0.5)
+    net = language_id.Network(["en", "fr"])
+    rows = lambda df, columns: sorted(map(str, df.select(*columns).collect()))
+    for f in (
+        ngram_join.ngram_jaccard_components,
+        quality_rules.quality_rules,
+        lambda d: language_id.predict_languages(d, net).select("doc_id", "lang_pred", "score"),
+        pii.find_personal_data,
+        lambda d: quality_classifier.score_quality(d, model).select("doc_id", "quality_score"),
+        mixing.mix_sources,
+        lambda d: line_dedup.dedup_lines(d, counts=True).select("doc_id", "text", "n_lines", "n_removed"),
+        lambda d: decontamination.benchmark_matches(d, index),
+        substring_dedup.remove_repeated_windows,
+    ):
+        want = f(plain)
+        got = f(clash)
+        assert got.columns == want.columns and rows(got, want.columns) == rows(want, want.columns)
+    for f in (ngram_join.keep_one_of_each_group, lambda d: quality_classifier.keep_quality(d, model), line_dedup.dedup_lines, lambda d: decontamination.remove_contaminated(d, index)):
+        got = f(clash)
+        assert got.columns == clash.columns and rows(got, plain.columns) == rows(f(plain), plain.columns)
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got.collect() for c in CLASHES)
+
+
+def test_a_long_text_of_each_operator(spark):
+    """A text of 3 MB among short ones: whole texts are worked on."""
+    rng = random.Random(19)
+    tail = prose(rng, 70, 5000)
+    long = "\n".join(prose(rng, 12, 5000) for _ in range(45_000)) + "\n" + tail
+    texts = [prose(rng, 80, 5000), long, tail + " mail a.b@c.org", long]
+    docs = docs_of(spark, texts)
+    words = [len(WORD.findall(t)) for t in texts]
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_components(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 1}
+    assert {r["doc_id"]: r["n_words"] for r in quality_rules.quality_rules(docs).collect()} == dict(enumerate(words))
+    assert {r["doc_id"]: r["n_email"] for r in pii.find_personal_data(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0}
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeated_windows(docs).collect()}
+    assert removed[2] == 70 and removed[3] == words[3] and removed[0] == removed[1] == 0
+    gone = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(docs, drop_emptied=False, counts=True).collect()}
+    assert gone[1][0] == 45_001 and gone[3] == (45_001, 45_001)
+    index = decontamination.build_index(spark.createDataFrame([(5, tail)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in decontamination.benchmark_matches(docs, index).collect()) == [1, 2, 3]
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_sources(docs).collect()} == dict(enumerate(words))
+
+
 def test_words_of_long_rows():
     rng = random.Random(3)
     text = "".join(rng.choice("ab \n\té") for _ in range(400_000)) + " " + "x" * 1_200_000
