@@ -197,9 +197,8 @@ def _signed(k: int, num: int, den: int, common, how: Layout):
 
     def found(batches):
         seen: set[tuple[int, int]] = set()
-        n = 0
+        s, x, names, size, n = [], [], [], 0, 0
         for batch in batches:
-            s, x, names = [np.zeros(0, U64)], [np.zeros(0, np.int64)], []
             for _, u in _sets(batch, k):
                 d = _digest(u)
                 if d in seen:
@@ -212,9 +211,12 @@ def _signed(k: int, num: int, den: int, common, how: Layout):
                     s.append(sig)
                     x.append(2 * n + below.astype(np.int64))
                     names.append(d)
-                    n += 1
-            if names:
-                yield np.concatenate(s), np.concatenate(x), np.array(names, np.int64)
+                    size, n = size + len(sig), n + 1
+                if size > 500_000:
+                    yield np.concatenate(s), np.concatenate(x), np.array(names, np.int64)
+                    s, x, names, size = [], [], [], 0
+        if names:
+            yield np.concatenate(s), np.concatenate(x), np.array(names, np.int64)
 
     return lambda batches: packed(found(batches), how)
 

@@ -38,7 +38,7 @@ HELD = 2_000_000  # pairs that a task sorts at once
 IN_BUCKET = 300_000  # pairs, about
 FREQUENT = 1 << 16  # a pair is frequent if it is one of so many or fewer; so that there are at most so many
 PARTS = 64  # in which arrays over all slots are added up
-SPREADS = 4.0  # interquartile ranges by which a band goes beyond the quartiles
+SPREADS = (6.0, 4.0)  # how many times as far as from the median to a quartile the band goes beyond it, below and above
 LEAST_SPREAD = 0.1  # nats
 SMALL = 30  # documents of a language under which there is no band
 MOST_LANGUAGES = 10_000  # up to so many bands are broadcast
@@ -375,16 +375,17 @@ def _searched(shared):
     return f
 
 
-def quality_rules(docs: DataFrame, spreads: float = SPREADS) -> DataFrame:
+def quality_rules(docs: DataFrame, spreads: tuple[float, float] = SPREADS) -> DataFrame:
     """Base counts, perplexity and verdict for each row of docs (doc_id, text, lang, ...).
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
     (n_words < 50, or 100 * n_repeat_words > 50 * n_words), kept, perplexity (of a word; null without
-    words), low and high (the language's band).  A band reaches ``spreads`` interquartile ranges of
-    log-perplexity beyond the quartiles of the documents that pass the base rules; languages with
-    fewer than SMALL such documents have none and reject nothing.  A null language is one of its own.
-    A null text is empty.  Repeated rows are documents of their own, as are rows without doc_id.
-    Other columns are ignored; an empty table gives an empty result.
+    words), low and high (the language's band).  A band is made of the log-perplexities of the documents
+    that pass the base rules: it reaches beyond either quartile, ``spreads`` times as far as that is
+    from the median.  Copies have low ones, so that both sides differ.  Languages with fewer than
+    SMALL such documents have none and reject nothing.  A null language is one of its own.  A null
+    text is empty.  Repeated rows are documents of their own, as are rows without doc_id.  Other
+    columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality-rules")
@@ -399,9 +400,9 @@ def quality_rules(docs: DataFrame, spreads: float = SPREADS) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     nats = F.when(F.col("n_words") > 0, -(F.col("log_p") + F.coalesce("more", F.lit(0.0))) / F.col("n_words"))
     stats = scratch.table(stats.withColumn("base_failed", failed).withColumn("nats", nats).drop("row", "log_p", "more"), "stats")
-    bands = stats.where("not base_failed").groupBy("lang").agg(F.percentile_approx("nats", [0.25, 0.75], 10_000).alias("q"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= SMALL)
-    spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(LEAST_SPREAD)) * spreads
-    bands = scratch.table(bands.select("lang", F.exp(F.col("q")[0] - spread).alias("low"), F.exp(F.col("q")[1] + spread).alias("high")), "bands")
+    bands = stats.where("not base_failed").groupBy("lang").agg(F.percentile_approx("nats", [0.25, 0.5, 0.75], 10_000).alias("q"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= SMALL)
+    below, above = (F.greatest(F.col("q")[i + 1] - F.col("q")[i], F.lit(LEAST_SPREAD)) * spreads[i] for i in (0, 1))
+    bands = scratch.table(bands.select("lang", F.exp(F.col("q")[0] - below).alias("low"), F.exp(F.col("q")[2] + above).alias("high")), "bands")
     if bands.count() <= MOST_LANGUAGES:
         bands = F.broadcast(bands)
     out = stats.join(bands, "lang", "left").withColumn("perplexity", F.exp("nats"))
