@@ -339,42 +339,65 @@ def _scored(shared, half: int):
     return f
 
 
-_SCORED = f"row long, doc_id long, lang long, {', '.join(f'{c} long' for c in _COUNTED)}, log_p double"
+_SCORED = f"doc_id long, lang long, {', '.join(f'{c} long' for c in _COUNTED)}, log_p double"
 
 
 def _searched(shared):
-    """What the pairs of a bucket that its array has add to the sums of their texts (rows with log_p only), and the texts."""
+    """What the pairs of a bucket that its array has add to the sums of their texts, packed by the task that read these; and the texts as they come."""
 
-    def added(rows, more):
-        row, at = np.unique(np.concatenate(rows), return_inverse=True)
-        nothing = {c: pa.nulls(len(row), pa.int64()) for c in ("doc_id", "lang", *_COUNTED)}
-        return T.rows(row=row, **nothing, log_p=np.bincount(at, np.concatenate(more)))
+    def added(sums):
+        out = []
+        for base, held in sums.items():
+            row, at = np.unique(np.concatenate([r for r, _ in held]), return_inverse=True)
+            more = np.bincount(at, np.concatenate([x for _, x in held])).astype(np.float32)
+            out.append((base, pack(row, more.view(np.uint32))))
+        return _rows([_PAIRS] * len(out), [x >> 32 for x, _ in out], [x for x, _ in out], [x for _, x in out])
 
     def f(batches):
         lower = shared.value
-        rows, sums, size = [], [], 0
+        sums, size = {}, 0
         for _, held in _buckets(batches):
-            keys = [unpack(blob) for kind, _, blob in held if kind == _MODEL]
+            array = next((unpack(blob) for kind, _, blob in held if kind == _MODEL), None)
+            texts = [(base, blob) for kind, base, blob in held if kind == _TEXTS]
+            if texts:
+                yield _rows([_TEXTS] * len(texts), [x >> 32 for x, _ in texts], [x for x, _ in texts], [x for _, x in texts])
             for kind, base, blob in held:
-                if kind == _TEXTS:
-                    t = np.frombuffer(unsqueeze(blob), np.int64).reshape(-1, 3 + len(_COUNTED) + 1).T.copy()
-                    doc = pa.array(t[1], mask=t[0] == 0)
-                    yield T.rows(row=base + np.arange(t.shape[1]), doc_id=doc, lang=t[2], **{c: t[3 + k] for k, c in enumerate(_COUNTED)}, log_p=t[-1].view(np.float64))
-                elif kind == _PAIRS and keys:
+                if kind == _PAIRS and array is not None:
                     key, row = unpack(blob)
-                    there, more = lower.find(key, keys[0])
-                    rows.append(base + row[there].astype(np.int64))
-                    sums.append(more)
-                    size += len(more)
+                    there, more = lower.find(key, array)
+                    if len(more):
+                        sums.setdefault(base, []).append((row[there].astype(np.int64), more))
+                        size += len(more)
             if size > HELD:
-                yield added(rows, sums)
-                rows, sums, size = [], [], 0
-        if size:
-            yield added(rows, sums)
+                yield added(sums)
+                sums, size = {}, 0
+        if sums:
+            yield added(sums)
 
     return f
 
 
+def _summed(batches):
+    """The texts of each task with their sums; rows come sorted by the task, sums before texts."""
+    part, sums = None, np.zeros(0)
+    for batch in batches:
+        for kind, bucket, base, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "base", "blob")), strict=True):
+            if bucket != part:
+                part, sums = bucket, np.zeros(0)
+            if kind == _PAIRS:
+                row, more = unpack(blob)
+                row = row.astype(np.int64)
+                if len(row) and row[-1] >= len(sums):
+                    sums = np.append(sums, np.zeros(int(row[-1]) + 1 + len(sums)))
+                sums[row] += more.astype(np.uint32).view(np.float32)
+                continue
+            t = np.frombuffer(unsqueeze(blob), np.int64).reshape(-1, 3 + len(_COUNTED) + 1).T.copy()
+            at, more = base & 0xFFFFFFFF, np.zeros(t.shape[1])
+            some = sums[at : at + len(more)]
+            more[: len(some)] = some
+            yield T.rows(doc_id=pa.array(t[1], mask=t[0] == 0), lang=t[2], **{c: t[3 + k] for k, c in enumerate(_COUNTED)}, log_p=t[-1].view(np.float64) + more)
+
+
 def quality_rules(docs: DataFrame, spreads: tuple[float, float] = SPREADS) -> DataFrame:
     """Base counts, perplexity and verdict for each row of docs (doc_id, text, lang, ...).
 
@@ -394,12 +417,12 @@ def quality_rules(docs: DataFrame, spreads: tuple[float, float] = SPREADS) -> Da
     model, lower = kneser_ney(scratch, docs, half)
     shared = spark.sparkContext.broadcast(lower)
     sent = docs.mapInArrow(_scored(shared, half), _ROWS).unionByName(model)
-    scored = scratch.table(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_searched(shared), _SCORED), "scored")
-    more = scored.where("n_words is null").groupBy("row").agg(F.sum("log_p").alias("more"))
-    stats = scored.where("n_words is not null").join(more, "row", "left")
+    scored = scratch.table(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_searched(shared), _ROWS), "scored")
+    stats = scored.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_summed, _SCORED)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    nats = F.when(F.col("n_words") > 0, -(F.col("log_p") + F.coalesce("more", F.lit(0.0))) / F.col("n_words"))
-    stats = scratch.table(stats.withColumn("base_failed", failed).withColumn("nats", nats).drop("row", "log_p", "more"), "stats")
+    nats = F.when(F.col("n_words") > 0, -F.col("log_p") / F.col("n_words"))
+    stats = scratch.table(stats.withColumn("base_failed", failed).withColumn("nats", nats).drop("log_p"), "stats")
+    scratch.drop(scored)
     bands = stats.where("not base_failed").groupBy("lang").agg(F.percentile_approx("nats", [0.25, 0.5, 0.75], 10_000).alias("q"), F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= SMALL)
     below, above = (F.greatest(F.col("q")[i + 1] - F.col("q")[i], F.lit(LEAST_SPREAD)) * spreads[i] for i in (0, 1))
     bands = scratch.table(bands.select("lang", F.exp(F.col("q")[0] - below).alias("low"), F.exp(F.col("q")[2] + above).alias("high")), "bands")
