@@ -9,6 +9,7 @@ from .archives import archive_pages
 from .decontamination import benchmark_matches, build_index
 from .language_id import fit_languages, predict_languages
 from .line_dedup import dedup_lines
+from .minhash import minhash_components
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .pii import find_personal_data
@@ -28,10 +29,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_read(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
-OP1_SQL = f"""
+def _near_sql(k: int) -> str:
+    """Components of documents linked by k-word shingles at 0.85."""
+    return f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({LOWER}, {WORDS}), []) AS ws FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-      ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i+{k - 1}], ' ')) END) AS sh FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o
       FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
@@ -41,6 +44,16 @@ r AS (SELECT doc_id AS d, doc_id AS t FROM documents UNION SELECT r.d, b.y FROM
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(r.t) AS component_id FROM s JOIN r ON r.d = s.doc_id GROUP BY 1, 2
 """
 
+
+OP1_SQL = _near_sql(4)
+OP13_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({_near_sql(3)})"
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = minhash_components(_read(spark, sf_dir, "documents"), n=3, num=85, den=100)
+    return near.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(_read(spark, sf_dir, "documents"), build_index(_read(spark, sf_dir, "benchmark")))
 
@@ -136,10 +149,12 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_minhash": op13_minhash,
 }
 SQL = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op6_mixing_sources": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op13_minhash": OP13_SQL,
 }
