@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archives import archive_pages
+from .conversation_trie import conversation_trie
 from .decontamination import benchmark_matches, build_index
 from .language_id import fit_languages, predict_languages
 from .line_dedup import dedup_lines
@@ -49,6 +50,39 @@ OP1_SQL = _near_sql(4)
 OP13_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({_near_sql(3)})"
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_read(spark, sf_dir, "conversations"), graft=True)
+
+
+def _crc32_sql(text: str) -> str:
+    """The CRC-32 of a string of digits."""
+    shifts = "list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {shifts}), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS g, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::BIGINT AS words FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS pos FROM g),
+c AS (SELECT conv_id, count(*) AS n, {_crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM o GROUP BY conv_id),
+i AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+r AS (SELECT conv_id, pos - h + k AS pos, g, words FROM o JOIN i USING (conv_id) WHERE pos > h
+      UNION ALL SELECT i.conv_id, o.pos, o.g, o.words FROM i JOIN o ON o.conv_id = i.conv_id - i.conv_id % 20 AND o.pos <= i.k),
+p AS (SELECT conv_id, pos AS depth, words, md5(string_agg(g, ',') OVER (PARTITION BY conv_id ORDER BY pos)) AS node FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+q AS (SELECT *, lag(node) OVER w AS parent, lead(node) OVER w IS NULL AS last FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+m AS (SELECT node, min(depth) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+      coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends FROM q GROUP BY node),
+ch AS (SELECT parent AS node, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY parent),
+n AS (SELECT m.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM m LEFT JOIN ch USING (node)),
+s AS (SELECT q.node, sum((n.n_children = 0)::INT) AS n_leaves, sum(n.saved) AS saved_tokens
+      FROM n JOIN q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY q.node)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN s USING (node) LEFT JOIN n u ON u.node = n.parent AND n.depth > 0
+"""
+
+
 def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = minhash_components(_read(spark, sf_dir, "documents"), n=3, num=85, den=100)
     return near.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -149,6 +183,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_minhash": op13_minhash,
 }
 SQL = {
@@ -156,5 +191,6 @@ SQL = {
     "op6_mixing_sources": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op12_conversation_trie": OP12_SQL,
     "op13_minhash": OP13_SQL,
 }
