@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .minhash import minhash_components
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
+from .periodic_runs import periodic_runs
 from .pii import find_personal_data
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import quality_rules
@@ -50,16 +51,73 @@ OP1_SQL = _near_sql(4)
 OP13_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({_near_sql(3)})"
 
 
-def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_trie(_read(spark, sf_dir, "conversations"), graft=True)
-
-
 def _crc32_sql(text: str) -> str:
     """The CRC-32 of a string of digits."""
     shifts = "list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: {shifts}), 4294967295)"
 
 
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h the crc32 of doc_id's digits and g = h div 10, texts with h % 10 = 0 repeat p of their n words from word a = g % n on, p = 1 + (n - a) div (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    some = docs.select("doc_id", "text", h.alias("h"), F.expr("h div 10").alias("g")).where("h % 10 = 0").withColumn("w", words).where("size(w) > 0")
+    some = some.withColumn("a", F.expr("g % size(w)")).withColumn("p", F.expr("1 + (size(w) - a) div (3 + g % 8)"))
+    some = some.select("doc_id", F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')").alias("text"))
+    rest = docs.select("doc_id", "text").where((h % 10 != 0) | F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return some.unionByName(rest)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(made_periodic(_read(spark, sf_dir, "documents")), least=24, times=3)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _op11_sql() -> str:
+    """Runs by windows of m words, m doubling: a run of period q in [m/2, m) meets its own windows again exactly q words on."""
+    levels = [16 << k for k in range(17)]
+    doubled = [f"h{m} AS (SELECT *, md5(h{m // 2} || lead(h{m // 2}, {m // 2}) OVER (PARTITION BY doc_id ORDER BY i)) AS h{m} FROM h{m // 2})" for m in levels[1:]]
+    met = [
+        f"SELECT doc_id, i, d, {m} AS m FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id, h{m} ORDER BY i) - i AS d FROM h{levels[-1]} WHERE h{m} IS NOT NULL) WHERE d >= {1 if m == 16 else m // 2} AND d < {m}"
+        for m in levels
+    ]
+    return f"""
+WITH c AS (SELECT doc_id, coalesce(regexp_extract_all(text, {WORDS}), []) AS w, {_crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
+a AS (SELECT *, (h // 10) % greatest(len(w), 1) AS a FROM c),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM a),
+t AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM p),
+h16 AS (SELECT doc_id, i, CASE WHEN i + 16 <= len(w) THEN md5(array_to_string(w[i + 1:i + 16], ' ')) END AS h16 FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM t)),
+{", ".join(doubled)},
+met AS ({" UNION ALL ".join(met)}),
+isles AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, m, d ORDER BY i) AS isle FROM met),
+r AS (SELECT doc_id, min(i) AS start, count(*) - 1 + m + d AS length, d AS period FROM isles GROUP BY doc_id, m, d, isle HAVING count(*) - 1 + m + d >= greatest(24, 3 * d)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM r),
+s AS (SELECT doc_id, count(*) AS n_runs, max(start) FILTER (WHERE place = 1) AS start, max(length) FILTER (WHERE place = 1) AS length, max(period) FILTER (WHERE place = 1) AS period,
+      string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, list_distinct(flatten(list(range(start + period, start + length)))) AS gone FROM b GROUP BY doc_id),
+g AS (SELECT doc_id, unnest(gone) AS i FROM s),
+k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY u.i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t) u ANTI JOIN g ON g.doc_id = u.doc_id AND g.i = u.i GROUP BY u.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN s ON s.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_read(spark, sf_dir, "conversations"), graft=True)
+
+
 OP12_SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 g AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS g, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::BIGINT AS words FROM t),
@@ -183,6 +241,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc": op9_warc,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_minhash": op13_minhash,
 }
@@ -191,6 +250,7 @@ SQL = {
     "op6_mixing_sources": OP6_SQL,
     "op9_warc": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
     "op12_conversation_trie": OP12_SQL,
     "op13_minhash": OP13_SQL,
 }
