@@ -3,8 +3,8 @@
 1. Each distinct set gets the minima of HASHES universal hash functions a * x + b modulo 2**32 over
    its shingles' hashes.  Minima are cut into bands; sets that agree in a whole band are candidates,
    whose components are clusters.
-2. Signatures are verified: within a cluster only sets stay together whose minima, as bytes, agree as
-   often as those of linked sets do but once in 10**9 times (see least_agreement).
+2. Signatures are verified: of the pairs in a cluster those are discarded whose minima, as bytes, agree
+   more rarely than those of linked sets do but once in 10**9 times (see least_agreement).
 3. What is left is confirmed on the full sets.
 4. The links' components come from alternating large-star and small-star steps.
 
@@ -16,17 +16,14 @@ ever less above it.  Shingles are told apart by 64-bit hashes, sets by 128 bits.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 from .ngram_join import _digest, _features, _sets, _sizes, _texts
-from .shared import Scratch, maybe_in, membership
-from .simjoin import PACKED, Layout, candidates, exact_components, layout, packed
+from .shared import Scratch, membership
+from .simjoin import PACKED, Layout, candidates, exact_components, layout, linked, packed
 from .skew import alternating_stars, hot_from, looked_up
 
 U64, U32 = np.uint64, np.uint32
@@ -109,49 +106,39 @@ def _banded(k: int, few: int, how: Layout):
     return lambda batches: packed(found(batches), how, 1)
 
 
-def _signed(k: int, bitmap):
-    """The minima, a byte each, of the documents that may be in the bitmap."""
+def agreeing(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Which columns of bytes of a and b agree in at least so many rows."""
+    count = np.zeros((a.shape[1], b.shape[1]), np.int16)
+    for x, y in zip(a, b, strict=True):
+        count += x[:, None] == y[None, :]
+    return count >= least
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            batch = batch.filter(pa.array(maybe_in(bitmap.value, ids)))
-            ids, hashes = batch.column("id").to_numpy(), batch.column("hash").to_numpy()
-            at, held, size = [], [], 0
 
-            def out():
-                blobs = [x.tobytes() for x in (minima(held) & U32(255)).astype(np.uint8).T]
-                return T.rows(doc=ids[at], hash=hashes[at], feats=pa.array(blobs, pa.binary()))  # noqa: B023
+def verified(sets: list[np.ndarray], num: int, den: int, others: list[np.ndarray] | None = None) -> np.ndarray:
+    """simjoin.linked() for the sets that have a partner by signature."""
+    low = (minima(sets) & U32(255)).astype(np.uint8)
+    low2 = low if others is None else (minima(others) & U32(255)).astype(np.uint8)
+    open_ = agreeing(low, low2, least_agreement(num, den))
+    if others is None:
+        np.fill_diagonal(open_, False)
+    done = np.zeros(open_.shape, bool)
+    x, y = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if len(x):
+        done[np.ix_(x, y)] = linked([sets[i] for i in x], num, den, None if others is None else [others[i] for i in y])
+    return done & open_
 
-            for r, u in _sets(batch, k):
-                at.append(r)
-                held.append(u)
-                size += len(u)
-                if size > TOGETHER:
-                    yield out()
-                    at, held, size = [], [], 0
-            if held:
-                yield out()
 
-    return f
-
-
-def _agreeing(blob: bytes) -> np.ndarray:
-    """Minima as features, of which two sets share as many as minima agree."""
-    return np.frombuffer(blob, np.uint8).astype(U64) + np.arange(HASHES, dtype=U64) * U64(256)
-
-
-def _banded_again(how: Layout, turn: int):
+def _banded_again(k: int, how: Layout, turn: int):
     """Signatures of rows (cluster, id, feats) from other bands of more minima; only sets of one cluster may meet."""
     rows, bands = AGAIN
-    rng = np.random.default_rng(turn)
+    rng, features = np.random.default_rng(turn), _features(k)
     drawn = np.concatenate([rng.choice(HASHES, rows, replace=False) for _ in range(bands)])
 
     def found(batches):
         n = 0
         for batch in batches:
             for cluster, i, blob in zip(*(batch.column(c).to_pylist() for c in ("cluster", "id", "feats")), strict=True):
-                s = _bands(np.frombuffer(blob, np.uint8)[drawn][:, None], rows, bands, turn + 1)[:, 0]
+                s = _bands(minima([features(blob)])[drawn], rows, bands, turn + 1)[:, 0]
                 yield T.mix(s ^ T.mix(np.array([cluster], np.int64).view(U64))), np.full(len(s), n), np.array([[i, cluster]], np.int64)
                 n += 1
 
@@ -188,24 +175,17 @@ def minhash_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     counted = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.table(looked_up(members, ["cluster"], counted, hot_from(held)), "members")
 
-    def shipped(reader):
-        def ship(part: DataFrame) -> DataFrame:
-            bitmap = spark.sparkContext.broadcast(membership(part, "doc"))
-            found = some.select(F.col("doc_id").alias("id"), "text", "hash").mapInArrow(reader(bitmap), "doc long, hash long, feats binary")
-            return found.join(part, ["doc", "hash"])
-
-        return ship
+    def ship(part: DataFrame) -> DataFrame:
+        bitmap = spark.sparkContext.broadcast(membership(part, "doc"))
+        texts = some.select(F.col("doc_id").alias("id"), "text", "hash").mapInArrow(_texts(bitmap), "doc long, hash long, feats binary")
+        return texts.join(part, ["doc", "hash"])
 
     def refine(items: DataFrame, turn: int) -> DataFrame:
         how = layout(AGAIN[1] * held)
-        again, of = candidates(scratch, items.select("cluster", "id", "feats").mapInArrow(_banded_again(how, turn), PACKED), 1)
+        again, of = candidates(scratch, items.select("cluster", "id", "feats").mapInArrow(_banded_again(n, how, turn), PACKED), 1)
         return again.join(of, again["node"] == of["of"]).select(F.col("b").alias("id"), F.col("root").alias("cluster")).distinct()
 
-    agree = least_agreement(num, den)
-    similar = exact_components(scratch, members.withColumn("n", F.lit(HASHES)), shipped(lambda b: _signed(n, b)), agree, 2 * HASHES - agree, block, _agreeing, refine)
-    verified = alternating_stars(scratch, similar.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
-    members = scratch.table(verified.join(members.drop("cluster"), "id").withColumnsRenamed({"root": "cluster", "size": "n"}), "members")
-    links = exact_components(scratch, members, shipped(_texts), num, den, block, _features(n))
+    links = exact_components(scratch, members.withColumnRenamed("size", "n"), ship, num, den, block, _features(n), refine, compare=verified)
     found = alternating_stars(scratch, links.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     found = scratch.table(found.join(members.select("id", "doc", "d1", "d2"), "id"), "found")
     least = found.groupBy("root").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n"))

@@ -271,7 +271,7 @@ def _stored(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
-def _within(num: int, den: int, features: Callable):
+def _within(num: int, den: int, features: Callable, compare: Callable):
     def f(batches):
         out = []
         for (cluster, block), run in _groups(batches, 2):
@@ -279,7 +279,7 @@ def _within(num: int, den: int, features: Callable):
             if len(run) > 1:
                 run.sort(key=lambda r: r[0])
                 ids = np.array([r[0] for r in run])
-                root = ids[components(linked([features(r[1]) for r in run], num, den))]
+                root = ids[components(compare([features(r[1]) for r in run], num, den))]
             else:
                 ids = root = np.array([run[0][0]])
             out += [(cluster, block, int(i), int(r)) for i, r in zip(ids, root, strict=True)]
@@ -316,7 +316,7 @@ def _hubs(num: int, den: int, features: Callable):
     return f
 
 
-def _across(num: int, den: int, features: Callable):
+def _across(num: int, den: int, features: Callable, compare: Callable):
     """Links between the rest of a cluster and one of its blocks."""
 
     def f(batches):
@@ -325,7 +325,7 @@ def _across(num: int, den: int, features: Callable):
             left = sum(r[0] for r in run)
             if 0 < left < len(run):
                 sets = [features(r[2]) for r in run]
-                x, y = np.nonzero(linked(sets[:left], num, den, sets[left:]))
+                x, y = np.nonzero(compare(sets[:left], num, den, sets[left:]))
                 root = np.array([r[1] for r in run])
                 pairs = np.unique(np.stack([root[x], root[y + left]], 1), axis=0)
                 pairs = pairs[pairs[:, 0] != pairs[:, 1]]
@@ -361,11 +361,13 @@ def exact_components(
     features: Callable = _stored,
     refine: Callable[[DataFrame, int], DataFrame] | None = None,
     turn: int = 0,
+    compare: Callable = linked,
 ) -> DataFrame:
     """Links (id, root) among members (cluster, id, n, ...), whose components are those of den * overlap >= num * union.
 
     ship(some members) adds their feats, which ``features`` turns into a sorted array of hashes.
     Only members of one cluster are linked.  A member without links comes with itself, or not at all.
+    compare may discard pairs that can't be linked before it does what ``linked`` does.
 
     A cluster of more than a block is dealt into blocks at random, and each block is solved alone.
     The largest component of each block is then compared through one of its members with that of the
@@ -375,7 +377,7 @@ def exact_components(
     that met by chance: it is cut by signatures of another make first.  refine(its members with feats,
     turn) returns (id, cluster) for those that meet others again.
     """
-    within = lambda items: items.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, features), "cluster long, block long, id long, root long")
+    within = lambda items: items.repartition("cluster", "block").sortWithinPartitions("cluster", "block").mapInArrow(_within(num, den, features, compare), "cluster long, block long, id long, root long")
     cold, hot = _split(scratch, members, block)
     out = scratch.table(within(ship(cold).select("cluster", F.lit(0).cast("long").alias("block"), "id", "feats")).select("id", "root"), "solved")
     if hot is None:
@@ -398,11 +400,11 @@ def exact_components(
         loose = chunks.where("chunks > 2").select("cluster")
         again = hot.join(loose, "cluster", "left_semi")
         finer = scratch.table(again.drop("cluster", "blocks").join(refine(ship(again.select("cluster", "id")), turn), "id"), "finer")
-        out = out.unionByName(exact_components(scratch, finer, ship, num, den, block, features, refine, turn + 1))
+        out = out.unionByName(exact_components(scratch, finer, ship, num, den, block, features, refine, turn + 1, compare))
         chunks = chunks.where("chunks <= 2")
     r = rest.join(chunks, "cluster").select("cluster", F.explode(F.expr("sequence(0L, blocks - 1L)")).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), "chunks").cast("long").alias("chunk"), F.lit(True).alias("rest"), "root", "feats")
     b = large.join(chunks, "cluster").select("cluster", "block", F.explode(F.expr("sequence(0L, chunks - 1L)")).alias("chunk"), F.lit(False).alias("rest"), "root", "feats")
-    links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den, features), "a long, b long")
+    links = r.unionByName(b).repartition("cluster", "block", "chunk").sortWithinPartitions("cluster", "block", "chunk").mapInArrow(_across(num, den, features, compare), "a long, b long")
     links = scratch.table(links.unionByName(met.select(F.col("root").alias("a"), F.col("hub").alias("b"))), "links")
     scratch.drop(large)
     return out.unionByName(solved.select("id", "root")).unionByName(links.select(F.col("a").alias("id"), F.col("b").alias("root")))
