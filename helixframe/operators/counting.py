@@ -1,31 +1,29 @@
-"""Counting k-mers: windows, strand, then one partially aggregated group-by."""
+"""Counting k-mers: packed windows, summed by each task, then one partially aggregated group-by."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hpc, saturate, windows
-from ..sources.datasets import stranded
+from ..functions import hpc, key_columns, packed_counts, saturate, unpacked
 
 
 def count_kmers(
-    *sequences: DataFrame, k: int, strand: str = "canonical", compress: bool = False, suffix: str | None = None, value: int | None = None, label: int | None = None
+    *sequences: DataFrame, k: int, strand: str = "canonical", compress: bool = False, suffix: str | None = None, value: int | None = None, label: int | None = None, keys: bool = False
 ) -> DataFrame:
     """(kmer, value[, label]) over all the sequences (bases, ...).
 
     strand: canonical, forward or reverse.  compress collapses homopolymers first; suffix keeps the
-    k-mers that end with it; value and label give constants instead of the count and none.
+    k-mers that end with it; value and label give constants instead of the count and none.  keys
+    leaves the k-mers packed (see functions.codes), as further operators take them.
     """
     both = sequences[0].select("bases")
     for s in sequences[1:]:
         both = both.unionByName(s.select("bases"))
     if compress:
         both = both.select(hpc("bases").alias("bases"))
-    w = windows(both, k).select(stranded(F.col("kmer"), strand).alias("kmer"))
-    if suffix:
-        w = w.where(F.col("kmer").endswith(suffix.upper()))
-    out = w.groupBy("kmer").agg(saturate(F.count(F.lit(1))).alias("value"))
+    out = packed_counts(both, k, strand, (suffix or "").upper()).groupBy(key_columns(k)).agg(saturate(F.sum("n")).alias("value"))
     if value is not None:
         out = out.withColumn("value", F.lit(value).cast("long"))
-    return out if label is None else out.withColumn("label", F.lit(label).cast("long"))
+    out = out if label is None else out.withColumn("label", F.lit(label).cast("long"))
+    return out if keys else unpacked(out, k)

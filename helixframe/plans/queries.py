@@ -317,9 +317,9 @@ def _lookups() -> None:
     _add("lookup_include", lambda s, d: lookup.include(_bench(s, d), K, db1(s, d)), rare + f"SELECT ident, bases, n AS n_kmers FROM {seqs} JOIN (SELECT ident, count(*)::BIGINT AS n FROM h GROUP BY 1) USING (ident)")
     _add("lookup_exclude", lambda s, d: lookup.include(_bench(s, d), K, db1(s, d), exclude=True), rare + f"SELECT ident, bases, 0::BIGINT AS n_kmers FROM {seqs} WHERE ident NOT IN (SELECT ident FROM h)")
     _add("lookup_10x", lambda s, d: lookup.include(_bench(s, d), K, db1(s, d), skip=23), rare + f"SELECT ident, bases, n AS n_kmers FROM {seqs} JOIN (SELECT ident, count(*)::BIGINT AS n FROM h WHERE p >= 23 GROUP BY 1) USING (ident)")
-    mates = "SELECT doc_id AS ident, NULL AS tag, {0} AS q FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)".format(_BROKEN)
-    paired = rare.rstrip() + f",\n{_windows('m', mates)},\nn AS (SELECT ident, count(*)::BIGINT AS n_kmers FROM (SELECT ident FROM h UNION ALL SELECT m.ident FROM m JOIN db USING (kmer) WHERE value = 1) GROUP BY 1)\nSELECT ident, bases, q AS mate_bases, n_kmers FROM {seqs} LEFT JOIN ({mates}) USING (ident) JOIN n USING (ident)"
-    _add("lookup_paired", lambda s, d: lookup.include(_bench(s, d), K, db1(s, d), mates=_docs(s, d).join(_bench(s, d).select("ident"), "ident", "left_semi")), paired)
+    mates = _doc_sql()
+    paired = rare.rstrip() + f",\n{_windows('m', mates)},\nn AS (SELECT ident, count(*)::BIGINT AS n_kmers FROM (SELECT ident FROM h UNION ALL SELECT m.ident FROM m JOIN db USING (kmer) WHERE value = 1) GROUP BY 1)\nSELECT ident, bases, q AS mate_bases, n_kmers FROM {seqs} FULL JOIN ({mates}) USING (ident) JOIN n USING (ident)"
+    _add("lookup_paired", lambda s, d: lookup.include(_bench(s, d), K, db1(s, d), mates=_docs(s, d)), paired)
     third = lambda df, order: sequences.numbered(df.withColumnRenamed("ident", "o"), order).select("ident", "bases")
     by_order = f"WITH n1 AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS ident, {_BROKEN} AS q FROM benchmark), n2 AS (SELECT row_number() OVER (ORDER BY page_id) - 1 AS ident, {_BROKEN.replace('text', 'url')} AS q FROM pages),\n{_windows('w', _doc_sql())},\n{_windows('x', 'SELECT ident, 0 AS tag, q FROM n1')},\n{_windows('y', 'SELECT ident, 0 AS tag, q FROM n2')},\ndb AS (SELECT kmer FROM w GROUP BY kmer HAVING count(*) = 1),\nn AS (SELECT ident, count(*)::BIGINT AS n_kmers FROM (SELECT ident, kmer FROM x UNION ALL SELECT ident, kmer FROM y) JOIN db USING (kmer) GROUP BY 1)\nSELECT ident, n1.q AS bases, n2.q AS mate_bases, n_kmers FROM n1 FULL JOIN n2 USING (ident) JOIN n USING (ident)"
     _add(
