@@ -84,6 +84,11 @@ def _windows(name: str, source: str, k: int = K) -> str:
 {name} AS (SELECT ident, tag, p::BIGINT AS p, f, {_canon("f")} AS kmer FROM {name}_w WHERE NOT contains(f, 'N'))"""
 
 
+def _number_sql(kmer: str, begin: int, n: int) -> str:
+    """The number of n bases of a k-mer, two bits a base."""
+    return f"list_sum(list_transform(range({begin}, {begin + n}), lambda j: (instr('ACTG', substr({kmer}, j::INT, 1)) - 1)::HUGEINT << (2 * ({begin + n - 1} - j))::INT))"
+
+
 def _doc_sql(q: str = _BROKEN, where: str = "true", of: int = INPUTS) -> str:
     return f"SELECT doc_id AS ident, doc_id % {of} AS tag, {q} AS q FROM documents WHERE {where}"
 
@@ -124,6 +129,10 @@ def _counting() -> None:
     _add("count_multi_input", lambda s, d: counting.count_kmers(_docs(s, d), _bench(s, d), k=K), f"WITH {_windows('w', both)}\n" + count.format("kmer", ""))
     long = f"WITH {_windows('w', _doc_sql(_UNBROKEN), 21)}\n" + count.format("kmer", "")
     _add("count_k21", lambda s, d: counting.count_kmers(_docs(s, d, bases=sequences.unbroken_bases), k=21), long)
+    split = lambda x: f"{{'hi': {_number_sql(x, 1, 10)} - 9223372036854775808::HUGEINT, 'lo': {_number_sql(x, 11, 32)} - 9223372036854775808::HUGEINT}}"
+    two = f"WITH {_windows('w', _doc_sql(_UNBROKEN), 42)}\n" + count.format("kmer", "")
+    _add("count_k42", lambda s, d: counting.count_kmers(_docs(s, d, bases=sequences.unbroken_bases), k=42), two)
+    _add("count_k42_packed", lambda s, d: counting.count_kmers(_docs(s, d, bases=sequences.unbroken_bases), k=42, keys=True), f"WITH x AS ({two}), y AS (SELECT {split('kmer')} AS z, value FROM x) SELECT z.hi::BIGINT AS code, z.lo::BIGINT AS code2, value FROM y")
     _add("print_actg", lambda s, d: datasets.printed(_db(s, d)), _DB + f"SELECT {_sort('kmer')} AS key, kmer || chr(9) || value AS line FROM db")
     _add("print_acgt", lambda s, d: datasets.printed(_db(s, d), acgt=True), _DB + f"SELECT {_sort('kmer')} AS key, least(kmer, {_rc('kmer')}) || chr(9) || value AS line FROM db")
     _add("windows_positions", lambda s, d: windows(_bench(s, d), K, "ident"), f"WITH {_windows('w', _BENCH_SQL)}\nSELECT ident, p AS pos, f AS kmer FROM w")
@@ -327,6 +336,16 @@ def _lookups() -> None:
         lambda s, d: lookup.include(third(_bench(s, d), "o"), K, db1(s, d), mates=third(_table(s, d, "pages").select(F.col("page_id").alias("ident"), sequences.broken_bases("url").alias("bases")), "o")),
         by_order,
     )
+    # names that repeat or are missing: records are told apart by their number
+    named = lambda s, d: sequences.with_ordinals(_bench(s, d).withColumnRenamed("ident", "o"), "o").select("seq_idx", F.when(F.col("o") % 3 > 0, F.concat(F.lit("r"), (F.col("o") % 5).cast("string"))).alias("ident"), "bases")
+    plain = f"SELECT row_number() OVER (ORDER BY item_id) - 1 AS seq_idx, CASE WHEN item_id % 3 > 0 THEN 'r' || item_id % 5 END AS name, {_BROKEN} AS q FROM benchmark"
+    records = base.replace(_BENCH_SQL, f"SELECT seq_idx AS ident, NULL AS tag, q FROM ({plain})").rstrip() + f",\nn AS ({plain})\n"
+    _add("lookup_records_bed", lambda s, d: lookup.report("bed", [named(s, d)], [values.select_value(_db(s, d), "at-least", 20)], K), records + f'SELECT seq_idx, name AS ident, p AS "begin", p + {K} AS "end" FROM h JOIN n ON n.seq_idx = h.ident')
+    _add("lookup_records_wig", lambda s, d: tracks.wig_rows(lookup.report("wig-count", [named(s, d)], [values.select_value(_db(s, d), "at-least", 20)], K), named(s, d)), records + "SELECT seq_idx AS key, coalesce(name, '') AS ident, p + 1 AS pos, sum(value)::BIGINT AS value FROM h JOIN n ON n.seq_idx = h.ident GROUP BY ALL UNION ALL SELECT seq_idx, coalesce(name, ''), NULL, NULL FROM n")
+    _add("lookup_records_existence", lambda s, d: tracks.existence_lines(lookup.report("existence", [named(s, d)], [values.select_value(_db(s, d), "at-least", 20)], K)), records + "SELECT seq_idx, name AS ident, concat_ws(chr(9), coalesce(name, ''), (SELECT count(*) FROM q WHERE q.ident = seq_idx), (SELECT count(*) FROM db WHERE value >= 20), (SELECT count(*) FROM h WHERE h.ident = seq_idx)) AS line FROM n")
+    few = records.replace("WHERE value >= 20", "WHERE value = 1")
+    _add("lookup_records_include", lambda s, d: lookup.report("include", [named(s, d)], [db1(s, d)], K), few + "SELECT seq_idx, name AS ident, q AS bases, count(*)::BIGINT AS n_kmers FROM h JOIN n ON n.seq_idx = h.ident GROUP BY ALL")
+    _add("lookup_records_exclude", lambda s, d: lookup.report("exclude", [named(s, d)], [db1(s, d)], K), few + "SELECT seq_idx, name AS ident, q AS bases, 0::BIGINT AS n_kmers FROM n WHERE seq_idx NOT IN (SELECT ident FROM h)")
     talk = f"SELECT conv_id * 1000 + turn AS ident, NULL AS tag, {_BROKEN} AS q FROM conversations"
     pos = f"WITH {_windows('r', _BENCH_SQL)},\n{_windows('q', talk)}\n"
     turns = lambda s, d: _table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ident"), sequences.broken_bases().alias("bases"))
