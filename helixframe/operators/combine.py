@@ -7,18 +7,19 @@ see the active list: an array of (idx, value, label) of the inputs that hold the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import U32_MAX, base_count, saturate
+from ..functions import U32_MAX, base_count, keys_of, saturate
+from ..sources.stored import metas_of, tagged_stored
 
 
 def tagged(dbs: list[DataFrame]) -> DataFrame:
-    """(kmer, idx, value, label) of all inputs; idx counts from 0, and a missing label is 0."""
+    """(kmer or packed keys, idx, value, label) of all inputs; idx counts from 0, and a missing label is 0."""
     out = None
     for i, db in enumerate(dbs):
         label = F.col("label") if "label" in db.columns else F.lit(0).cast("long")
-        part = db.select("kmer", F.lit(i).alias("idx"), "value", label.alias("label"))
+        part = db.select(*keys_of(db), F.lit(i).alias("idx"), "value", label.alias("label"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -37,7 +38,22 @@ def combine(op: str, *dbs: DataFrame) -> DataFrame:
     maxima take that of the value they pick (of several the first), subtract takes the first input's
     bits that no other input has, and the differences take the first input's.
     """
-    t, n = tagged(list(dbs)).groupBy("kmer"), len(dbs)
+    return _combined(op, tagged(list(dbs)), len(dbs), any("label" in db.columns for db in dbs))
+
+
+def combine_stored(spark: SparkSession, op: str, *paths: str) -> DataFrame:
+    """combine() of stored datasets, with packed keys.  Their k and strand have to agree; with as many buckets each, nothing is shuffled."""
+    return _combined(op, tagged_stored(spark, *paths), len(paths), any(m.label_bits for m in metas_of(spark, paths)))
+
+
+def active_stored(spark: SparkSession, *paths: str) -> DataFrame:
+    """active() of stored datasets, with packed keys."""
+    return _active(tagged_stored(spark, *paths))
+
+
+def _combined(op: str, rows: DataFrame, n: int, labelled: bool) -> DataFrame:
+    keys = keys_of(rows)
+    t = rows.groupBy(keys)
     count = F.count(F.lit(1)).alias("_n")
     kind, _, rule = op.partition("-")
     first = F.min_by("label", "idx")
@@ -57,18 +73,22 @@ def combine(op: str, *dbs: DataFrame) -> DataFrame:
         out = t.agg(_least().alias("value"), first.alias("label"), count).where("_n = 1")
     else:
         raise ValueError(f"unknown operation {op}")
-    labels = ["label"] if any("label" in db.columns for db in dbs) else []
-    return out.where("value > 0").select("kmer", F.col("value").cast("long").alias("value"), *labels)
+    labels = ["label"] if labelled else []
+    return out.where("value > 0").select(*keys, F.col("value").cast("long").alias("value"), *labels)
 
 
 def union_multiset(*dbs: DataFrame) -> DataFrame:
     """Union of multisets: rows with equal k-mer and value are one."""
-    return tagged(list(dbs)).groupBy("kmer", "value").agg(F.bit_or("label").alias("label"))
+    return tagged(list(dbs)).groupBy(*keys_of(dbs[0]), "value").agg(F.bit_or("label").alias("label"))
 
 
 def active(*dbs: DataFrame) -> DataFrame:
     """(kmer, a): the active list, in input order.  It holds at most one entry an input."""
-    return tagged(list(dbs)).groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("idx", "value", "label"))).alias("a"))
+    return _active(tagged(list(dbs)))
+
+
+def _active(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(keys_of(rows)).agg(F.array_sort(F.collect_list(F.struct("idx", "value", "label"))).alias("a"))
 
 
 _FLIP = "-9223372036854775808L"
@@ -148,7 +168,7 @@ def assigned(rows: DataFrame, value: Column, label: Column | None = None, where:
     out = rows.withColumn("value", value).withColumn("label", label if label is not None else F.lit(0).cast("long"))
     out = out.where("value > 0")
     out = out.where(where) if where is not None else out
-    return out.select("kmer", "value", *(["label"] if label is not None else []))
+    return out.select(*keys_of(out), "value", *(["label"] if label is not None else []))
 
 
 def input_value(n: int) -> Column:
@@ -203,5 +223,5 @@ def bases(letters: str) -> Column:
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """(kmer, value1, value2) where the two differ; a value is null where a k-mer is missing."""
-    t = tagged([a, b]).groupBy("kmer").agg(*[F.max(F.when(F.col("idx") == i, F.col("value"))).alias(f"value{i + 1}") for i in (0, 1)])
+    t = tagged([a, b]).groupBy(keys_of(a)).agg(*[F.max(F.when(F.col("idx") == i, F.col("value"))).alias(f"value{i + 1}") for i in (0, 1)])
     return t.where(~F.col("value1").eqNullSafe(F.col("value2")))

@@ -169,13 +169,6 @@ def read_sequences(spark: SparkSession, path: str, ordinals: bool = False) -> Da
     return found.drop("quals")
 
 
-def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(ident, bases) of files that are FASTA, FASTQ or raw by how the first of them begins."""
-    first = _written(_records(spark, path, "\n")).limit(1).collect()
-    begins = first[0]["value"].lstrip()[:1] if first else ">"
-    return {">": read_fasta, "@": read_fastq}.get(begins, read_raw)(spark, path).select("ident", "bases")
-
-
 def _name():
     """The name of a record, empty where it has none."""
     return F.coalesce(F.col("ident").cast("string"), F.lit(""))
