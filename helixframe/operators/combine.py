@@ -7,6 +7,8 @@ see the active list: an array of (idx, value, label) of the inputs that hold the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -197,6 +199,64 @@ def label_test(test: str, c: int, label: Column | str = "label") -> Column:
     return {"all": both == bits, "any": both != 0, "none": both == 0, "only": x.bitwiseOR(bits) == bits}[test]
 
 
+def _mask(bits: str, of: str) -> int:
+    """The bits of a string, the highest first, whose letters are among those given; as a long."""
+    n = sum(1 << i for i, x in enumerate(reversed(bits)) if x in of)
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def label_function(functions: str, label: Column | str = "label", width: int | None = None) -> Column:
+    """The label after a function of each of its bits, the highest first: ``0`` clears it, ``1`` sets it, ``+`` keeps it, ``-`` turns it round.
+
+    Bits above the string stay as they are, within the label's width, if that is given.
+    """
+    if not re.fullmatch(r"[01+-]{1,64}", functions):
+        raise ValueError("a label function is up to 64 of 0, 1, + and -")
+    x = F.col(label) if isinstance(label, str) else label
+    out = x.bitwiseAND(F.lit(~_mask(functions, "01"))).bitwiseOR(F.lit(_mask(functions, "1"))).bitwiseXOR(F.lit(_mask(functions, "-")))
+    return out if width in (None, 64) else out.bitwiseAND(F.lit((1 << width) - 1))
+
+
+def label_bits_test(tests: str, label: Column | str = "label") -> Column:
+    """Whether a label passes a test of each of its bits, the highest first.
+
+    ``T`` needs the bit set and ``F`` clear; of the bits with ``t`` one has to be set at least, of
+    those with ``f`` one clear; ``x`` and bits above the string aren't looked at.
+    """
+    if not re.fullmatch(r"[TtFfx]{1,64}", tests):
+        raise ValueError("a label test is up to 64 of T, t, F, f and x")
+    x = F.col(label) if isinstance(label, str) else label
+    every, must = _mask(tests, "TF"), _mask(tests, "T")
+    out = x.bitwiseAND(F.lit(every)) == F.lit(must)
+    if some := _mask(tests, "t"):
+        out = out & (x.bitwiseAND(F.lit(some)) != 0)
+    if some := _mask(tests, "f"):
+        out = out & (x.bitwiseAND(F.lit(some)) != F.lit(some))
+    return out
+
+
+def label_selector(spec: str, label: Column | str = "label") -> Column:
+    """A selector ``functions:tests`` over the bits of a label, which itself stays as it is.
+
+    tests may be all (T for each bit), any (t) or none (F), and is all by default; functions is ``+``
+    for each bit by default.  Only 0 and 1 mean the label that is so, and with dots for bits that
+    don't matter, one that ends so.
+    """
+    if re.fullmatch(r"[01.]{1,64}", spec):
+        x = F.col(label) if isinstance(label, str) else label
+        every = _mask(spec, "01") if "." in spec else -1
+        return x.bitwiseAND(F.lit(every)) == F.lit(_mask(spec, "1"))
+    functions, _, tests = spec.partition(":")
+    alias = {"all": "T", "any": "t", "none": "F", "": "T"}.get(tests)
+    if alias and not functions:
+        raise ValueError("a label selector needs functions or tests of bits")
+    tests = alias * len(functions) if alias else tests
+    functions = functions or "+" * len(tests)
+    if len(functions) != len(tests):
+        raise ValueError("a label selector has as many functions as tests")
+    return label_bits_test(tests, label_function(functions, label))
+
+
 def in_inputs(n: int) -> Column:
     return F.size("a") == n
 

@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import decode, encode, hpc, run_score, sort_key
+from ..functions import decode, encode, hpc, run_score, sieve, sort_key, unpacked
 from ..functions.kmers import canonical_acgt, windows
 from ..operators import combine as C
 from ..operators import counting, lookup, reports, values
-from ..sources import datasets, sequences, tracks
+from ..sources import datasets, sequences, stored, tracks
 
 K = 9
 INPUTS = 3
@@ -269,6 +269,16 @@ def _selections() -> None:
     label = _DB.rstrip() + ",\nx AS (SELECT kmer, value, ((value * 37 + 101) % 256)::BIGINT AS label FROM db)\nSELECT * FROM x WHERE "
     for test, sql in {"all": "label & 5 = 5", "any": "label & 5 <> 0", "none": "label & 5 = 0", "only": "label | 63 = 63"}.items():
         _add(f"select_label_{test}", lambda s, d, t=test: _labelled(_db(s, d), 0).where(C.label_test(t, 63 if t == "only" else 5)), label + f"({sql})")
+    bit = lambda i: f"(label >> {7 - i}) & 1"
+    general = {
+        "bits": ("+--+0+1-:FttxFfTf", f"{bit(0)} = 0 AND ({bit(1)} = 0 OR {bit(2)} = 0) AND ({bit(5)} = 0 OR {bit(7)} = 1)"),
+        "bits_any": ("-+000000:any", f"{bit(0)} = 0 OR {bit(1)} = 1"),
+        "bits_none": ("-+000000:none", f"{bit(0)} = 1 AND {bit(1)} = 0"),
+        "equal": ("10001010", "label = 138"),
+        "ending": ("....011", "label % 8 = 3"),
+    }
+    for name, (spec, sql) in general.items():
+        _add(f"select_label_{name}", lambda s, d, x=spec: _labelled(_db(s, d), 0).where(C.label_selector(x)), label + f"({sql})")
     least = "h AS (SELECT value, count(*) AS o FROM db GROUP BY 1), c AS (SELECT value, sum(o) OVER (ORDER BY value) AS cd, sum(o) OVER () AS n FROM h)"
     _add("select_value_distinct", lambda s, d: values.select_threshold("less-than", _db(s, d), distinct=0.5), _DB.rstrip() + f",\n{least}\nSELECT kmer, value FROM db WHERE value < (SELECT min(value) FROM c WHERE cd >= floor(0.5::DOUBLE * n))")
     _add("select_value_word_frequency", lambda s, d: values.select_threshold("greater-than", _db(s, d), word_frequency=0.0001), _DB + "SELECT kmer, value FROM db WHERE value > (SELECT floor(0.0001::DOUBLE * sum(value)) FROM db)")
@@ -362,6 +372,33 @@ def _lookups() -> None:
     _add("strands", lambda s, d: windows(_bench(s, d), K, "ident").select("kmer", canonical_acgt("kmer").alias("acgt"), sort_key("kmer").alias("key")).distinct(), f"WITH {_windows('q', _BENCH_SQL)}\nSELECT DISTINCT f AS kmer, least(f, {_rc('f')}) AS acgt, {_sort('f')} AS key FROM q")
 
 
+def _stored() -> None:
+    def kept(s: SparkSession, d: str, labels: bool = False, histogram: bool = False) -> list[str]:
+        paths = [stored.new_path(s, "kmers") for _ in range(INPUTS)]
+        for db, path in zip(_dbs(s, d, labels), paths, strict=True):
+            stored.store(db, path, K, label_bits=WIDTH, buckets=16, histogram=histogram)
+        return paths
+
+    merged = lambda op, labels: lambda s, d: unpacked(C.combine_stored(s, op, *kept(s, d, labels)), K)
+    _add("stored_union_sum", merged("union-sum", False), _COMBINE + "SELECT kmer, total AS value FROM a")
+    _add("stored_subtract_labels", merged("subtract", True), _COMBINE + f"SELECT kmer, ({_fold('s & ~x', 'l[1]', 'l[2:]')})::BIGINT AS label, 2 * v[1] - total AS value FROM a WHERE i[1] = 0 AND 2 * v[1] > total")
+    _add("stored_intersect_max", merged("intersect-max", False), _COMBINE + "SELECT kmer, most AS value FROM a WHERE n = 3")
+    _add("stored_active", lambda s, d: unpacked(C.assigned(C.active_stored(s, *kept(s, d)), C.assign_value("sub"), where=C.in_all_of(1)), K), _COMBINE + f"SELECT kmer, x AS value FROM (SELECT kmer, i, ({_fold('greatest(s - x, 0)')})::BIGINT AS x FROM a) WHERE x > 0 AND list_contains(i, 0)")
+    _add("stored_slice", lambda s, d: unpacked(stored.read_stored(s, kept(s, d)[0], begins="CAT"), K), _COMBINE + "SELECT kmer, value FROM t WHERE idx = 0 AND kmer LIKE 'CAT%'")
+    _add("stored_histogram", lambda s, d: stored.stored_histogram(s, kept(s, d, histogram=True)[1]), _COMBINE + "SELECT value, count(*)::BIGINT AS occurrences FROM t WHERE idx = 1 GROUP BY value")
+
+    def large(s: SparkSession, d: str) -> DataFrame:
+        # windows of all documents that a dataset of the pages' urls holds; the others aren't shuffled
+        path = stored.new_path(s, "urls")
+        urls = _table(s, d, "pages").select(sequences.unbroken_bases("url").alias("bases"))
+        stored.store(counting.count_kmers(urls, k=11, keys=True), path, 11, buckets=16)
+        db = stored.read_stored(s, path)
+        return lookup.hits(_docs(s, d, bases=sequences.unbroken_bases), 11, db, sieve=sieve([db], 11)).select("ident", "pos", "value")
+
+    url = f"SELECT page_id AS ident, NULL AS tag, {_UNBROKEN.replace('text', 'url')} AS q FROM pages"
+    _add("lookup_sieved", large, f"WITH {_windows('u', url, 11)},\ndb AS (SELECT kmer, count(*)::BIGINT AS value FROM u GROUP BY kmer),\n{_windows('w', _doc_sql(_UNBROKEN), 11)}\nSELECT ident, p AS pos, value FROM w JOIN db USING (kmer)")
+
+
 def _squeezed_sql() -> str:
     out = _BROKEN
     for x in "ACGTN":
@@ -369,5 +406,5 @@ def _squeezed_sql() -> str:
     return out
 
 
-for _register in (_counting, _values, _sets, _assignments, _selections, _reports, _lookups):
+for _register in (_counting, _values, _sets, _assignments, _selections, _reports, _lookups, _stored):
     _register()

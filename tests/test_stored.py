@@ -208,3 +208,32 @@ def test_stream_into_a_dataset(spark, tmp_path):
     (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
     run()
     assert got(unpacked(stored.read_stored(spark, path), 7)) == want
+
+
+def test_label_selectors_by_truth_table(spark):
+    """Each selector against its meaning, bit by bit."""
+    labels = spark.createDataFrame([(x,) for x in range(64)], "label long")
+
+    def want(functions, tests, x):
+        n = len(functions)
+        bits = [x >> (n - 1 - i) & 1 for i in range(n)]
+        out = [{"0": 0, "1": 1, "+": b, "-": 1 - b}[f] for f, b in zip(functions, bits, strict=True)]
+        of = lambda c: [b for b, t in zip(out, tests, strict=True) if t == c]
+        return all(of("T")) and not any(of("F")) and (any(of("t")) or not of("t")) and (not all(of("f")) or not of("f"))
+
+    rng = random.Random(1)
+    for _ in range(25):
+        n = rng.randrange(1, 7)
+        f, t = "".join(rng.choice("01+-") for _ in range(n)), "".join(rng.choice("TtFfx") for _ in range(n))
+        got_ = {r["label"] for r in labels.where(C.label_selector(f"{f}:{t}")).collect()}
+        assert got_ == {x for x in range(64) if want(f, t, x)}, (f, t)
+    two = lambda spec: {r["label"] for r in labels.where("label < 4").where(C.label_selector(spec)).collect()}
+    assert [two(x) for x in ("00:all", "11:all", "-+:all", "1+:all")] == [set(), {0, 1, 2, 3}, {1}, {1, 3}]
+    assert [two(x) for x in ("00:any", "11:any", "-+:any", "0+:any")] == [set(), {0, 1, 2, 3}, {0, 1, 3}, {1, 3}]
+    assert [two(x) for x in ("00:none", "11:none", "-+:none", "0+:none")] == [{0, 1, 2, 3}, set(), {2}, {0, 2}]
+    assert two("10") == {2} and two(".1") == {1, 3} and two(":Tx") == {2, 3}
+    top = spark.createDataFrame([(-(1 << 63),), (1,)], "label long")
+    assert [r["label"] for r in top.where(C.label_selector("+" + "0" * 63 + ":any")).collect()] == [-(1 << 63)]
+    for spec in ("+-:T", "ab", ":all", "+" * 65):
+        with pytest.raises(ValueError):
+            C.label_selector(spec)
