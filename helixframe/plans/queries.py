@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import decode, encode, hpc, run_score, sieve, sort_key, unpacked
 from ..functions.kmers import canonical_acgt, windows
 from ..operators import combine as C
-from ..operators import counting, lookup, reports, values
+from ..operators import counting, lookup, reports, superkmers, values
 from ..sources import datasets, sequences, stored, tracks
 
 K = 9
@@ -129,6 +129,7 @@ def _counting() -> None:
     _add("count_multi_input", lambda s, d: counting.count_kmers(_docs(s, d), _bench(s, d), k=K), f"WITH {_windows('w', both)}\n" + count.format("kmer", ""))
     long = f"WITH {_windows('w', _doc_sql(_UNBROKEN), 21)}\n" + count.format("kmer", "")
     _add("count_k21", lambda s, d: counting.count_kmers(_docs(s, d, bases=sequences.unbroken_bases), k=21), long)
+    _add("count_superkmers", lambda s, d: superkmers.count_superkmers(_docs(s, d, bases=sequences.unbroken_bases), k=21), long)
     split = lambda x: f"{{'hi': {_number_sql(x, 1, 10)} - 9223372036854775808::HUGEINT, 'lo': {_number_sql(x, 11, 32)} - 9223372036854775808::HUGEINT}}"
     two = f"WITH {_windows('w', _doc_sql(_UNBROKEN), 42)}\n" + count.format("kmer", "")
     _add("count_k42", lambda s, d: counting.count_kmers(_docs(s, d, bases=sequences.unbroken_bases), k=42), two)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import pack, packed, packed_windows, sieve, unpacked
 from helixframe.functions import codes
 from helixframe.operators import combine as C
-from helixframe.operators import lookup
+from helixframe.operators import lookup, superkmers
 from helixframe.operators.counting import count_kmers
 from helixframe.sources import sequences, stored, tracks
 from helixframe.streaming import stream_into
@@ -237,3 +237,17 @@ def test_label_selectors_by_truth_table(spark):
     for spec in ("+-:T", "ab", ":all", "+" * 65):
         with pytest.raises(ValueError):
             C.label_selector(spec)
+
+
+@pytest.mark.parametrize(("k", "m"), [(9, 4), (21, 9), (31, 15), (42, 9), (5, 5)])
+def test_super_kmers_count_as_windows_do(spark, k, m):
+    rng = random.Random(k)
+    seqs = [*random_seqs(30, rng), *random_seqs(10, rng, "ACGTN"), *random_seqs(10, rng, "AC"), "A" * 3000, "ACACAC" * 300, "", None, "ACG"]
+    df = spark.createDataFrame([(s,) for s in seqs], "bases string").repartition(3)
+    assert got(superkmers.count_superkmers(df, k, m)) == got(count_kmers(df, k=k))
+
+
+def test_hot_buckets_are_dealt_out(spark, monkeypatch):
+    df = spark.createDataFrame([("A" * 50_000 + "CGT" * 20_000,), ("T" * 90_000,)] * 3, "bases string")
+    want = got(count_kmers(df, k=15))
+    assert got(superkmers.count_superkmers(df, 15, 5, buckets=2)) == want and want["A" * 15] > 400_000
