@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,16 +29,28 @@ def threshold_word_frequency(db: DataFrame, f: float) -> DataFrame:
     return db.agg(F.floor(F.lit(f) * F.coalesce(F.sum("value"), F.lit(0))).cast("long").alias("threshold"))
 
 
+def _missing(k: int) -> Column:
+    """4**k less the distinct ones, as text; no decimal holds 4**64, so that its digits come in two parts."""
+    number = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    distinct = F.col("distinct").cast("decimal(38,0)")
+    if k < 64:
+        return (number(4**k) - distinct).cast("decimal(38,0)").cast("string")
+    high, low = divmod(4**64, 10**19)
+    borrow = distinct > number(low)
+    first = (number(high) - borrow.cast("int")).cast("decimal(38,0)").cast("string")
+    rest = (number(low) + F.when(borrow, number(10**19)).otherwise(number(0)) - distinct).cast("decimal(38,0)").cast("string")
+    return F.concat(first, F.lpad(rest, 19, "0"))
+
+
 def statistics(db: DataFrame, k: int) -> DataFrame:
     """The histogram with running shares, and the counts of unique, distinct, present and missing k-mers in each row.
 
-    missing, as text, is 4**k less the distinct ones; for k = 64, which no decimal holds, it is null.
+    missing, as text, is 4**k less the distinct ones.
     """
     unique = F.sum(F.when(F.col("value") == 1, F.col("occurrences")).otherwise(0)).over(Window.partitionBy())
-    all_kmers = F.lit(str(4**k)).cast("decimal(38,0)") if k < 64 else F.lit(None).cast("decimal(38,0)")
     return _running(histogram(db)).select(
         "value", "occurrences", (F.col("cd") / F.col("distinct")).alias("cum_distinct_frac"), (F.col("ct") / F.col("total")).alias("cum_total_frac"), (F.col("value") * 1000000.0 / F.col("total")).alias("per_million"),
-        unique.alias("unique_kmers"), F.col("distinct").alias("distinct_kmers"), F.col("total").alias("present_kmers"), (all_kmers - F.col("distinct")).cast("decimal(38,0)").cast("string").alias("missing_kmers"),
+        unique.alias("unique_kmers"), F.col("distinct").alias("distinct_kmers"), F.col("total").alias("present_kmers"), _missing(k).alias("missing_kmers"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import decode, encode, hpc, run_score, sieve, sort_key, unpacked
 from ..functions.kmers import canonical_acgt, windows
 from ..operators import combine as C
-from ..operators import counting, lookup, reports, superkmers, values
+from ..operators import counting, lookup, paths, reports, superkmers, values
 from ..sources import datasets, sequences, stored, tracks
 
 K = 9
@@ -136,6 +136,7 @@ def _counting() -> None:
     _add("count_k42_packed", lambda s, d: counting.count_kmers(_docs(s, d, bases=sequences.unbroken_bases), k=42, keys=True), f"WITH x AS ({two}), y AS (SELECT {split('kmer')} AS z, value FROM x) SELECT z.hi::BIGINT AS code, z.lo::BIGINT AS code2, value FROM y")
     _add("print_actg", lambda s, d: datasets.printed(_db(s, d)), _DB + f"SELECT {_sort('kmer')} AS key, kmer || chr(9) || value AS line FROM db")
     _add("print_acgt", lambda s, d: datasets.printed(_db(s, d), acgt=True), _DB + f"SELECT {_sort('kmer')} AS key, least(kmer, {_rc('kmer')}) || chr(9) || value AS line FROM db")
+    _add("print_labels", lambda s, d: datasets.printed(_labelled(_db(s, d), 0)), _DB + f"SELECT {_sort('kmer')} AS key, kmer || chr(9) || value || chr(9) || bin((value * 37 + 101) % 256) AS line FROM db")
     _add("windows_positions", lambda s, d: windows(_bench(s, d), K, "ident"), f"WITH {_windows('w', _BENCH_SQL)}\nSELECT ident, p AS pos, f AS kmer FROM w")
     imported = lambda s, d: windows(_docs(s, d), K, "ident").select(F.lit(0).cast("long").alias("line"), F.col("kmer").alias("word1"), (F.col("pos") % 7 + 1).cast("string").alias("word2"), F.lit(None).cast("string").alias("word3"))
     _add("import_sum", lambda s, d: datasets.import_list(imported(s, d)), base + "SELECT kmer, sum(p % 7 + 1)::BIGINT AS value, 0::BIGINT AS label FROM w GROUP BY 1")
@@ -294,6 +295,12 @@ def _reports() -> None:
 FROM (SELECT value, o, (sum(o) OVER w)::BIGINT AS cd, (sum(value * o) OVER w)::BIGINT AS ct, (sum(o) OVER ())::BIGINT AS n, (sum(value * o) OVER ())::BIGINT AS t, (sum(CASE WHEN value = 1 THEN o ELSE 0 END) OVER ())::BIGINT AS u
 FROM (SELECT value, count(*)::BIGINT AS o FROM db GROUP BY 1) WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING))""",
     )
+    wide = f"WITH {_windows('w', _doc_sql(_UNBROKEN), 64)},\ndb AS (SELECT kmer, count(*)::BIGINT AS value FROM w GROUP BY kmer)\n"
+    _add(
+        "statistics_k64",
+        lambda s, d: reports.statistics(counting.count_kmers(_docs(s, d, bases=sequences.unbroken_bases), k=64, keys=True), 64).select("value", "occurrences", "distinct_kmers", "missing_kmers"),
+        wide + "SELECT value, count(*)::BIGINT AS occurrences, (sum(count(*)) OVER ())::BIGINT AS distinct_kmers, (340282366920938463463374607431768211455::UHUGEINT - ((sum(count(*)) OVER ())::UHUGEINT - 1))::VARCHAR AS missing_kmers FROM db GROUP BY value",
+    )
     QUERIES["ploidy"] = lambda s, d: reports.ploidy(reports.histogram(_db(s, d)))
     SQL["ploidy"] = (
         _DB.rstrip()
@@ -322,6 +329,7 @@ def _lookups() -> None:
     _add("lookup_bed_runs", lambda s, d: lookup.bed_runs(found(s, d), K), base + f'SELECT ident, 0 AS db, min(p) AS "begin", max(p) + {K} AS "end" FROM (SELECT ident, p, p - row_number() OVER (PARTITION BY ident ORDER BY p) AS g FROM h) GROUP BY ident, g')
     _add("lookup_wig_count", lambda s, d: lookup.wig_count(found(s, d)), base + "SELECT ident, p + 1 AS pos, sum(value)::BIGINT AS value FROM h GROUP BY 1, 2")
     _add("lookup_wig_depth", lambda s, d: lookup.wig_depth(found(s, d), K), base + f"SELECT ident, b + 1 AS pos, count(*)::BIGINT AS value FROM (SELECT ident, unnest(range(p, p + {K})) AS b FROM h) GROUP BY 1, 2")
+    _add("lookup_most", lambda s, d: lookup.wig_count(lookup.hits(_bench(s, d), K, _db(s, d), least=2, most=9)), base.replace("WHERE value >= 20", "WHERE value BETWEEN 2 AND 9") + "SELECT ident, p + 1 AS pos, sum(value)::BIGINT AS value FROM h GROUP BY 1, 2")
     by_tag = f"WITH {_windows('w', _doc_sql())},\n{_windows('q', _BENCH_SQL)},\ndb AS (SELECT tag, kmer, count(*)::BIGINT AS value FROM w GROUP BY 1, 2)\n"
     _add("lookup_bed_labels", lambda s, d: lookup.bed(lookup.hits(_bench(s, d), K, *_dbs(s, d)), K, list(NAMES)), by_tag + f'SELECT q.ident, p AS "begin", p + {K} AS "end", {list(NAMES)}[db.tag + 1] AS label FROM q JOIN db USING (kmer)')
     forward = base.replace("SELECT kmer, count(*)::BIGINT AS value FROM w GROUP BY kmer", "SELECT f AS kmer, count(*)::BIGINT AS value FROM w GROUP BY 1")
@@ -396,6 +404,12 @@ def _stored() -> None:
         db = stored.read_stored(s, path)
         return lookup.hits(_docs(s, d, bases=sequences.unbroken_bases), 11, db, sieve=sieve([db], 11)).select("ident", "pos", "value")
 
+    # every k-mer is in one path; on top, the paths' lengths by their own k-mers
+    def path_lengths(s: SparkSession, d: str) -> DataFrame:
+        db = counting.count_kmers(_table(s, d, "benchmark").select(sequences.unbroken_bases().alias("bases")), k=15, keys=True)
+        return paths.unique_paths(db, 15)
+
+    _add("unique_paths", path_lengths, None)
     url = f"SELECT page_id AS ident, NULL AS tag, {_UNBROKEN.replace('text', 'url')} AS q FROM pages"
     _add("lookup_sieved", large, f"WITH {_windows('u', url, 11)},\ndb AS (SELECT kmer, count(*)::BIGINT AS value FROM u GROUP BY kmer),\n{_windows('w', _doc_sql(_UNBROKEN), 11)}\nSELECT ident, p AS pos, value FROM w JOIN db USING (kmer)")
 

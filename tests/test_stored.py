@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import pack, packed, packed_windows, sieve, unpacked
 from helixframe.functions import codes
 from helixframe.operators import combine as C
-from helixframe.operators import lookup, superkmers
+from helixframe.operators import lookup, paths, superkmers
 from helixframe.operators.counting import count_kmers
 from helixframe.sources import sequences, stored, tracks
 from helixframe.streaming import stream_into
@@ -251,3 +251,41 @@ def test_hot_buckets_are_dealt_out(spark, monkeypatch):
     df = spark.createDataFrame([("A" * 50_000 + "CGT" * 20_000,), ("T" * 90_000,)] * 3, "bases string")
     want = got(count_kmers(df, k=15))
     assert got(superkmers.count_superkmers(df, 15, 5, buckets=2)) == want and want["A" * 15] > 400_000
+
+
+def test_unique_paths(spark):
+    rng = random.Random(12)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (300, 120, 6)]
+    ring = "".join(rng.choice("ACGT") for _ in range(40))
+    seqs += [seqs[0][:90] + seqs[1][50:], ring + ring[:6], "AAAAAAAAAA", "ACACACACACAC", "ACGTACGTACGT"]
+    k = 7
+    df = spark.createDataFrame([(s,) for s in seqs], "bases string")
+    db = {r["kmer"] for r in count_kmers(df, k=k).collect()}
+    out = [tuple(r) for r in paths.unique_paths(count_kmers(df, k=k, keys=True), k).select("path", "pos", "kmer").collect()]
+    canon = lambda s: min(s, rc(s), key=key)
+    assert sorted(canon(x) for _, _, x in out) == sorted(db)  # each k-mer once
+    by = {}
+    for p, i, x in out:
+        by.setdefault(p, {})[i] = x
+    ends = {}
+    for x in db:  # ends at each junction, by side
+        for e, b in ((0, x[:-1]), (1, x[1:])):
+            ends.setdefault(canon(b), []).append((x, e, (b == canon(b)) == (e == 1)))
+    mate = {}
+    for j, some in ends.items():
+        a, b = [s for s in some if s[2]], [s for s in some if not s[2]]
+        if j != rc(j) and len(a) == len(b) == 1 and a[0][0] != b[0][0]:
+            mate[a[0][:2]], mate[b[0][:2]] = b[0][:2], a[0][:2]
+    rings = 0
+    for p, x in by.items():
+        assert sorted(x) == list(range(len(x))) and canon(x[0]) == p
+        for i in range(1, len(x)):
+            assert x[i - 1][1:] == x[i][:-1]
+            assert mate[(canon(x[i - 1]), int(x[i - 1] == canon(x[i - 1])))] == (canon(x[i]), int(x[i] != canon(x[i])))
+        first, last = (canon(x[0]), int(x[0] != canon(x[0]))), (canon(x[len(x) - 1]), int(x[len(x) - 1] == canon(x[len(x) - 1])))
+        if first in mate or last in mate:  # a ring
+            rings += 1
+            assert mate[first] == last and p == min((canon(y) for y in x.values()), key=key)
+        else:
+            assert key(p) <= key(canon(x[len(x) - 1]))
+    assert rings >= 1 and max(map(len, by.values())) > 10
