@@ -42,9 +42,22 @@ THRESHOLD = 0.5
 SKIPPED = 0.2  # of the threshold, that lists not read may add
 NGRAM = 5
 QUESTION, ANSWER, WHOLE = 0.6, 0.6, 0.5  # shares of n-grams
-LEAST = 3  # terms of a question that may decide alone
-
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+LEAST = 3  # telling words of a question that may decide alone
+LETTERS = 4  # letters of scripts without spaces that tell as much as a word
+#: Words that tell nothing of a question.
+COMMON = frozenset(
+    """a an the of in on at to for from by with as and or not no if is are was were be been do does did has have had can could will would should may must it its this that these those there
+    which what who whom whose when where why how following true false correct incorrect answer option statement best most choose select one all any
+    der die das den dem des ein eine einer eines und oder nicht ist sind war wer was wie wo wann warum welche welcher welches folgende folgenden richtig falsch von zu mit
+    le la les un une des de du et ou ne pas est sont qui que quoi quel quelle quels quelles comment pourquoi vrai vraie faux suivant suivante suivantes
+    el los las una unos unas y o no es son que cual cuales como cuando donde siguiente siguientes verdadero verdadera falso correcta""".split()
+)
+
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])\s*")
+#: Letters of scripts without spaces: Thai, Lao, Burmese, Khmer, kana and Han.  Each is a term.
+_CONTINUOUS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Their punctuation, and full-width signs.
+_STOPS = re.compile("[\u3000-\u3004\u3008-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 
 
 def parts(text: str) -> tuple[str, str]:
@@ -53,8 +66,17 @@ def parts(text: str) -> tuple[str, str]:
     return (" ".join(s[:-1]), s[-1]) if len(s) > 1 else (text, text)
 
 
+def spread(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts in which letters of scripts without spaces stand alone, and their punctuation is white space."""
+    data, off = T.buffers(texts)
+    some = data[off[0] : off[-1]] if len(off) else data
+    if not ((some >= 0xE0) & (some != 0xE2)).any():
+        return data, off
+    return T.buffers(pa.array([_STOPS.sub(" ", _CONTINUOUS.sub(r" \g<0> ", x)) if x and not x.isascii() else x for x in texts.to_pylist()], pa.large_string()))
+
+
 def _terms(texts: list[str]) -> list[np.ndarray]:
-    data, off = T.buffers(pa.array(texts, pa.string()))
+    data, off = spread(pa.array(texts, pa.string()))
     out = []
     for i, j in T.groups(off):
         w = T.words(data, off, i, j, T.TERM_BYTES, T.LOWER_VALUES)
@@ -72,6 +94,13 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+def telling(text: str) -> float:
+    """How many words of a text aren't COMMON, each once; LETTERS letters of scripts without spaces are one."""
+    letters = set(_CONTINUOUS.findall(text))
+    words = set(re.findall(r"[^\W_]+", _CONTINUOUS.sub(" ", text).lower())) - COMMON
+    return len(words) + len(letters) / LETTERS
+
+
 class Index:
     """Inverted lists of BM25 impacts for a shard of items, with block maxima."""
 
@@ -82,7 +111,7 @@ class Index:
         self.sizes = np.array([len(t) for t in terms], np.int64)
         parts_ = [[t, q, a] for t, q, a in zip(terms, _terms([q for q, _ in split]), _terms([a for _, a in split]), strict=True)]
         self.grams = [[(min(NGRAM, len(u)), np.unique(T.shingles(u, NGRAM))) for u in units] for units in parts_]
-        self.alone = np.array([len(q) >= min(LEAST, len(t)) for t, q, _ in parts_], bool)
+        self.alone = np.array([telling(q) >= min(LEAST, telling(t)) for (_, t), (q, _) in zip(items, split, strict=True)], bool)
         self.vocabulary = np.unique(np.concatenate([*terms, np.zeros(0, U64)]))
         units = []
         for x, (_, t) in enumerate(items):
@@ -194,7 +223,7 @@ def _share(part: np.ndarray, have: np.ndarray) -> float:
 
 def contaminated(index: Index, batch: pa.RecordBatch, threshold: float) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question share, answer share) of the items that a text contains."""
-    data, off = T.buffers(batch.column("text"))
+    data, off = spread(batch.column("text"))
     out = []
     for i, j in T.groups(off):
         w = T.words(data, off, i, j, T.TERM_BYTES, T.LOWER_VALUES)
@@ -263,8 +292,8 @@ def benchmark_matches(docs: DataFrame, index: list[DataFrame], threshold: float
 
     A pair is there when an item, its question or its answer is retrieved for a passage, and the
     passage with its surroundings has 0.6 of the question's n-grams, or 0.6 of the answer's and half
-    of the whole item's.  A part of fewer than NGRAM terms is one n-gram of its own length; a question
-    of fewer than LEAST terms doesn't decide alone.  score is the best of the units.  Null and empty texts, and texts
+    of the whole item's.  A part of fewer than NGRAM terms is one n-gram of its own length.  A question
+    with fewer than LEAST words that tell something (see telling) doesn't decide alone.  In scripts without spaces each letter is a term.  score is the best of the units.  Null and empty texts, and texts
     without letters or digits, contain none.  Repeated rows are reported alike.  Other columns are
     ignored; an empty table of items or documents gives an empty result.
     """
