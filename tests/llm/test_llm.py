@@ -128,7 +128,7 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs_of(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize(("least", "word", "more"), [(20, 48, ()), (40, 68, (line_dedup.Way(6, 20, 5, 70, 100, 192),))])
+@pytest.mark.parametrize(("least", "word", "more"), [(20, 48, ()), (20, 48, (line_dedup.Way(3, 15, 4, 70, 100, 192),))])
 def test_line_dedup_of_short_lines(spark, least, word, more):
     rng = random.Random(12)
     line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(n))
