@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import key_columns, packed
+from .datasets import import_list, read_list
+from .sequences import read_sequences
 
 SIDECAR = "_kmers.json"
 BUCKETS = 64
@@ -214,3 +216,19 @@ def kind_of(spark: SparkSession, path: str) -> str:
     first = spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(1).collect()
     is_list = bool(first) and bool(re.match(r"(#|value=|label=)[0-9]+\s*$|[ACGTacgt]+[ \t]+[0-9]+", first[0]["value"].strip()))
     return "list" if is_list else "sequences"
+
+
+def open_input(spark: SparkSession, path: str, k: int | None = None, strand: str = "canonical") -> tuple[str, DataFrame]:
+    """What a path holds (see kind_of) and its rows: (keys, value[, label]) of a dataset, (kmer, value, label) of a list, ([seq_idx,] ident, bases) of sequences.
+
+    k and strand, if they are given, have to be those of a stored dataset; a list is read on the strand.
+    """
+    kind = kind_of(spark, path)
+    if kind == "dataset":
+        meta = metas_of(spark, (path,))[0]
+        if k not in (None, meta.k) or strand != meta.strand:
+            raise ValueError(f"{path} has {meta.strand} {meta.k}-mers")
+        return kind, read_stored(spark, path)
+    if kind == "list":
+        return kind, import_list(read_list(spark, path), strand)
+    return kind, read_sequences(spark, path, ordinals=True)

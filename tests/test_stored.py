@@ -169,6 +169,12 @@ def test_sidecar(spark, tmp_path):
     (tmp_path / "x.list").write_text("\n#5\nACG\n")
     (tmp_path / "y.list").write_text("ACG\t5\n")
     assert [stored.kind_of(spark, str(tmp_path / x)) for x in ("a", "x.fa", "x.list", "y.list")] == ["dataset", "sequences", "list", "list"]
+    assert [r["value"] for r in stored.open_input(spark, a, 4)[1].collect()] == [7]
+    assert got(stored.open_input(spark, str(tmp_path / "x.list"))[1]) == {"ACG": 5}
+    assert [(r["seq_idx"], r["bases"]) for r in stored.open_input(spark, str(tmp_path / "x.fa"))[1].collect()] == [(0, "ACGT")]
+    for k, strand in ((5, "canonical"), (4, "forward")):
+        with pytest.raises(ValueError):
+            stored.open_input(spark, a, k, strand)
     empty = str(tmp_path / "empty")
     stored.store(db.where("false"), empty, 4, buckets=4, histogram=True)
     assert stored.read_stored(spark, empty).count() == 0 and stored.stored_histogram(spark, empty).count() == 0
