@@ -112,7 +112,7 @@ def _plan(scratch: Scratch, sized: DataFrame, weights: tuple[int, ...], most: in
     return scratch.table(sources.join(bounds, "place"), "plan")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 1) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, shards: int = 16, seed: int = 1, text: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, draws) for each row of docs (doc_id, text, source, ...).
 
     size is the number of words (null text: 0).  draws lists the copies that the shards draw: copy,
@@ -121,7 +121,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     the quota still lacks, so that each source's taken words equal its rounded target.  A null source
     is a source of its own.  Null or repeated doc_ids are drawn like others.  Documents without words
     give nothing.  Other columns are ignored, an empty table gives an empty result.  shards is a power
-    of two.  The same rows and seed give the same mix.
+    of two.  The same rows and seed give the same mix.  text adds the texts.
 
     There is a row for each source with an array of its shards, and one row with a number for each
     source at every node of the tree; so it is meant for sources and shards in thousands, not millions.
@@ -129,7 +129,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     scratch = Scratch(docs.sparkSession, "mixing")
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary"))
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    more = ["text"] if text else []
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"), *more)
     sized = scratch.table(sized, "sized").withColumn("block", F.conv(F.substring("key", 1, HEX), 16, 10).cast("long"))
     plan = _plan(scratch, sized, weights, most, shards, seed).withColumnRenamed("source", "of")
     if plan.count() <= MOST_SOURCES:
@@ -145,17 +146,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
         'copy', cast(c as int), 'shard', size(filter(ends, e -> e <= c * {blocks} + block)), 'words', if(c = rounds, last, size), 'order', xxhash64(key, c, {seed}))),
         x -> x.shard < {shards} and x.words > 0)""".format(blocks=BLOCKS, seed=seed, shards=shards)
     d = inner.unionByName(outer).withColumn("draws", F.expr(drawn))
-    return d.select("doc_id", "source", "size", "source_size", "target", F.expr("aggregate(draws, 0L, (n, x) -> n + x.words)").alias("taken"), "draws")
+    return d.select("doc_id", "source", "size", "source_size", "target", F.expr("aggregate(draws, 0L, (n, x) -> n + x.words)").alias("taken"), "draws", *more)
 
 
 def write_mix(docs: DataFrame, path: str, shards: int = 16, **options) -> None:
     """Writes the mix of docs (doc_id, text, source, ...) as Parquet: a folder ``shard=n`` for each shard, with (doc_id, source, copy, words, text) in shuffled order.
 
-    doc_id has to be unique, or null where nothing is to be written.  A copy that the mix takes in
-    part has that many of its first words, joined by one space.
+    Rows are written as often as they are drawn, those with null or repeated doc_ids, too.  A copy
+    that the mix takes in part has that many of its first words, joined by one space.  A shard's files
+    are ranges of its order, made by as many tasks as there are shuffle partitions.
     """
-    draws = mix_sources(docs, shards=shards, **options).select("doc_id", F.explode("draws").alias("x")).select("doc_id", "x.*")
+    drawn = mix_sources(docs, shards=shards, text=True, **options).select("doc_id", "source", "text", F.explode("draws").alias("x")).select("doc_id", "source", "text", "x.*")
     words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
     text = F.when(F.col("words") < F.size(words), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(F.col("text"))
-    drawn = docs.select("doc_id", "source", "text").join(draws, "doc_id").select("shard", "doc_id", "source", "copy", "words", text.alias("text"), "order")
-    drawn.repartition(shards, "shard").sortWithinPartitions("shard", "order", "doc_id").drop("order").write.partitionBy("shard").parquet(path)
+    out = drawn.select("shard", "doc_id", "source", "copy", "words", text.alias("text"), "order")
+    out.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order", "doc_id").drop("order").write.partitionBy("shard").parquet(path)
