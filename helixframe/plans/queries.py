@@ -34,10 +34,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _docs(spark: SparkSession, d: str, part: int | None = None, of: int = INPUTS, bases=sequences.broken_bases) -> DataFrame:
     docs = _table(spark, d, "documents")
-    few = len(docs.inputFiles()) < spark.sparkContext.defaultParallelism
+    few = docs.select("doc_id").rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
     docs = docs.where(F.col("doc_id") % of == part) if part is not None else docs
     docs = docs.select(F.col("doc_id").alias("ident"), "text")
-    # a file may be one split, and its words are many times its rows; with enough files nothing is shuffled
+    # a file may be one split, and its words are many times its rows; with enough splits nothing is shuffled
     return (docs.repartition("ident") if few else docs).select("ident", bases().alias("bases"))
 
 
