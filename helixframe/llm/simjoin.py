@@ -53,8 +53,39 @@ def layout(n: float) -> Layout:
     return Layout(min(20, max(4, size - 17)), min(63, max(44, size + 20)))
 
 
-def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layout, kinds_of_nodes: int = 2) -> Iterator[pa.RecordBatch]:
-    """PACKED rows from (signatures, nodes, names) in turn.
+LEADERS = 64  # of a signature that a node may be compared with by sketches
+
+
+def alike_nodes(s: np.ndarray, x: np.ndarray, sketch: np.ndarray, alike: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) of links between nodes x that share a signature and agree in enough bits of their sketches, and which nodes lead; s is sorted.
+
+    alike: how many of 64 bits have to agree, by kind of node.  The first node of a signature is
+    compared with all others; those that aren't alike are compared with the first of them, and so on.
+    What is left after LEADERS turns is linked without regard to sketches, so that nothing is lost by the limit.
+    """
+    least = np.array(alike)[x % len(alike)]
+    rest, leads = np.arange(len(s)), np.zeros(len(s), bool)
+    a, b, first_of = [], [], np.zeros(len(s), np.int64)
+    for turn in range(LEADERS):
+        if not len(rest):
+            break
+        new = np.ones(len(rest), bool)
+        new[1:] = s[rest[1:]] != s[rest[:-1]]
+        head = rest[np.maximum.accumulate(np.where(new, np.arange(len(rest)), 0))]
+        if not turn:
+            first_of = head
+        leads[rest[new]] = True
+        same = ~new & (64 - np.bitwise_count(sketch[rest] ^ sketch[head]).astype(np.int64) >= least[rest])
+        a.append(x[rest[same]])
+        b.append(x[head[same]])
+        rest = rest[~new & ~same]
+    a.append(x[rest])
+    b.append(x[first_of[rest]])
+    return np.concatenate(a), np.concatenate(b), leads
+
+
+def packed(found: Iterator[tuple[np.ndarray, ...]], how: Layout, kinds_of_nodes: int = 2, alike: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """PACKED rows from (signatures, nodes, names[, sketches]) in turn; a sketch of 64 bits for each signature where there is ``alike`` (see alike_nodes).
 
     names has a pair of longs for each new set; the task's sets are numbered from 0 as they come, and
     set i has the nodes 2 * i and 2 * i + 1, or as many as there are kinds.  Signatures that one task
@@ -71,8 +102,13 @@ def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layo
         names = np.concatenate([h[2] for h in held])
         order = np.argsort(s, kind="stable")
         s, x = s[order], x[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
+        sketch = [np.concatenate([h[3] for h in held])[order]] if alike else []
+        if alike:
+            link_a, link_b, new = alike_nodes(s, x, sketch[0], alike)
+        else:
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] != s[:-1]
+            link_a, link_b = x[~new], x[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))][~new]
         kinds, buckets, bases, blobs = [], [], [], []
 
         def add(kind, bucket, of, blob):
@@ -82,18 +118,17 @@ def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layo
             blobs.append(blob)
 
         if not new.all():
-            head = x[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-            link = np.unique((x[~new].astype(U64) << U64(32)) | head[~new].astype(U64))
+            link = np.unique((link_a.astype(U64) << U64(32)) | link_b.astype(U64))
             link = link[(link >> U64(32)) != (link & U64(0xFFFFFFFF))]
             for at in range(0, len(link), 500_000):
                 some = link[at : at + 500_000]
                 add(_LINKS, spread % (1 << how.bits), base, pack(some >> U64(32), some & U64(0xFFFFFFFF)))
                 spread += 1
-            s, x = s[new], x[new]
+            s, x, sketch = s[new], x[new], [y[new] for y in sketch]
         bucket = (s >> U64(how.width - how.bits)).astype(np.int64)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cut, np.append(cut[1:], len(s)), strict=True):
-            add(_ENTRIES, int(bucket[a]), base, pack(s[a:b], x[a:b]))
+            add(_ENTRIES, int(bucket[a]), base, pack(s[a:b], x[a:b], *(y[a:b] for y in sketch)))
         for at in range(0, len(names), 500_000):
             add(_NAMES, spread % (1 << how.bits), base + kinds_of_nodes * (n_sets + at), squeeze(names[at : at + 500_000].tobytes()))
             spread += 1
@@ -116,46 +151,51 @@ def packed(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], how: Layo
 MET = "kind int, a long, b long, c long"
 
 
-def _meet(batches: Iterator[pa.RecordBatch], kinds_of_nodes: int) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], kinds_of_nodes: int, alike: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by bucket: links of each signature's nodes to the least of them, and the names of nodes."""
 
     def table(kind, a, b, c=None):
         return rows(kind=pa.array(np.full(len(a), kind, np.int32)), a=a.astype(np.int64), b=b.astype(np.int64), c=np.zeros(len(a), np.int64) if c is None else c.astype(np.int64))
 
-    def links(s, x):
+    def links(s, x, sketch):
         s, x = np.concatenate(s), np.concatenate(x)
         order = np.lexsort((x, s))
         s, x = s[order], x[order]
+        if alike:
+            a, b, _ = alike_nodes(s, x, np.concatenate(sketch)[order], alike)
+            pair = np.unique(np.stack([a, b], 1), axis=0)
+            return table(_LINKS, pair[:, 0], pair[:, 1])
         again = np.zeros(len(s), bool)
         again[1:] = s[1:] == s[:-1]
         head = x[np.maximum.accumulate(np.where(again, 0, np.arange(len(s))))]
         pair = np.unique(np.stack([x[again], head[again]], 1), axis=0)
         return table(_LINKS, pair[:, 0], pair[:, 1])
 
-    last, s, x = None, [], []
+    last, s, x, sketch = None, [], [], []
     for batch in batches:
         for kind, bucket, base, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "base", "blob")), strict=True):
             if bucket != last:
-                if len(s) > 1:
-                    yield links(s, x)
-                last, s, x = bucket, [], []
+                if s and (alike or len(s) > 1):  # within one blob no signature comes twice, but where they have sketches
+                    yield links(s, x, sketch)
+                last, s, x, sketch = bucket, [], [], []
             if kind == _NAMES:
                 names = np.frombuffer(unsqueeze(blob), np.int64).reshape(-1, 2)
                 yield table(_NAMES, base + kinds_of_nodes * np.arange(len(names)), names[:, 0], names[:, 1])
                 continue
-            a, b = unpack(blob)
+            a, b, *more = unpack(blob)
             if kind == _ENTRIES:
+                sketch += more
                 s.append(a)
                 x.append(b.astype(np.int64) + base)
             else:
                 yield table(_LINKS, a.astype(np.int64) + base, b.astype(np.int64) + base)
-    if len(s) > 1:
-        yield links(s, x)
+    if s and (alike or len(s) > 1):
+        yield links(s, x, sketch)
 
 
-def candidates(scratch: Scratch, found: DataFrame, kinds_of_nodes: int = 2) -> tuple[DataFrame, DataFrame]:
+def candidates(scratch: Scratch, found: DataFrame, kinds_of_nodes: int = 2, alike: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the candidate components, and (of, b, c) with the names of each set's first node, from PACKED rows."""
-    met = scratch.table(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_meet, kinds_of_nodes=kinds_of_nodes), MET), "met")
+    met = scratch.table(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(_meet, kinds_of_nodes=kinds_of_nodes, alike=alike), MET), "met")
     nodes = scratch.table(connected_components(scratch, met.where(F.col("kind") == _LINKS).select("a", "b")), "nodes")
     return nodes, met.where(F.col("kind") == _NAMES).select(F.col("a").alias("of"), "b", "c")
 
