@@ -186,6 +186,38 @@ def test_line_dedup_of_a_whole_table_against_brute_force(spark):
     found = {(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(docs, ways).collect()}
     assert len(want) > 20 and len(found & want) >= 0.99 * len(want) and not found - want
 
+def test_lines_that_meet_by_chance_make_no_large_cluster(spark, monkeypatch):
+    """Lines of few syllables share bands by chance; a line that many tasks read is one row."""
+    rng = random.Random(29)
+    part = ["".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(5)) for _ in range(90)]
+    lines = [" ".join(rng.choice(part) for _ in range(14)) for _ in range(4000)]
+    texts = ["\n".join([*lines[k : k + 20], lines[0], lines[1].replace(" ", "-", 1)]) for k in range(0, len(lines), 20)]
+    largest, rows = [], []
+
+    def recorded(scratch, members, ship, *args, **more):
+        largest.append(members.groupBy("cluster").count().agg({"count": "max"}).first()[0] or 0)
+        rows.append(ship(members).count() - members.count())
+        return simjoin.exact_components(scratch, members, ship, *args, **more)
+
+    monkeypatch.setattr(line_dedup, "exact_components", recorded)
+    docs = docs_of(spark, texts).repartition(8, "doc_id")
+    found = {(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(docs).collect()}
+    assert found == lines_that_go(list(enumerate(texts)), (line_dedup.LONG, line_dedup.SHORT))
+    assert max(largest) < 200
+    assert rows == [0, 0]
+
+
+@pytest.mark.parametrize("way", [line_dedup.LONG, line_dedup.SHORT])
+def test_minima_of_lines_by_plain_loops(way):
+    rng = np.random.default_rng(30)
+    for size in ([1], [3, 1, 900, 8], [70_000, 2, 5000], rng.integers(1, 300, 200)):
+        first = np.cumsum(size) - size
+        h = rng.integers(0, 1 << 32, int(np.sum(size)), dtype=np.uint64).astype(np.uint32)
+        found = line_dedup._minima(way, h, first)
+        for f in range(way.bands * way.rows):
+            x = np.where((h >> 7) % way.classes == f % way.classes, h * line_dedup._FACTORS[f], np.uint32(line_dedup.NONE))
+            assert (found[f] == np.minimum.reduceat(x, first)).all()
+
 
 @pytest.mark.parametrize("block", [2048, 3])
 def test_line_dedup_of_large_clusters(spark, monkeypatch, block):
