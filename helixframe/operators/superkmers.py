@@ -3,10 +3,11 @@
 The minimiser of a window is the least of its m-mers, on either strand, by a hash.  Consecutive windows
 that share it are one string, two bits a base, that goes to the minimiser's bucket; a k-mer and its reverse
 complement always have the same, so that a bucket holds all of a k-mer's occurrences.  A bucket's partition cuts
-the strings into windows again, sorts them (spilling, where they don't fit) and counts runs of equal ones, without another shuffle.
+the strings into windows again and counts them a bucket or a few at a time, without another shuffle.
 
 The strings are stored first, so that buckets can be weighed: one with more windows than a partition's
-share, as of low-complexity sequences, is dealt to as many partitions as it fills, and the parts' counts are added.
+share, or than a task sorts at once, as of low-complexity sequences, is dealt to as many partitions as it fills,
+and the parts' counts are added.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from ..functions.codes import HELD, U64, _pieces, _signed, _valid, _words, summe
 from ..sources.stored import new_path
 
 LONGEST = 255  # windows of a string
+TOGETHER = 1 << 20  # windows of small buckets that are counted together, about
 _ZSTD = pa.Codec("zstd", 1)
 
 
@@ -124,11 +126,11 @@ def _opened(blob: bytes, k: int) -> np.ndarray:
     return np.insert(codes, begin, 4)
 
 
-def _cut(k: int):
-    """(keys, n) of the windows of blobs, summed over some millions."""
+def _cut(k: int, strand: str, split: bool):
+    """(keys, n) of the windows of blobs, which come sorted by bucket; a bucket's are summed together, or, of split ones, those of some millions."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
 
         def out():
             words, n = summed([np.concatenate(w) for w in zip(*held, strict=True)])
@@ -137,47 +139,28 @@ def _cut(k: int):
                 yield pa.RecordBatch.from_arrays([*(pa.array(w[cut]) for w in words), pa.array(n[cut].astype(np.int64))], names=[*key_columns(k), "n"])
 
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                c = _opened(blob, k)
-                at = _valid(c, k)
-                held.append(_signed([w[at] for w in _words(np.minimum(c, 3), k, "canonical")], k))
-                size += len(at)
-                if size > HELD:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+                if size > HELD if split else size > TOGETHER and bucket != last:
                     yield from out()
                     held.clear()
                     size = 0
+                last = bucket
+                c = _opened(blob.as_py(), k)
+                at = _valid(c, k)
+                held.append(_signed([w[at] for w in _words(np.minimum(c, 3), k, strand)], k))
+                size += len(at)
         if size:
             yield from out()
 
     return f
 
 
-def _runs(k: int):
-    """(keys, n): rows of equal keys as one; they come sorted."""
-
-    def f(batches):
-        last = None
-        for batch in batches:
-            words, n = [batch.column(c).to_numpy() for c in key_columns(k)], batch.column("n").to_numpy()
-            if last:
-                words, n = [np.concatenate([a, b]) for a, b in zip(last[0], words, strict=True)], np.concatenate([last[1], n])
-            if not len(n):
-                continue
-            words, n = summed(words, n)
-            last = [w[-1:] for w in words], n[-1:]  # it may go on in the next batch
-            yield pa.RecordBatch.from_arrays([*(pa.array(w[:-1]) for w in words), pa.array(n[:-1])], names=[*key_columns(k), "n"])
-        if last:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, last[0]), pa.array(last[1])], names=[*key_columns(k), "n"])
-
-    return f
-
-
-def count_superkmers(sequences: DataFrame, k: int, m: int | None = None, buckets: int | None = None, keys: bool = False) -> DataFrame:
-    """(kmer, value) as count_kmers() gives them for the canonical strand; m is the minimisers' length, up to 15.
+def count_superkmers(sequences: DataFrame, k: int, m: int | None = None, buckets: int | None = None, keys: bool = False, strand: str = "canonical") -> DataFrame:
+    """(kmer, value) as count_kmers() gives them; m is the minimisers' length, up to 15, and longer for longer k-mers if not given.
 
     The strings are written to the shared folder (see sources.stored), some two bits a base and a string's rest.
     """
-    m = min(k, 9) if m is None else m
+    m = min(k, 15, max(9, k // 2 + 1)) if m is None else m
     if not 1 <= m <= min(k, 15):
         raise ValueError("m has to be between 1 and k, and 15 at most")
     spark, names = sequences.sparkSession, key_columns(k)
@@ -188,12 +171,15 @@ def count_superkmers(sequences: DataFrame, k: int, m: int | None = None, buckets
     sequences.select("bases").mapInArrow(_sent(k, m, buckets), "bucket long, n long, blob binary").write.parquet(path)
     sent = spark.read.schema("bucket long, n long, blob binary").parquet(path)
     total = sent.agg(F.sum("n")).first()[0] or 0
-    share = max(1 << 16, -(-total // parts))
+    share = min(HELD, max(1 << 16, -(-total // parts)))
     hot = sent.groupBy("bucket").agg(F.sum("n").alias("windows")).where(F.col("windows") > share)
-    hot = hot.select("bucket", F.ceil(F.col("windows") / share).alias("ways"))  # no more than there are partitions
-    dealt = sent.join(F.broadcast(hot), "bucket", "left").select("bucket", "blob", "ways", F.when(F.col("ways") > 1, F.pmod(F.xxhash64("blob"), "ways")).otherwise(0).alias("way"))
-    cut = lambda rows: rows.repartition("bucket", "way").select("blob").mapInArrow(_cut(k), schema)
-    out = cut(dealt.where("ways is null")).sortWithinPartitions(*names).mapInArrow(_runs(k), schema)
-    split = cut(dealt.where("ways is not null")).groupBy(names).agg(F.sum("n").alias("n"))
-    out = out.unionByName(split).select(*names, saturate("n").alias("value"))
+    hot = hot.select("bucket", F.ceil(F.col("windows") / share).alias("ways"))
+    cut = lambda rows, *by, split: rows.repartition(*by).sortWithinPartitions(*by).select("bucket", "blob").mapInArrow(_cut(k, strand, split), schema)
+    if hot.limit(1).count():
+        dealt = sent.join(F.broadcast(hot), "bucket", "left").select("bucket", "blob", "ways", F.pmod(F.xxhash64("blob"), "ways").alias("way"))
+        split = cut(dealt.where("ways is not null"), "bucket", "way", split=True).groupBy(names).agg(F.sum("n").alias("n"))
+        out = cut(dealt.where("ways is null"), "bucket", split=False).unionByName(split)
+    else:
+        out = cut(sent, "bucket", split=False)
+    out = out.select(*names, saturate("n").alias("value"))
     return out if keys else unpacked(out, k)

@@ -295,3 +295,20 @@ def test_unique_paths(spark):
         else:
             assert key(p) <= key(canon(x[len(x) - 1]))
     assert rings >= 1 and max(map(len, by.values())) > 10
+
+
+@pytest.mark.parametrize(("k", "strand"), [(12, "canonical"), (21, "forward"), (42, "reverse"), (64, "canonical")])
+def test_long_kmers_travel_as_super_kmers(spark, k, strand):
+    """The k-mers themselves, some 20 bytes each, aren't shuffled."""
+    rng = random.Random(k)
+    seqs = [*random_seqs(30, rng), *random_seqs(10, rng, "ACGTN"), "A" * 3000, "ACACAC" * 300, "", None, "ACG"]
+    seqs = [*seqs, *seqs[:9], *[rc(s) for s in seqs[:9]]]
+    want = Counter()
+    for s in seqs:
+        for f in (s[p : p + k] for p in range(len(s or "") - k + 1)):
+            if "N" not in f:
+                want[{"forward": f, "reverse": rc(f), "canonical": min(f, rc(f), key=key)}[strand]] += 1
+    db = count_kmers(spark.createDataFrame([(s,) for s in seqs], "bases string").repartition(3), k=k, strand=strand)
+    plan = db._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket" in plan and "hashpartitioning(code" not in plan
+    assert got(db) == want
